@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, licenses, line_dedup
+from .media import media_columns
 from .packing import pack
+from .secrets import secret_scan
 from .storage import table
 from .token_files import token_files
 
@@ -16,10 +18,18 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).select("doc_id", "n_known", "sentence_ids", "licenses")
 
@@ -34,7 +44,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op4_packing, op8_license_scan, op9_line_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op2_token_files, op3_secret_scan, op4_packing, op6_media_columns, op8_license_scan, op9_line_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
