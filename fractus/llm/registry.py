@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, licenses, line_dedup
 from .media import media_columns
+from .ngram_join import ngram_components
 from .packing import pack
 from .secrets import secret_scan
 from .storage import table
 from .token_files import token_files
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
@@ -44,7 +49,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_secret_scan, op4_packing, op6_media_columns, op8_license_scan, op9_line_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_secret_scan, op4_packing, op6_media_columns, op8_license_scan, op9_line_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
