@@ -1,12 +1,70 @@
-"""The corpus pipeline over ``documents``."""
+"""The corpus pipeline: toxicity, line dedup, near duplicates, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir), ``docs`` having the columns of
+``documents``, and works on all that the stage before kept; all but the last
+return these columns. Between stages the documents are written as Parquet in the
+shared folder and read again.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fractus.llm.decontamination import contamination, small
+from fractus.llm.line_dedup import dedup_lines
+from fractus.llm.ngram_join import ngram_components
+from fractus.llm.packing import pack
+from fractus.llm.storage import materialize, table
+from fractus.llm.toxicity import toxicity
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that operator 5 predicts toxic, by their whole texts."""
+    return toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+
+
+def dedup_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut later occurrences of repeated lines (operator 9); documents stay, n_chars follows the text."""
+    out = dedup_lines(docs)
+    changed = F.col("n_removed") > 0
+    n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of operator 1 keep the document with the smallest id."""
+    components = ngram_components(docs)
+    others = materialize(components.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    return docs.join(small(others), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in which a window of a benchmark item occurs (operator 10)."""
+    return contamination(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens (operator 4)."""
+    return pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", reject_toxic),
+    ("line dedup", dedup_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: The learnt and packing stages can't be written in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

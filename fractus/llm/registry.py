@@ -12,7 +12,9 @@ from .ngram_join import ngram_components
 from .packing import pack
 from .secrets import secret_scan
 from .storage import table
+from .pages import extract_pages
 from .token_files import token_files
+from .toxicity import toxicity
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +33,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).select("doc_id", "n_known", "sentence_ids", "licenses")
 
@@ -49,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_secret_scan, op4_packing, op6_media_columns, op8_license_scan, op9_line_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_secret_scan, op4_packing, op5_toxicity, op6_media_columns, op7_page_text, op8_license_scan, op9_line_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

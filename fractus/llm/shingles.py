@@ -50,8 +50,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(column: pa.Array, breaks: np.ndarray = BREAKS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and the number of words up to each text (a leading 0 first)."""
+    (hashes,), ends = term_hashes(column, breaks, ())
+    return hashes, ends
+
+
+def term_hashes(column: pa.Array, breaks: np.ndarray, prefixes: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """As :func:`word_hashes`, with an array more for each prefix length in bytes; 0 stands where a word isn't longer."""
     data, offsets = buffers(column)
-    hashes, starts = [], []
+    hashes: list[list[np.ndarray]] = [[] for _ in range(1 + len(prefixes))]
+    starts = []
     low, last = int(offsets[0]), int(offsets[-1])
     while low < last:
         high = min(low + BLOCK, last)
@@ -79,12 +86,16 @@ def word_hashes(column: pa.Array, breaks: np.ndarray = BREAKS) -> tuple[np.ndarr
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_CODES[part] * up[: len(part)], out=total[1:], dtype=np.uint64)
         value = (total[finish] - total[begin]) * down[begin]
-        hashes.append(mix(value + (finish - begin).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
+        hashes[0].append(mix(value + (finish - begin).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
+        for k, length in enumerate(prefixes, 1):
+            longer = finish - begin > length
+            value = (total[np.minimum(begin + length, len(part))] - total[begin]) * down[begin]
+            hashes[k].append(np.where(longer, mix(value + np.uint64(length << 32 | 1)), np.uint64(0)))
         starts.append(begin + low)
         low = high
-    all_hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    together = [np.concatenate(h) if h else np.zeros(0, np.uint64) for h in hashes]
     all_starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    return all_hashes, np.searchsorted(all_starts, offsets, "left")
+    return together, np.searchsorted(all_starts, offsets, "left")
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
