@@ -45,7 +45,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     repeats others wholly becomes empty; its row stays. Columns named n_lines
     and n_removed are replaced; all other columns are carried along.
     """
-    spark = docs.sparkSession
     if docs.isEmpty():
         zero = F.lit(0).cast("long")
         return docs.withColumns({"n_lines": zero, "n_removed": zero})
@@ -55,19 +54,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     repeated = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = seen.join(repeated, ["k1", "k2"]).where(~F.struct("doc_id", "i").eqNullSafe(F.col("first")))
     covered = later.groupBy("doc_id").agg(F.collect_set("i").alias("at"))
-    covered = materialize(covered.select(F.col("doc_id").alias("__id"), "at"), "line-covered")
-    size = covered.agg(F.coalesce(F.sum(F.size("at") + 4), F.lit(0))).first()[0]
+    covered = materialize(covered.select(F.col("doc_id").alias("__id"), F.col("at").alias("__at")), "line-covered")
+    size = covered.agg(F.coalesce(F.sum(F.size("__at") + 4), F.lit(0))).first()[0]
     if size <= BROADCAST_POSITIONS:
         covered = F.broadcast(covered)
     joined = docs.drop("n_lines", "n_removed").join(covered, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
     joined = joined.withColumn("__lines", lines_of(F.col("text")))
-    gone = F.array_distinct(F.flatten(F.transform("at", lambda p: F.array(p, p + 1, p + 2))))
+    gone = F.array_distinct(F.flatten(F.transform("__at", lambda p: F.array(p, p + 1, p + 2))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone)
-    text = F.when(F.col("at").isNull() | (F.size("__lines") < 3), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda j: F.get("__lines", j)), ""))
+    text = F.when(F.col("__at").isNull() | (F.size("__lines") < 3), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda j: F.get("__lines", j)), ""))
     n = F.size("__lines").cast("long")
-    left = F.when(F.col("at").isNull() | (F.size("__lines") < 3), n).otherwise(F.size(kept).cast("long"))
-    del spark
-    return joined.withColumns({"text": text, "n_lines": n, "n_removed": n - left}).drop("__lines", "__id", "at")
+    left = F.when(F.col("__at").isNull() | (F.size("__lines") < 3), n).otherwise(F.size(kept).cast("long"))
+    return joined.withColumns({"text": text, "n_lines": n, "n_removed": n - left}).drop("__lines", "__id", "__at")
 
 
 ORACLE_SQL = r"""

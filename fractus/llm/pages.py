@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 NEVER = frozenset("head title nav footer aside form script style noscript template iframe svg math canvas audio video object embed applet select option button textarea input label fieldset dialog menu map datalist".split())
 RAW = frozenset({"script", "style"})
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("html body main article section div td center".split())
 #: What an opening tag closes, if it is open in the same container.
 CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "body": "head"}
@@ -57,7 +57,7 @@ class Lines(HTMLParser):
             self.hidden -= self.open.pop()[1]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCKS or tag in NEVER:
+        if tag in BLOCKS:
             self._end_line()
         self.tags += 1
         if tag in CLOSES:
@@ -88,7 +88,7 @@ class Lines(HTMLParser):
         self.hidden += out
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS or tag in NEVER:
+        if tag in BLOCKS:
             self._end_line()
         self.tags += 1
         for i in range(len(self.open) - 1, -1, -1):

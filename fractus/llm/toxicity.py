@@ -87,7 +87,7 @@ def choose_terms(terms: list[np.ndarray], labels: np.ndarray, most: int) -> np.n
     return np.sort(values[order[gain[order] > 0]])
 
 
-def fit(terms: list[np.ndarray], labels: np.ndarray, buckets: int, most_terms: int = 4096, factors: int = 8, epochs: int = 20, batch: int = 256, rate: float = 0.02, decay: float = 2e-4, seed: int = 17) -> Machine:
+def fit(terms: list[np.ndarray], labels: np.ndarray, buckets: int, most_terms: int = 2048, factors: int = 8, epochs: int = 20, least_steps: int = 800, batch: int = 256, rate: float = 0.02, decay: float = 2e-5, seed: int = 17) -> Machine:
     """Adam on the logistic loss. Without both classes the machine is the smoothed base rate alone."""
     n, positive = len(labels), int(labels.sum())
     bias = float(np.log((positive + 1) / (n - positive + 1)))
@@ -103,7 +103,7 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, buckets: int, most_terms: i
     machine = Machine(buckets, chosen, bias, np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), factors)))
     moments = [np.zeros_like(machine.linear), np.zeros_like(machine.linear), np.zeros_like(machine.latent), np.zeros_like(machine.latent), 0.0, 0.0]
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps * batch // n))):
         order = rng.permutation(n)
         for lo in range(0, n, batch):
             rows = order[lo : lo + batch]
