@@ -341,7 +341,7 @@ def test_media_member_is_fetched_again():
 
 def test_toxicity(spark, docs, empty):
     rng = random.Random(2)
-    rows = [(i, prose(rng, 30) + (" scum w7" if i % 4 == 0 else " scum" if i % 4 == 1 else "")) for i in range(800)]
+    rows = [(i, prose(rng, 30) + [" scum them", " scum", " them", ""][i % 4]) for i in range(800)]
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     got = toxicity(frame(spark, [*rows, (None, None), (900, "")]), labels).collect()
     held = [r for r in got if r.doc_id is not None and r.doc_id < 800 and r.held_out]
