@@ -11,6 +11,7 @@ goes through the tokenizer whole, so ids always equal the library's.
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +23,12 @@ JOINED = 512
 #: String of the vocabulary's added token, which the library matches anywhere.
 ADDED = "<|endoftext|>"
 NEWLINE_ID = 198
+#: The byte-level alphabet: bytes without a printable Latin-1 character follow U+0100 in order.
+_KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _KEPT)}
+SPACE = chr(BYTE_LEVEL[32])
+#: Up to here letters are the same in every version of Unicode that a library may use.
+LAST_LATIN = "\u024f"
 END_ID = 0
 
 
@@ -37,6 +44,7 @@ class Encoder:
             raise ValueError("ids do not fit 16 bits")
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.tails = {c: self.whole(c) for c in ",."}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -62,24 +70,32 @@ class Encoder:
         wanted -= self.cache.keys()
         known = wanted & self.older.keys()
         self.cache.update(zip(known, map(self.older.__getitem__, known)))
-        odd = self._learn(wanted - known)
+        self._learn(wanted - known)
         get = self.cache.__getitem__
         for i, words in plain:
-            out[i] = b"".join(map(get, words)) if odd.isdisjoint(words) else self.whole(texts[i])
+            try:
+                out[i] = b"".join(map(get, words))
+            except KeyError:  # something else than words with single spaces or newlines between
+                out[i] = self.whole(texts[i])
         return out
 
-    def _learn(self, keys: set[str]) -> set[str]:
-        """Put words into the cache; return the keys that aren't one word without white space."""
-        odd: set[str] = set()
+    def _learn(self, keys: set[str]) -> None:
+        """Put words into the cache, but for keys that aren't one word without white space."""
         led: dict[str, list[str]] = {"": [], "\n": [], "\r": []}
+        model, cache, tails = self.tokenizer.model.tokenize, self.cache, self.tails
+        newline = np.array([NEWLINE_ID], "<u2").tobytes()
         for key in keys:
             lead = key[:1] if key[:1] in ("\n", "\r") else ""
-            body = key[len(lead) :]
-            if body.split() == [body]:
+            body = key[1:] if lead else key
+            tail = tails.get(body[-1:])
+            base = body[:-1] if tail else body
+            # A run of letters is one pre-token, and so is one stop or comma after it.
+            if base.isalpha() and (base.isascii() or max(base) <= LAST_LATIN):
+                raw = base if base.isascii() else base.encode().decode("latin-1").translate(BYTE_LEVEL)
+                ids = array("H", [t.id for t in model(raw if lead else SPACE + raw)]).tobytes()
+                cache[key] = (newline if lead == "\n" else b"") + ids + (tail or b"")
+            elif body.split() == [body]:
                 led[lead].append(body)
-            else:
-                odd.add(key)
-        newline = np.array([NEWLINE_ID], "<u2").tobytes()
         for lead, words in led.items():
             space, before = (" " if lead == "" else ""), (newline if lead == "\n" else b"")
             parts = [words[lo : lo + JOINED] for lo in range(0, len(words), JOINED)]
@@ -88,13 +104,12 @@ class Encoder:
                 ids = np.array(coded.ids, "<u2")
                 cuts = np.flatnonzero(ids == NEWLINE_ID)
                 if len(cuts) != len(part) - 1:
-                    self.cache.update((lead + w, before + self.whole(space + w)) for w in part)
+                    cache.update((lead + w, before + self.whole(space + w)) for w in part)
                     continue
                 raw, at = ids.tobytes(), 0
                 for word, cut in zip(part, (2 * cuts).tolist() + [len(raw)]):
-                    self.cache[lead + word] = before + raw[at:cut]
+                    cache[lead + word] = before + raw[at:cut]
                     at = cut + 2
-        return odd
 
 
 @lru_cache(maxsize=2)
