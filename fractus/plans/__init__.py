@@ -1 +1 @@
-
+"""Splitters: configuration, per-fragment kernels and result tables."""

@@ -1 +1 @@
-
+"""Splitting fragments as they arrive."""
