@@ -71,18 +71,17 @@ class Machine:
         return out
 
 
-def choose_terms(terms: list[np.ndarray], labels: np.ndarray, most: int) -> np.ndarray:
+def choose_terms(terms: list[np.ndarray], labels: np.ndarray, buckets: int, most: int) -> np.ndarray:
     """The terms that tell the classes apart best, by the likelihood ratio of presence (at least three texts)."""
-    flat = np.concatenate(terms) if terms else np.zeros(0, np.int64)
-    label = np.repeat(labels, [len(t) for t in terms]) if terms else np.zeros(0)
-    values, inverse = np.unique(flat, return_inverse=True)
-    yes = np.bincount(inverse, label, len(values))
-    no = np.bincount(inverse, 1 - label, len(values))
-    n_yes, n_no = max(1, labels.sum()), max(1, (1 - labels).sum())
+    counts = np.zeros((2, buckets))
+    for t, label in zip(terms, labels.tolist()):
+        counts[label, t] += 1  # the terms of a text are distinct
+    values = np.flatnonzero(counts.sum(0) >= 3)
+    no, yes = counts[:, values]
+    n_no, n_yes = max(1, int((labels == 0).sum())), max(1, int((labels == 1).sum()))
     p, q = (yes + 0.5) / (n_yes + 1), (no + 0.5) / (n_no + 1)
     base = (yes + no + 1) / (n_yes + n_no + 2)
     gain = n_yes * (p * np.log(p / base) + (1 - p) * np.log((1 - p) / (1 - base))) + n_no * (q * np.log(q / base) + (1 - q) * np.log((1 - q) / (1 - base)))
-    gain[yes + no < 3] = -1
     order = np.lexsort((values, -gain))[:most]
     return np.sort(values[order[gain[order] > 0]])
 
@@ -93,7 +92,7 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, buckets: int, most_terms: i
     bias = float(np.log((positive + 1) / (n - positive + 1)))
     if positive in (0, n):
         return Machine(buckets, np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, factors)))
-    chosen = choose_terms(terms, labels.astype(float), most_terms)
+    chosen = choose_terms(terms, labels, buckets, most_terms)
     sets = []
     for t in terms:
         at = np.searchsorted(chosen, t)
@@ -142,7 +141,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int, buckets: in
 
     rows = texts.mapInArrow(hashed, "doc_id long, toxic int, terms binary").collect()
     rows.sort(key=lambda r: (r[0], r[2]))
-    return [np.frombuffer(r[2], np.int32).astype(np.int64) for r in rows], np.array([1 if r[1] else 0 for r in rows], np.int64)
+    return [np.frombuffer(r[2], np.int32) for r in rows], np.array([1 if r[1] else 0 for r in rows], np.int64)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, buckets: int = 1 << 20) -> DataFrame:
