@@ -361,3 +361,32 @@ def secret_scan(docs: DataFrame, added: tuple[Rule, ...] = ADDED) -> DataFrame:
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return source.mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+
+
+def oracle_sql() -> str:
+    """The scan by plain regular expressions: offsets add up from what stands between the matches."""
+    keys = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
+    head = r"(" + keys + r")[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?"
+    patterns = {
+        "assign": (head + f"({VALUE})", f"length(regexp_extract(m[i], '{head}({VALUE})', 2)) >= 8"),
+        "access": ("AKIA[A-Z0-9]+", "length(m[i]) >= 16"),
+        "hex": ("[0-9a-f]+", "length(m[i]) >= 32"),
+        "pem": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", "true"),
+        "github": ("gh[pousr]_[A-Za-z0-9]+", "length(m[i]) >= 40"),
+        "slack": ("xox[abprs]-[A-Za-z0-9-]+", "length(m[i]) >= 15"),
+    }
+    size = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
+    parts = [
+        f"SELECT doc_id, {k} AS k, '{kind}' AS kind, CAST({size.format('p[1 : i]')} + {size.format('m[1 : i - 1]')} AS BIGINT) AS s, length(m[i]) AS n FROM ("
+        f"SELECT doc_id, regexp_split_to_array(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}') AS m FROM d) AS q, unnest(range(1, len(m) + 1)) AS u(i) WHERE {test}"
+        for k, (kind, (pattern, test)) in enumerate(patterns.items())
+    ]
+    said = "kind || ':' || s || ':' || (s + n)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({' UNION ALL '.join(parts)}), g AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg({said}, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg({said}, ',' ORDER BY s, k) AS spans FROM f GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
