@@ -22,6 +22,8 @@ from .shingles import term_hashes
 #: Everything in ASCII that isn't a letter ends a word.
 BREAKS = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 PREFIXES = (4, 5, 6)
+#: Texts whose terms a task holds at once.
+TEXTS = 500
 
 
 def terms_of(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,11 +135,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int, buckets: in
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            term, text = terms_of(batch.column(1), buckets)
-            pair = np.unique(text * buckets + term)
-            text, term = pair // buckets, (pair % buckets).astype(np.int32)
-            cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([term[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["doc_id", "toxic", "terms"])
+            for lo in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(lo, TEXTS)
+                term, text = terms_of(some.column(1), buckets)
+                pair = np.unique(text * buckets + term)
+                text, term = pair // buckets, (pair % buckets).astype(np.int32)
+                cuts = np.searchsorted(text, np.arange(some.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array([term[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["doc_id", "toxic", "terms"])
 
     rows = texts.mapInArrow(hashed, "doc_id long, toxic int, terms binary").collect()
     rows.sort(key=lambda r: (r[0], r[2]))
@@ -167,7 +171,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, buckets:
 
         if not place:
             place.append(machine.places())
-        return pd.Series(machine.scores(pa.Array.from_pandas(texts, type=pa.large_string()), place[0]))
+        parts = [machine.scores(pa.Array.from_pandas(texts.iloc[lo : lo + TEXTS], type=pa.large_string()), place[0]) for lo in range(0, len(texts), TEXTS)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     del place[:]
     out = docs.drop("held_out", "score", "predicted").withColumn("score", score(F.col("text").cast("string")))
