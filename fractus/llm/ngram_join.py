@@ -35,7 +35,7 @@ from .shingles import shingle_sets
 from .storage import materialize, partitions
 
 #: Postings that a task combines before it sends them (17 bytes each).
-HELD = 2_000_000
+HELD = 1_000_000
 #: Survivors that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Lists up to this length are compared as pairs, longer ones in blocks.
@@ -317,3 +317,23 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataF
     loose = unknown.mapInArrow(_sets(size), "doc_id long, n long, digest binary, grams array<long>").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     del spark
     return result.unionByName(loose)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i) WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), cc(v, comp) USING KEY (v) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT e.b, min(cc.comp) FROM cc JOIN e ON e.a = cc.v JOIN recurring.cc AS r ON r.v = e.b WHERE cc.comp < r.comp GROUP BY e.b
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, comp AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN cc ON cc.v = d.doc_id
+"""
