@@ -76,3 +76,18 @@ def force_seeds(labels: DataFrame, seeds: DataFrame) -> DataFrame:
     """Seed voxels take their side; where both sides have one the sink does."""
     forced = seeds.groupBy(*KEY).agg(F.max("side").alias("side"))
     return labels.join(forced, KEY, "left").withColumn("label", F.coalesce("side", "label").cast("tinyint")).drop("side")
+
+
+def seeds_on_grid(seeds: DataFrame, steps: tuple[int, int, int], coarse: DataFrame) -> DataFrame:
+    """Seed voxels on a coarse grid: integer division by the steps; only those on its foreground stay."""
+    placed = seeds.withColumns({a: F.floor(F.col(a) / s).cast("int") for a, s in zip("zyx", steps)})
+    return placed.join(coarse.select(*KEY), KEY, "left_semi")
+
+
+def seeds_near_grid(seeds: DataFrame, steps: tuple[int, int, int], coarse: DataFrame, volumes: DataFrame) -> DataFrame:
+    """Seeds on the nearest foreground cell of a coarse grid whose cells are ``steps`` voxels wide."""
+    from .snap import nearest
+
+    scaled = seeds.withColumns({a: F.col(a).cast("double") / s for a, s in zip("zyx", steps)})
+    wide = volumes.withColumns({f"s{a}": F.col(f"s{a}") * s for a, s in zip("zyx", steps)})
+    return nearest(scaled, coarse, wide).select("sv_id", "side", "seed_idx", *(F.col(f"v{a}").alias(a) for a in "zyx"))

@@ -62,10 +62,10 @@ ROWS = "sv_id long, kind string, side tinyint, z int, y int, x int, label tinyin
 
 
 def _by_fragment(voxels: DataFrame, seeds: DataFrame, volumes: DataFrame, work) -> DataFrame:
-    """Run ``work(mask, sources, sinks, sampling, shape)`` for each fragment; its rows by :data:`ROWS`.
+    """Run ``work(mask, sources, sinks, sampling)`` for each fragment; its rows by :data:`ROWS`.
 
-    ``work`` gets a mask cropped to the fragment with the origin, so a small
-    fragment of a large volume takes little memory.
+    ``work`` gets the dense mask of the fragment's whole volume (one byte a
+    cell), because windows around seeds are cut at the volume's border.
     """
     v = voxels.select("sv_id", F.lit(0).cast("tinyint").alias("side"), F.lit(0).alias("seed_idx"), *(F.col(a).cast("double").alias(a) for a in "zyx"))
     s = seeds.select("sv_id", F.col("side").cast("tinyint").alias("side"), F.col("seed_idx").cast("int").alias("seed_idx"), *(F.col(a).cast("double").alias(a) for a in "zyx"))

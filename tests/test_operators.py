@@ -170,3 +170,11 @@ def test_repair(spark):
     out = {r.x: r.label for r in resolve.resolve_strays(strays, places, vol).collect()}
     assert (out[1], out[6], out[8]) == (1, 2, 2)
     assert regions.histogram(strays).first().n_stray == 5
+
+
+def test_seeds_on_coarse_grids(spark):
+    coarse = table(spark, [(1, 1, 3), (0, 0, 0)])
+    places = seeds(spark, [(1, 0, 2.0, 3.0, 3.0), (1, 1, 3.0, 3.0, 9.0), (2, 0, 0.0, 1.0, 0.0)])
+    assert cells(regions.seeds_on_grid(places, (2, 2, 1), coarse)) == {(1, 1, 3), (0, 0, 0)}
+    near = {(r.side, r.seed_idx): (r.z, r.y, r.x) for r in regions.seeds_near_grid(places, (2, 2, 1), coarse, shape(spark, (4, 4, 10))).collect()}
+    assert near == {(1, 0): (1, 1, 3), (1, 1): (1, 1, 3), (2, 0): (0, 0, 0)}
