@@ -8,7 +8,7 @@ fragments of any size.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any, Protocol, runtime_checkable
 
 import numpy as np
@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernel
 from ..functions.fields import SINK, SOURCE, STRAY
+from . import kernel
+from .profiling import NullProfiler, Profiler
 
 __all__ = ["SOURCE", "SINK", "STRAY", "Splitter", "SeedPrep", "SplitFrames", "SeedFrames", "GeodesicSplitter", "RidgeConnectPrep", "WatershedSplitter", "NoopSplitter"]
 
@@ -121,13 +122,17 @@ class RidgeConnectPrep:
     downsample: tuple[int, int, int] = (2, 2, 1)
     refine_fullres_when_fail: bool = True
     snap: dict[str, Any] = field(default_factory=lambda: dict(SNAP))
+    profiler: Profiler = field(default_factory=NullProfiler, compare=False)
 
     def prepare(self, voxels: DataFrame, seeds: DataFrame, volumes: DataFrame) -> SeedFrames:
+        cfg = replace(self, profiler=NullProfiler())  # what tasks get holds no session
+
         def work(mask, sources, sinks, sampling):
-            a, b, ok_a, ok_b = kernel.ridge(mask, sources, sinks, sampling, self)
+            a, b, ok_a, ok_b = kernel.ridge(mask, sources, sinks, sampling, cfg)
             return None, None, (a, b), {"ok_source": ok_a, "ok_sink": ok_b}
 
-        out = _frames(_by_fragment(voxels, seeds, volumes, work), {})
+        with self.profiler.profile("seed_prep"):
+            out = _frames(_by_fragment(voxels, seeds, volumes, work), {})
         ok = out.diagnostics.select("sv_id", *((F.col("facts")[k] == "True").alias(k) for k in ("ok_source", "ok_sink")))
         return SeedFrames(out.augmented, ok)
 
@@ -137,6 +142,8 @@ class GeodesicSplitter:
     """Splits by travel time from both sides' seeds, slowed in narrow necks; then repairs components.
 
     ``seed_prep``: "ridge" (the default preparation), "none", or a SeedPrep.
+    ``snap`` holds for both; what it leaves out has the defaults. ``parallel`` is
+    accepted for completeness: fragments are tasks, so they always run in parallel.
     Raises RuntimeError if the preparation fails for a fragment.
     """
 
@@ -151,17 +158,20 @@ class GeodesicSplitter:
     allow_third_label: bool = True
     enforce_single_cc: bool = True
     backend: str = "dj3d"
+    parallel: bool = True
     snap: dict[str, Any] = field(default_factory=lambda: dict(SNAP))
     seed_prep: Any = "ridge"
     raise_if_multi_cc: bool = False
+    profiler: Profiler = field(default_factory=NullProfiler, compare=False)
 
     def __post_init__(self) -> None:
         if self.backend not in ("dj3d", "mcp"):
             raise ValueError(f"unknown backend {self.backend!r}")
 
     def split(self, voxels: DataFrame, seeds: DataFrame, volumes: DataFrame) -> SplitFrames:
-        prep = RidgeConnectPrep(downsample=self.seed_prep_downsample or self.downsample_geodesic or (2, 2, 1)) if self.seed_prep == "ridge" else None
-        cfg = self
+        steps = self.seed_prep_downsample or self.downsample_geodesic or (2, 2, 1)
+        prep = RidgeConnectPrep(downsample=steps, snap=self.snap) if isinstance(self.seed_prep, str) and self.seed_prep == "ridge" else None
+        cfg = replace(self, seed_prep="none", profiler=NullProfiler())  # what tasks get holds no session
         if isinstance(self.seed_prep, SeedPrep):
             made = self.seed_prep.prepare(voxels, seeds, volumes)
             if made.status.where("NOT (ok_source AND ok_sink)").limit(1).collect():
@@ -179,7 +189,8 @@ class GeodesicSplitter:
             labels, a, b, facts = kernel.geodesic(mask, sources, sinks, sampling, cfg)
             return labels, (a, b), extra, facts | {"label_counts": {k: int((labels == k).sum()) for k in (SOURCE, SINK, STRAY)}}
 
-        return _frames(_by_fragment(voxels, seeds, volumes, work), {SOURCE: SOURCE, SINK: SINK})
+        with self.profiler.profile("split"):
+            return _frames(_by_fragment(voxels, seeds, volumes, work), {SOURCE: SOURCE, SINK: SINK})
 
 
 def _seed_order():
@@ -194,13 +205,17 @@ class WatershedSplitter:
 
     compactness: float = 1e-3
     watershed_line: bool = False
+    profiler: Profiler = field(default_factory=NullProfiler, compare=False)
 
     def split(self, voxels: DataFrame, seeds: DataFrame, volumes: DataFrame) -> SplitFrames:
+        compactness, line = self.compactness, self.watershed_line
+
         def work(mask, sources, sinks, sampling):
-            labels, a, b = kernel.watershed(mask, sources, sinks, sampling, self.compactness, self.watershed_line)
+            labels, a, b = kernel.watershed(mask, sources, sinks, sampling, compactness, line)
             return labels, (a, b), None, {}
 
-        return _frames(_by_fragment(voxels, seeds, volumes, work), {SOURCE: SOURCE, SINK: SINK})
+        with self.profiler.profile("watershed"):
+            return _frames(_by_fragment(voxels, seeds, volumes, work), {SOURCE: SOURCE, SINK: SINK})
 
 
 @dataclass(frozen=True)

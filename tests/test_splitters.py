@@ -83,6 +83,16 @@ def test_watershed_and_noop(dumbbell):
     assert nothing.labels.where("label <> 1").count() == 0 and nothing.labels.count() == 2080 and nothing.side_of_label == {1: 1}
 
 
+def test_profiler(spark, dumbbell):
+    from fractus.plans.profiling import JobProfiler
+
+    v, shape, seeds = dumbbell
+    timed = JobProfiler(spark)
+    GeodesicSplitter(backend="mcp", snap={"use_boundary": False}, profiler=timed, seed_prep=RidgeConnectPrep(profiler=timed)).split(v, seeds, shape)
+    WatershedSplitter(profiler=timed).split(v, seeds, shape)
+    assert set(timed.seconds) == {"seed_prep", "split", "watershed"}
+
+
 def test_protocols():
     assert all(isinstance(x, Splitter) for x in (GeodesicSplitter(), WatershedSplitter(), NoopSplitter()))
     assert isinstance(RidgeConnectPrep(), SeedPrep) and not isinstance(NoopSplitter(), SeedPrep) and not isinstance(object(), Splitter)
