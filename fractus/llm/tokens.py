@@ -27,6 +27,8 @@ NEWLINE_ID = 198
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LEVEL = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _KEPT)}
 SPACE = chr(BYTE_LEVEL[32])
+#: Punctuation that joins no contraction; at most four of it, so few runs are kept.
+STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Up to here letters are the same in every version of Unicode that a library may use.
 LAST_LATIN = "\u024f"
 END_ID = 0
@@ -44,7 +46,7 @@ class Encoder:
             raise ValueError("ids do not fit 16 bits")
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.tails = {c: self.whole(c) for c in ",."}
+        self.tails: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -82,18 +84,24 @@ class Encoder:
     def _learn(self, keys: set[str]) -> None:
         """Put words into the cache, but for keys that aren't one word without white space."""
         led: dict[str, list[str]] = {"": [], "\n": [], "\r": []}
-        model, cache, tails = self.tokenizer.model.tokenize, self.cache, self.tails
+        model, cache, older, tails = self.tokenizer.model.tokenize, self.cache, self.older, self.tails
         newline = np.array([NEWLINE_ID], "<u2").tobytes()
         for key in keys:
             lead = key[:1] if key[:1] in ("\n", "\r") else ""
             body = key[1:] if lead else key
-            tail = tails.get(body[-1:])
-            base = body[:-1] if tail else body
-            # A run of letters is one pre-token, and so is one stop or comma after it.
-            if base.isalpha() and (base.isascii() or max(base) <= LAST_LATIN):
-                raw = base if base.isascii() else base.encode().decode("latin-1").translate(BYTE_LEVEL)
-                ids = array("H", [t.id for t in model(raw if lead else SPACE + raw)]).tobytes()
-                cache[key] = (newline if lead == "\n" else b"") + ids + (tail or b"")
+            base = body.rstrip(STOPS)
+            # A run of letters is one pre-token, and so is a run of stops behind it.
+            if base.isalpha() and len(body) - len(base) <= 4 and (base.isascii() or max(base) <= LAST_LATIN):
+                stem = cache.get(lead + base) or older.get(lead + base)
+                if stem is None:
+                    raw = base if base.isascii() else base.encode().decode("latin-1").translate(BYTE_LEVEL)
+                    ids = array("H", [t.id for t in model(raw if lead else SPACE + raw)]).tobytes()
+                    stem = cache[lead + base] = newline + ids if lead == "\n" else ids
+                if base != body:
+                    tail = body[len(base) :]
+                    if tail not in tails:
+                        tails[tail] = self.whole(tail)
+                    cache[key] = stem + tails[tail]
             elif body.split() == [body]:
                 led[lead].append(body)
         for lead, words in led.items():
