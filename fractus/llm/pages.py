@@ -148,7 +148,7 @@ def main_text(html: str | None) -> str:
         chosen = max(articles, key=lambda n: (mass[n], -n))
     else:
         # The innermost container with nearly all content; later numbers lie deeper among those that nest.
-        wide = [n for n in range(len(page.kinds)) if mass[n] >= 0.8 * total]
+        wide = [n for n in range(len(page.kinds)) if mass[n] >= 0.9 * total]
         chosen = wide[-1] if wide else -1
     if chosen >= 0:
         return "\n".join(t for t, _, inside in lines if chosen in inside)
