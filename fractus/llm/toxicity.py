@@ -132,16 +132,18 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int, buckets: in
     usable = usable.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     taken = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(taken), "doc_id")  # at most ``sample`` rows
+    # Rows may repeat an id, even very often: one text of each, so that the bound holds.
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, TEXTS):
                 some = batch.slice(lo, TEXTS)
-                term, text = terms_of(some.column(1), buckets)
+                term, text = terms_of(some.column(2), buckets)
                 pair = np.unique(text * buckets + term)
                 text, term = pair // buckets, (pair % buckets).astype(np.int32)
                 cuts = np.searchsorted(text, np.arange(some.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array([term[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["doc_id", "toxic", "terms"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([term[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["doc_id", "toxic", "terms"])
 
     rows = texts.mapInArrow(hashed, "doc_id long, toxic int, terms binary").collect()
     rows.sort(key=lambda r: (r[0], r[2]))
