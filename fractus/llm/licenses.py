@@ -1,8 +1,8 @@
 """Licence texts by their sentences (operator 8), with DataFrame functions only.
 
-Texts are split into sentences, each is normalised and looked up among known
-licence sentences; the identifiers of a text, in order, are then matched against
-ordered rules. One projection: no shuffle, and texts that can't hold a known
+Texts are normalised with marks where sentences end and lines break, and known
+licence sentences are looked up between the marks, wrapped or not; the
+identifiers of a text, in order, are then matched against ordered rules. One projection: no shuffle, and texts that can't hold a known
 sentence are settled by one search for words that known sentences need.
 """
 
@@ -53,6 +53,8 @@ RULES: dict[str, tuple[str, ...]] = {
 
 #: Where a sentence ends: newlines, or a stop, colon or semicolon before white space.
 BREAK = r"\n+|[.!?:;][ \t\r]+"
+#: Where a sentence ends for certain: a stop, colon or semicolon before white space, or a line without letters and digits. At other newlines it may go on.
+END = r"[.!?:;][ \t\r\n]+|\n[^a-z0-9\n]*(?:\n[^a-z0-9\n]*)+"
 
 
 def normal(sentence: str) -> str:
@@ -85,9 +87,20 @@ def _rules(sentences: dict[str, str], rules: dict[str, tuple[str, ...]]) -> list
     return sorted((rule, "," + ",".join(i for s in parts for i in ids[s]) + ",") for rule, parts in rules.items())
 
 
+def _marked(text: Column) -> Column:
+    """Normalised words of a text; H stands where a sentence ends, S at a newline within which it may go on."""
+    out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    out = F.regexp_replace(F.regexp_replace(out, END, "H"), "\n", "S")
+    out = F.concat(F.lit("H"), F.regexp_replace(out, "[^a-z0-9HS]+", " "), F.lit("H"))
+    return F.regexp_replace(F.regexp_replace(out, "[S ]*H[HS ]*", "H"), " *S[S ]*", "S")
+
+
 def license_scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """``docs`` with n_known (long), sentence_ids and licenses (strings, comma-joined).
 
+    A known sentence is found on one line or wrapped over several, indented or
+    behind comment marks without letters; a blank line ends it. Of sentences
+    that begin together the longest counts.
     ``sentence_ids`` are the known sentences in order, repeats included;
     ``licenses`` the names of the rules found, sorted. Null and empty texts have
     none (0 and empty strings). Every row is judged alone, so repeated rows and
@@ -99,12 +112,10 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules
     lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     possible = text.rlike("(?i)" + "|".join(needed_words(known)))
-
-    def identified(sentence: Column) -> Column:
-        lowered = F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        return F.element_at(lookup, F.btrim(F.regexp_replace(lowered, "[^a-z0-9]+", " ")))
-
-    found = F.array_compact(F.transform(F.split(text, BREAK), identified))
+    # The longest first: a wrapped sentence may begin with a line that is another one.
+    pattern = "|".join(s.replace(" ", "[ S]") for s in sorted(known, key=lambda s: (-len(s), s)))
+    sentence = F.regexp_extract_all(_marked(text), F.lit(f"(?<=[HS])(?:{pattern})(?=[HS])"), F.lit(0))
+    found = F.transform(sentence, lambda s: F.element_at(lookup, F.translate(s, "S", " ")))
     ids = F.when(possible, found).otherwise(F.array().cast("array<string>"))
     out = docs.drop("n_known", "sentence_ids", "licenses").withColumn("__ids", ids)
     line = F.concat(F.lit(","), F.array_join("__ids", ","), F.lit(","))
