@@ -4,9 +4,10 @@ A text is folded into lines: a line ends with a newline, with the first sentence
 end after at least six words, or with its eleventh word. Every window of three
 consecutive lines is hashed; a window that occurs more than once anywhere in the
 table is repeated. Its first occurrence, by (doc_id, line number), stays; all
-lines that lie in later occurrences go. Passages set into other text are folded
-alike from their first line or sentence end on, so they are found wherever they
-stand.
+lines that lie in later occurrences go. As words are counted from where the line
+before ended, a passage set into other text is folded alike only from a newline
+on, or from a sentence end of it that falls on words 6 to 11 of a line in both
+copies; without one it is not found. ``ORACLE_SQL`` defines the same lines.
 """
 
 from __future__ import annotations
