@@ -2,11 +2,12 @@
 
 The standard library's parser streams events of a page. Text between block
 boundaries is a line, with the number of tags met since the line before. Lines
-in elements that are never content (navigation, forms, adverts, comments and so
-on) are left out. The lines' text-to-tag ratios are smoothed by a Gaussian and
-those above one standard deviation form the clusters of content; the article is
-the container that holds the text of these clusters. All its lines belong to it,
-short ones too.
+in elements that are never content (navigation, forms and so on) are left out,
+and those in elements marked as adverts, comments and the like, unless these hold
+the article or more than little of the content. The lines' text-to-tag ratios are
+smoothed by a Gaussian and those above one standard deviation form the clusters
+of content; all lines of the articles or containers that clusters reach belong to
+the text, short ones too, and so do lines of clusters outside.
 """
 
 from __future__ import annotations
@@ -29,32 +30,60 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 CONTAINERS = frozenset("html body main article section div td center".split())
 #: What an opening tag closes, if it is open in the same container.
 CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "body": "head"}
-#: Words in class, id and role that mark what isn't the article.
-MARKED = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies widget widgets pagination pager toolbar login search searchbox contentinfo complementary dialog masthead topbar".split())
+#: Whole tokens of class, id and role that mark what isn't the article.
+MARKED = frozenset("ad-box ad-banner cookie-notice cookie-banner cookie-consent share-buttons social-share related-posts comments-area comment-list comment-respond post-comments ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies widget widgets pagination pager toolbar login search searchbox contentinfo complementary dialog masthead topbar".split())
+#: Marks of comments and adverts, which may be long beside a short article.
+STRONG = frozenset("comment comments commentlist comments-area comment-list comment-respond post-comments disqus respond reply replies ad ads ad-box ad-banner adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Shares of the content: more than this in a marked element, or most of it in one with a strong mark and without an article element beside it, and the mark doesn't count.
+LITTLE, MOST = 0.2, 0.6
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tags before it, and the containers it lies in."""
+    """Lines of a page: text, tags before it, and the containers it lies in; marked elements can be left out afterwards."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []  # name, left out, number of the container or -1
         self.hidden = 0
         self.kinds: list[str] = []
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.parts: list[str] = []
+        self.marks: list[tuple[int, int, bool]] = []  # marked elements: the one around or -1, their depth, if the mark is strong
+        self.mark = -1
+        self.around: dict[int, int] = {}  # the innermost marked element around each article or main
+        self.raw: list[tuple[list[tuple[str, int]], int, tuple[int, ...]]] = []
+        self.parts: list[tuple[str, int]] = []
         self.tags = 0
 
     def _end_line(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        self.parts.clear()
-        if text:
-            self.lines.append((text, self.tags, tuple(n for _, _, n in self.open if n >= 0)))
+        if self.parts:
+            self.raw.append((self.parts, self.tags, tuple(n for _, _, n in self.open if n >= 0)))
+            self.parts = []
             self.tags = 0
 
     def _pop(self, to: int) -> None:
         while len(self.open) > to:
             self.hidden -= self.open.pop()[1]
+        while self.mark >= 0 and self.marks[self.mark][1] >= to:
+            self.mark = self.marks[self.mark][0]
+
+    def within(self, mark: int) -> list[int]:
+        """A marked element and those around it."""
+        out = []
+        while mark >= 0:
+            out.append(mark)
+            mark = self.marks[mark][0]
+        return out
+
+    def lines(self, dropped: set[int]) -> list[tuple[str, int, tuple[int, ...], list[tuple[str, int]]]]:
+        """Lines without the text in the marked elements ``dropped``; their tags count for the line that follows."""
+        out, tags = [], 0
+        for parts, n, inside in self.raw:
+            tags += n
+            text = " ".join("".join(d for d, mark in parts if mark not in dropped).split())
+            if text:
+                out.append((text, tags, inside, parts))
+                tags = 0
+        return out
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -77,13 +106,17 @@ class Lines(HTMLParser):
             out = True
         if tag not in ("html", "body", "main", "article"):
             marks = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
-            words = set(re.split(r"[^a-z0-9]+", marks.lower())) if marks else set()
-            out = out or not words.isdisjoint(MARKED) or (not inside and bool(words & {"header", "banner"}))
+            words = set(marks.lower().split()) if marks else set()
+            if not out and not self.hidden and tag not in HEADINGS and tag != "p" and (not words.isdisjoint(MARKED) or (not inside and "header" in words)):
+                self.marks.append((self.mark, len(self.open), not words.isdisjoint(STRONG)))
+                self.mark = len(self.marks) - 1
             out = out or any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
         number = -1
         if tag in CONTAINERS:
             number = len(self.kinds)
             self.kinds.append(tag)
+            if tag in ("article", "main"):
+                self.around[number] = self.mark
         self.open.append((tag, out, number))
         self.hidden += out
 
@@ -106,7 +139,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
-            self.parts.append(data)
+            self.parts.append((data, self.mark))
 
     def close(self) -> None:
         super().close()
@@ -123,37 +156,77 @@ def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(values, kernel, "same") / weight
 
 
+def clusters(lines: list) -> tuple[np.ndarray, np.ndarray, Counter[int]]:
+    """Which lines lie in clusters, which of them have a high ratio of their own, and the text of clusters in each container."""
+    sizes = np.array([len(x[0]) for x in lines], float)
+    own = sizes / np.maximum(1, [x[1] for x in lines])
+    ratio = smooth(own)
+    least = min(ratio.std(), ratio.max())
+    content = ratio >= least
+    mass: Counter[int] = Counter()
+    for (_, _, inside, _), size, is_content in zip(lines, sizes.tolist(), content.tolist()):
+        if is_content:
+            for n in inside:
+                mass[n] += size
+    return content, content & (own >= least), mass
+
+
+def left_out(page: Lines) -> set[int]:
+    """Marked elements whose mark counts, and all marked ones within them."""
+    if not page.marks:
+        return set()
+    lines = page.lines(set())
+    if not lines:
+        return set()
+    content, _, mass = clusters(lines)  # nothing left out yet
+    held: Counter[int] = Counter()
+    total = 0
+    for line, is_content in zip(lines, content.tolist()):
+        if is_content:
+            for text, mark in line[3]:
+                size = len("".join(text.split()))
+                total += size
+                for n in page.within(mark):
+                    held[n] += size
+    # The article is the one with most content, if that isn't little; marks around it don't count.
+    article = max(page.around, key=lambda n: (mass[n], -n), default=-1)
+    stands = any(article in line[2] for line in lines)
+    spared = set(page.within(page.around[article])) if article >= 0 and mass[article] > LITTLE * total else set()
+    out: set[int] = set()
+    for n, (above, _, strong) in enumerate(page.marks):
+        beside = strong and stands and n not in page.within(page.around[article])
+        if above in out or (n not in spared and (beside or held[n] <= (MOST if strong else LITTLE) * total)):
+            out.add(n)
+    return out
+
+
 def main_text(html: str | None) -> str:
-    """Lines of the article joined by newlines; empty if there is none."""
+    """Lines of the text of the page joined by newlines; empty if there is none."""
     if not html:
         return ""
     page = Lines()
     page.feed(html)
     page.close()
-    lines = page.lines
+    lines = page.lines(left_out(page))
     if not lines:
         return ""
-    sizes = np.array([len(t) for t, _, _ in lines], float)
-    ratio = smooth(sizes / np.maximum(1, [n for _, n, _ in lines]))
-    content = ratio >= min(ratio.std(), ratio.max())
-    mass: Counter[int] = Counter()
-    for (_, _, inside), size, is_content in zip(lines, sizes.tolist(), content.tolist()):
-        if is_content:
-            for n in inside:
-                mass[n] += size
-    total = float(sizes[content].sum())
-    named = [n for n, kind in enumerate(page.kinds) if kind in ("article", "main") and mass[n] >= 0.3 * total]
-    articles = [n for n in named if page.kinds[n] == "article"] or named
-    if articles:
-        chosen = max(articles, key=lambda n: (mass[n], -n))
-    else:
+    content, high, mass = clusters(lines)
+    total = sum(len(x[0]) for x, c in zip(lines, content.tolist()) if c)
+    kept = {n for n, kind in enumerate(page.kinds) if kind == "article" and mass[n]}
+    for n in (n for n, kind in enumerate(page.kinds) if kind == "main" and mass[n]):
+        # A main belongs to the text as a whole, unless the articles in it hold nearly all of its content.
+        in_articles = sum(len(x[0]) for x, c in zip(lines, content.tolist()) if c and n in x[2] and not kept.isdisjoint(x[2]))
+        if in_articles < 0.9 * mass[n]:
+            kept.add(n)
+    if sum(len(x[0]) for x, c in zip(lines, content.tolist()) if c and not kept.isdisjoint(x[2])) < 0.3 * total:
         # The innermost container with nearly all content; later numbers lie deeper among those that nest.
         wide = [n for n in range(len(page.kinds)) if mass[n] >= 0.9 * total]
-        chosen = wide[-1] if wide else -1
-    if chosen >= 0:
-        return "\n".join(t for t, _, inside in lines if chosen in inside)
-    at = np.flatnonzero(content)
-    return "\n".join(t for t, _, _ in lines[at[0] : at[-1] + 1])
+        if wide:
+            kept.add(wide[-1])
+        else:
+            at = np.flatnonzero(content)
+            high[at[0] : at[-1] + 1] = True
+    return "\n".join(x[0] for x, h in zip(lines, high.tolist()) if h or not kept.isdisjoint(x[2]))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
