@@ -2,7 +2,8 @@
 
 Documents are sorted by id over the whole table and their ids cut into shards of
 whole documents. Each shard is one self-contained block: rounds of Re-Pair
-replace the most frequent adjacent pairs by nonterminals; rules, the expansion
+replace the most frequent adjacent pairs by nonterminals until none is frequent
+or the 16-bit ids run out; rules, the expansion
 length of every nonterminal and a sampled table of expansion offsets are stored,
 so that any token range is decoded without the rest of the shard. Blocks are
 rows of Parquet files in a folder that the caller names; a manifest beside them
@@ -29,6 +30,8 @@ MAGIC = b"RPG1"
 TERMINALS = 50_257
 #: Symbols between two entries of the table of expansion offsets.
 SAMPLE = 1024
+#: The count that the first rounds ask of a pair.
+FREQUENT = 64
 
 
 # --- the grammar of one shard -------------------------------------------------
@@ -67,24 +70,30 @@ def _replace(seq: np.ndarray, keys: np.ndarray, pairs: np.ndarray, first: int) -
     return out[keep]
 
 
-def compress(ids: np.ndarray, rounds: int, min_count: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Symbols, rules (pairs of symbols) and the number of rules of each round."""
-    seq, rules, sizes, at = ids.astype(np.uint16), [], [], TERMINALS
-    for _ in range(rounds):
-        if len(seq) < 2 or at >= 65535:
-            break
+def compress(ids: np.ndarray, rounds: int | None, min_count: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Symbols, rules (pairs of symbols) and the number of rules of each round.
+
+    Rounds go on until no pair occurs ``min_count`` times or the ids run out,
+    unless ``rounds`` limits them. A count asked of pairs falls from ``FREQUENT``
+    by quarters whenever no pair has it, so that frequent ones get their ids first.
+    """
+    seq, rules, sizes, at, asked = ids.astype(np.uint16), [], [], TERMINALS, max(min_count, FREQUENT)
+    while (rounds is None or len(sizes) < rounds) and len(seq) > 1 and at < 65535:
         beside = _adjacent(seq)
         keys = np.sort(beside)
         new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         counts = np.diff(np.r_[new, len(keys)])
-        often = counts >= min_count
+        most = int(counts.max())
+        if most < min_count:
+            break
+        while most < asked:
+            asked = max(min_count, asked // 4)
+        often = counts >= asked
         pairs, counts = keys[new][often], counts[often]
         order = np.argsort(-counts, kind="stable")[: 65535 - at]
         pairs = pairs[order]
         # One pair for each slot of the lookup table: the most frequent one.
         pairs = pairs[np.sort(np.unique(_slots(pairs), return_index=True)[1])]
-        if not len(pairs):
-            break
         seq = _replace(seq, beside, pairs, at)
         rules.append(np.stack([pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)], 1).astype(np.uint16))
         sizes.append(len(pairs))
@@ -119,7 +128,7 @@ def expand(seq: np.ndarray, rules: np.ndarray, sizes: list[int]) -> np.ndarray:
     return seq
 
 
-def pack_shard(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, rounds: int, min_count: int) -> bytes:
+def pack_shard(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, rounds: int | None, min_count: int) -> bytes:
     """Header, documents, rules, expansion lengths, sampled offsets, symbols."""
     seq, rules, sizes = compress(ids, rounds, min_count)
     lengths = expansion_lengths(rules)
@@ -171,7 +180,7 @@ class Shard:
 # --- tables -------------------------------------------------------------------
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, shard_tokens: int = 1 << 19, rounds: int = 2, min_count: int = 64) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, shard_tokens: int = 1 << 19, rounds: int | None = None, min_count: int = 4) -> None:
     """Encode ``docs`` (doc_id, text) and write shards in ascending order of doc_id below ``path``.
 
     Null and empty texts are documents of the end id alone; rows that repeat an
