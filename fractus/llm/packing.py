@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .storage import materialize
 from .tokens import END_ID, default_vocabulary, encoder
 
@@ -159,25 +160,27 @@ def pack(docs: DataFrame, window: int = 1024, vocabulary: str | None = None) ->
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Tokens once: checksums of whole windows, and the remainder's ids, which may be cut later."""
         coder, part = encoder(vocabulary), TaskContext.get().partitionId()
-        end = np.array([END_ID], "<u2").tobytes()
         seen: dict[int, int] = {}
         windows = 0
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
-                ids = some.column(0).to_pylist()
-                cols: dict[str, list] = {k: [] for k in ("part", "doc_id", "n", "crcs", "r", "rank", "windows", "tail")}
-                for doc, raw in zip(ids, coder.encode_batch(some.column(1).to_pylist())):
-                    raw += end
-                    n = len(raw) // 2
-                    whole, r = divmod(n, window)
-                    wide = np.frombuffer(raw, "<u2").astype("<u4").tobytes() if whole else b""
-                    rank = seen.get(r, 0)
-                    seen[r] = rank + 1
-                    for k, v in zip(cols, (part, doc, n, [zlib.crc32(wide[4 * window * i : 4 * window * (i + 1)]) for i in range(whole)], r, rank, windows, raw[2 * whole * window :])):
-                        cols[k].append(v)
-                    windows += whole
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], list(cols))
+        for some in slices(batches, "text"):
+            ids, ends = coder.encode(some.column(1).to_pylist())
+            raw = np.insert(ids, ends, END_ID).tobytes()  # the end id behind each document
+            ends = ends + np.arange(1, len(ends) + 1)
+            counts = np.diff(np.r_[0, ends])
+            cols: dict[str, list] = {k: [] for k in ("crcs", "rank", "windows", "tail")}
+            for start, stop, n in zip((ends - counts).tolist(), ends.tolist(), counts.tolist()):
+                whole, r = divmod(n, window)
+                wide = np.frombuffer(raw, "<u2", whole * window, 2 * start).astype("<u4").tobytes() if whole else b""
+                rank = seen.get(r, 0)
+                seen[r] = rank + 1
+                cols["crcs"].append([zlib.crc32(wide[4 * window * i : 4 * window * (i + 1)]) for i in range(whole)])
+                cols["rank"].append(rank)
+                cols["windows"].append(windows)
+                cols["tail"].append(raw[2 * (start + whole * window) : 2 * stop])
+                windows += whole
+            kinds = (pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary())
+            arrays = [pa.array(v, t) for v, t in zip(cols.values(), kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(counts), pa.int32()), some.column(0), pa.array(counts), arrays[0], pa.array(counts % window, pa.int32()), *arrays[1:]], ["part", "doc_id", "n", "crcs", "r", "rank", "windows", "tail"])
 
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

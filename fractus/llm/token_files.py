@@ -2,10 +2,10 @@
 
 Documents are sorted by id over the whole table and their ids cut into shards of
 whole documents. Each shard is one self-contained block: rounds of Re-Pair
-replace the most frequent adjacent pairs by nonterminals until none is frequent
-or the 16-bit ids run out; rules, the expansion
-length of every nonterminal and a sampled table of expansion offsets are stored,
-so that any token range is decoded without the rest of the shard. Blocks are
+replace the most frequent adjacent pairs by nonterminals until none is frequent;
+rules, the expansion length of every nonterminal and a sampled table of expansion
+offsets are stored, so that any token range is decoded without the rest of the
+shard. Blocks are
 rows of Parquet files in a folder that the caller names; a manifest beside them
 has the number of tokens before each partition.
 """
@@ -22,11 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .storage import partitions, shared_dir
 from .tokens import END_ID, default_vocabulary, encoder
 
-MAGIC = b"RPG1"
-#: Ids from here up are nonterminals; every symbol fits 16 bits.
+MAGIC = b"RPG2"
+#: Ids from here up are nonterminals.
 TERMINALS = 50_257
 #: Symbols between two entries of the table of expansion offsets.
 SAMPLE = 1024
@@ -38,14 +39,17 @@ FREQUENT = 64
 
 
 def _adjacent(seq: np.ndarray) -> np.ndarray:
-    """Each symbol and the next as one number."""
-    keys = seq[:-1].astype(np.uint32)
-    keys <<= 16
+    """Each symbol and the next as one number, of twice the symbols' width."""
+    half = 8 * seq.itemsize
+    keys = seq[:-1].astype(np.uint32 if half == 16 else np.uint64)
+    keys <<= keys.dtype.type(half)
     keys |= seq[1:]
     return keys
 
 
 def _slots(keys: np.ndarray) -> np.ndarray:
+    if keys.dtype == np.uint64:
+        keys = (keys ^ (keys >> np.uint64(29))).astype(np.uint32)
     return (keys * np.uint32(2654435761)) >> np.uint32(16)
 
 
@@ -64,7 +68,7 @@ def _replace(seq: np.ndarray, keys: np.ndarray, pairs: np.ndarray, first: int) -
     every = (at - at[head][np.cumsum(head) - 1]) % 2 == 0  # of overlapping occurrences every other one
     at, code = at[every], code[every]
     out = seq.copy()
-    out[at] = code + np.uint16(first - 1)
+    out[at] = code.astype(seq.dtype) + seq.dtype.type(first - 1)
     keep = np.ones(len(seq), bool)
     keep[at + 1] = False
     return out[keep]
@@ -73,12 +77,13 @@ def _replace(seq: np.ndarray, keys: np.ndarray, pairs: np.ndarray, first: int) -
 def compress(ids: np.ndarray, rounds: int | None, min_count: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Symbols, rules (pairs of symbols) and the number of rules of each round.
 
-    Rounds go on until no pair occurs ``min_count`` times or the ids run out,
-    unless ``rounds`` limits them. A count asked of pairs falls from ``FREQUENT``
-    by quarters whenever no pair has it, so that frequent ones get their ids first.
+    Rounds go on until no pair occurs ``min_count`` times, unless ``rounds``
+    limits them. The count asked of pairs falls from ``FREQUENT`` by quarters
+    whenever no pair has it, so that frequent ones get their ids first. Symbols
+    take 16 bits until their ids run out, and 32 from then on.
     """
     seq, rules, sizes, at, asked = ids.astype(np.uint16), [], [], TERMINALS, max(min_count, FREQUENT)
-    while (rounds is None or len(sizes) < rounds) and len(seq) > 1 and at < 65535:
+    while (rounds is None or len(sizes) < rounds) and len(seq) > 1:
         beside = _adjacent(seq)
         keys = np.sort(beside)
         new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -90,22 +95,40 @@ def compress(ids: np.ndarray, rounds: int | None, min_count: int) -> tuple[np.nd
             asked = max(min_count, asked // 4)
         often = counts >= asked
         pairs, counts = keys[new][often], counts[often]
-        order = np.argsort(-counts, kind="stable")[: 65535 - at]
-        pairs = pairs[order]
-        # One pair for each slot of the lookup table: the most frequent one.
+        pairs = pairs[np.argsort(-counts, kind="stable")]
+        # One pair for each slot of the lookup table: the most frequent one; the others' turn comes next.
         pairs = pairs[np.sort(np.unique(_slots(pairs), return_index=True)[1])]
+        half = 8 * seq.itemsize
+        rules.append(np.stack([pairs >> pairs.dtype.type(half), pairs & pairs.dtype.type((1 << half) - 1)], 1).astype(np.uint32))
+        if at + len(pairs) > 1 << 16 and half == 16:
+            seq, beside = seq.astype(np.uint32), _wide(beside)
+            pairs = _wide(pairs)
+            pairs = pairs[np.sort(np.unique(_slots(pairs), return_index=True)[1])]
+            rules[-1] = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         seq = _replace(seq, beside, pairs, at)
-        rules.append(np.stack([pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)], 1).astype(np.uint16))
         sizes.append(len(pairs))
         at += len(pairs)
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16), sizes
+    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), sizes
 
 
-def expansion_lengths(rules: np.ndarray) -> np.ndarray:
-    """Terminals below each nonterminal; a rule only refers to earlier rules."""
-    lengths = np.ones(len(rules), np.uint32)
-    for i, (a, b) in enumerate(rules.astype(np.int64)):
-        lengths[i] = (lengths[a - TERMINALS] if a >= TERMINALS else 1) + (lengths[b - TERMINALS] if b >= TERMINALS else 1)
+def _wide(keys: np.ndarray) -> np.ndarray:
+    """Pairs of 16-bit symbols as pairs of 32-bit ones."""
+    return (keys.astype(np.uint64) >> np.uint64(16) << np.uint64(32)) | (keys & np.uint32(0xFFFF))
+
+
+def planes(symbols: np.ndarray, extra: int) -> bytes:
+    """Symbols as their low 16 bits, and ``extra`` planes of one bit each for what is above."""
+    wide = symbols.astype(np.uint32)
+    return b"".join([(wide & 0xFFFF).astype("<u2").tobytes(), *(np.packbits((wide >> (16 + b)) & 1 > 0).tobytes() for b in range(extra))])
+
+
+def expansion_lengths(rules: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Terminals below each nonterminal; a rule only refers to rules of earlier rounds."""
+    lengths, low = np.ones(len(rules), np.uint32), 0
+    for size in sizes:
+        of = rules[low : low + size].astype(np.int64) - TERMINALS
+        lengths[low : low + size] = np.where(of >= 0, lengths[np.maximum(of, 0)], 1).sum(1)
+        low += size
     return lengths
 
 
@@ -131,14 +154,15 @@ def expand(seq: np.ndarray, rules: np.ndarray, sizes: list[int]) -> np.ndarray:
 def pack_shard(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, rounds: int | None, min_count: int) -> bytes:
     """Header, documents, rules, expansion lengths, sampled offsets, symbols."""
     seq, rules, sizes = compress(ids, rounds, min_count)
-    lengths = expansion_lengths(rules)
+    lengths = expansion_lengths(rules, sizes)
     each = np.ones(len(seq), np.int64)
     deep = seq >= TERMINALS
     each[deep] = lengths[seq[deep].astype(np.int64) - TERMINALS]
     offsets = np.r_[0, np.cumsum(each)][:-1][::SAMPLE].astype(np.uint32)
-    head = struct.pack("<4sIIIII", MAGIC, len(doc_ids), len(ids), len(seq), len(sizes), len(offsets))
-    parts = [np.array(sizes, "<u4"), doc_ids.astype("<i8"), counts.astype("<u4"), rules.astype("<u2"), lengths.astype("<u4"), offsets.astype("<u4"), seq.astype("<u2")]
-    body = head + b"".join(p.tobytes() for p in parts)
+    extra = max(0, (TERMINALS + len(rules) - 1).bit_length() - 16)
+    head = struct.pack("<4sIIIIII", MAGIC, len(doc_ids), len(ids), len(seq), len(sizes), len(offsets), extra)
+    parts = [np.array(sizes, "<u4"), doc_ids.astype("<i8"), counts.astype("<u4"), lengths.astype("<u4"), offsets.astype("<u4")]
+    body = head + b"".join(p.tobytes() for p in parts) + planes(rules.reshape(-1), extra) + planes(seq, extra)
     return body + struct.pack("<I", zlib.crc32(body))
 
 
@@ -146,10 +170,10 @@ class Shard:
     """A block read back: documents and random access to token ranges."""
 
     def __init__(self, block: bytes):
-        magic, docs, tokens, symbols, rounds, samples = struct.unpack_from("<4sIIIII", block)
+        magic, docs, tokens, symbols, rounds, samples, extra = struct.unpack_from("<4sIIIIII", block)
         if magic != MAGIC or zlib.crc32(memoryview(block)[:-4]) != struct.unpack_from("<I", block, len(block) - 4)[0]:
             raise ValueError("not a token shard, or damaged")
-        at = 24
+        at = 28
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -157,11 +181,20 @@ class Shard:
             at += out.nbytes
             return out
 
+        def take_planes(n: int) -> np.ndarray:
+            out = take("<u2", n)
+            if extra:
+                out = out.astype(np.uint32)
+                for b in range(extra):
+                    out |= np.unpackbits(take("u1", -(-n // 8)), count=n).astype(np.uint32) << np.uint32(16 + b)
+            return out
+
         self.tokens, self.sizes = tokens, take("<u4", rounds).tolist()
         n = sum(self.sizes)
         self.doc_ids, self.counts = take("<i8", docs), take("<u4", docs)
-        self.rules = take("<u2", 2 * n).reshape(-1, 2)
-        self.lengths, self.offsets, self.symbols = take("<u4", n), take("<u4", samples), take("<u2", symbols)
+        self.lengths, self.offsets = take("<u4", n), take("<u4", samples)
+        self.rules = take_planes(2 * n).reshape(-1, 2)
+        self.symbols = take_planes(symbols)
 
     def all(self) -> np.ndarray:
         return expand(self.symbols, self.rules, self.sizes)
@@ -180,13 +213,15 @@ class Shard:
 # --- tables -------------------------------------------------------------------
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, shard_tokens: int = 1 << 19, rounds: int | None = None, min_count: int = 4) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, shard_tokens: int = 1 << 19, rounds: int | None = None, min_count: int = 5) -> None:
     """Encode ``docs`` (doc_id, text) and write shards in ascending order of doc_id below ``path``.
 
     Null and empty texts are documents of the end id alone; rows that repeat an
     id are documents of their own, in order of their text; rows without an id
     come first. Other columns are ignored. An empty table gives no shard.
-    A task holds one shard's ids (2 bytes each) and one batch of texts.
+    A task holds one shard's ids (2 bytes each) and one batch of texts. A rule
+    takes 8 bytes and saves 2 with every replacement, so that pairs are frequent
+    from ``min_count`` = 5 on.
     """
     vocabulary = vocabulary or default_vocabulary()
     spark = docs.sparkSession
@@ -194,32 +229,38 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = encoder(vocabulary), TaskContext.get().partitionId()
-        end = np.array([END_ID], "<u2").tobytes()
         ids: list[int | None] = []
-        coded: list[bytes] = []
+        sizes: list[int] = []
+        coded: list[np.ndarray] = []
         held = shard = before = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, shard, before
-            counts = np.array([len(x) // 2 for x in coded], np.int64)
-            flat = np.frombuffer(b"".join(coded), "<u2")
+            flat = np.concatenate(coded)
             given = np.array([x is not None for x in ids], np.uint8)
-            block = pack_shard(np.array([x or 0 for x in ids], np.int64), counts, flat, rounds, min_count)
+            block = pack_shard(np.array([x or 0 for x in ids], np.int64), np.array(sizes, np.int64), flat, rounds, min_count)
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int64()), "before": pa.array([before], pa.int64()), "n_tokens": pa.array([len(flat)], pa.int64()), "given": pa.array([None if given.all() else given.tobytes()], pa.binary()), "block": pa.array([block], pa.binary())})
             before, shard, held = before + len(flat), shard + 1, 0
-            ids.clear()
-            coded.clear()
+            for x in (ids, sizes, coded):
+                x.clear()
             return row
 
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
-                for doc, raw in zip(some.column(0).to_pylist(), coder.encode_batch(some.column(1).to_pylist())):
-                    ids.append(doc)
-                    coded.append(raw + end)
-                    held += len(raw) // 2 + 1
-                    if held >= shard_tokens:
-                        yield flush()
+        for some in slices(batches, "text"):
+            flat, ends = coder.encode(some.column(1).to_pylist())
+            flat = np.insert(flat, ends, END_ID)  # the end id behind each document
+            ends = ends + np.arange(1, len(ends) + 1)
+            docs, counts, first = some.column(0).to_pylist(), np.diff(np.r_[0, ends]), 0
+            while first < len(docs):
+                # Whole documents until the shard is full; at least one.
+                begin = int(ends[first - 1]) if first else 0
+                last = min(len(docs), int(np.searchsorted(ends, begin + shard_tokens - held, "left")) + 1)
+                ids += docs[first:last]
+                sizes += counts[first:last].tolist()
+                coded.append(flat[begin : ends[last - 1]])
+                held += int(ends[last - 1]) - begin
+                first = last
+                if held >= shard_tokens:
+                    yield flush()
         if ids:
             yield flush()
 

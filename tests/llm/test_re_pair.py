@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from fractus.llm.token_files import TERMINALS, Shard, _adjacent, compress, expand, read_token_files, write_token_files
+from fractus.llm.token_files import TERMINALS, Shard, _adjacent, compress, expand, pack_shard, read_token_files, write_token_files
 
 
 def test_copies_of_a_passage(spark, tmp_path):
@@ -23,5 +23,12 @@ def test_no_frequent_pair_is_left():
     seq, rules, sizes = compress(ids, None, 20)
     assert (expand(seq, rules, sizes) == ids).all()
     assert np.unique(_adjacent(seq), return_counts=True)[1].max() < 20 and len(sizes) > 2
-    seq, rules, sizes = compress(np.random.default_rng(1).integers(0, 300, 500_000).astype(np.uint16), None, 2)
-    assert len(rules) == 65535 - TERMINALS  # the ids ran out
+
+
+def test_symbols_wider_than_16_bits():
+    ids = np.random.default_rng(1).integers(0, 300, 500_000).astype(np.uint16)
+    seq, rules, sizes = compress(ids, None, 2)
+    assert TERMINALS + len(rules) > 65536 and (expand(seq, rules, sizes) == ids).all()
+    assert np.unique(_adjacent(seq), return_counts=True)[1].max() < 2
+    shard = Shard(pack_shard(np.array([7]), np.array([len(ids)]), ids, None, 2))
+    assert (shard.all() == ids).all() and (shard.slice(123_456, 234_567) == ids[123_456:234_567]).all()
