@@ -1,13 +1,13 @@
 """Removal of repeated runs of lines (operator 9), with DataFrame functions only.
 
-A text is folded into lines: a line ends with a newline, with the first sentence
-end after at least six words, or with its eleventh word. Every window of three
-consecutive lines is hashed; a window that occurs more than once anywhere in the
-table is repeated. Its first occurrence, by (doc_id, line number), stays; all
-lines that lie in later occurrences go. As words are counted from where the line
-before ended, a passage set into other text is folded alike only from a newline
-on, or from a sentence end of it that falls on words 6 to 11 of a line in both
-copies; without one it is not found. ``ORACLE_SQL`` defines the same lines.
+A text is folded into lines where its own words say so: a line ends with a
+newline, or with a marked word (eight characters or more, or the end of a
+sentence) behind two words that aren't marked. Three words decide, wherever the
+line began, so a passage has the same lines in any text that it is set into, but
+for the words before its first end. Every window of three consecutive lines is
+hashed; a window that occurs more than once anywhere in the table is repeated.
+Its first occurrence, by (doc_id, text, line number), stays; all lines that lie
+in later occurrences go. ``ORACLE_SQL`` defines the same lines.
 """
 
 from __future__ import annotations
@@ -15,12 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, unused
 
-#: A line with the white space that ends it; the matches add up to the text.
-LINE = r" *(?:[^ \n]+ +){5,10}?[^ \n]*[.!?](?: +|\n+|\z)| *(?:[^ \n]+ +){0,10}[^ \n]*(?: +|\n+|\z)"
+#: Words that aren't marked, words that are, and a line with the white space that ends it; the matches add up to the text.
+PLAIN, MARKED = r"[^ \n]{0,6}[^ \n.!?]", r"(?:[^ \n]{8,}|[^ \n]*[.!?])"
+LINE = rf" *(?:[^\n]*? )??{PLAIN} +{PLAIN} +{MARKED}(?: +|\n+|\z)| *[^\n]*(?:\n+|\z)"
 #: Covered positions that may be broadcast (about 8 bytes each); more are joined by a shuffle.
 BROADCAST_POSITIONS = 4_000_000
+#: What names a row: its id and its text, as rows may share an id or lack one.
+ROW = ("doc_id", "th")
 
 
 def lines_of(text: Column) -> Column:
@@ -29,11 +32,11 @@ def lines_of(text: Column) -> Column:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """Rows (k1, k2, doc_id, i): a 96-bit key of the lines i, i + 1 and i + 2."""
-    hashed = docs.select("doc_id", F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(F.btrim(x, F.lit(" \n")))).alias("h"))
+    """Rows (k1, k2, doc_id, th, i): a 96-bit key of the lines i, i + 1 and i + 2."""
+    hashed = docs.select(*ROW, F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(F.btrim(x, F.lit(" \n")))).alias("h"))
     at = F.posexplode(F.slice("h", F.lit(1), F.greatest(F.size("h") - 2, F.lit(0))))
-    rows = hashed.select("doc_id", "h", at.alias("i", "a")).select("doc_id", "i", "a", F.get("h", F.col("i") + 1).alias("b"), F.get("h", F.col("i") + 2).alias("c"))
-    return rows.select(F.xxhash64("a", "b", "c").alias("k1"), F.hash("a", "b", "c").alias("k2"), "doc_id", "i")
+    rows = hashed.select(*ROW, "h", at.alias("i", "a")).select(*ROW, "i", "a", F.get("h", F.col("i") + 1).alias("b"), F.get("h", F.col("i") + 2).alias("c"))
+    return rows.select(F.xxhash64("a", "b", "c").alias("k1"), F.hash("a", "b", "c").alias("k2"), *ROW, "i")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -41,32 +44,36 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     A null text stays null and an empty one empty, both with no lines; a text of
     fewer than three lines has no window and stays as it is. Within one text
-    later occurrences go too. Rows that share a doc_id (null included) and place
-    count as one occurrence, so repeated rows keep their text. A text that
-    repeats others wholly becomes empty; its row stays. Columns named n_lines
-    and n_removed are replaced; all other columns are carried along.
+    later occurrences go too. Rows that repeat an id with another text are cut
+    each by its own text; rows that repeat both (ids may be null) count as one,
+    so that none of them loses its text to another. A text that repeats others
+    wholly becomes empty; its row stays. Columns named n_lines and n_removed are
+    replaced; all other columns are carried along, whatever their names.
     """
     if docs.isEmpty():
         zero = F.lit(0).cast("long")
         return docs.withColumns({"n_lines": zero, "n_removed": zero})
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    seen = materialize(windows(own), "line-windows")
+    docs = docs.drop("n_lines", "n_removed")
+    doc_id, digest = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    seen = materialize(windows(docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), digest.alias("th"))), "line-windows")
     # Counts and first places combine within each task before the shuffle, so a hot window is one row a task.
-    repeated = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = seen.join(repeated, ["k1", "k2"]).where(~F.struct("doc_id", "i").eqNullSafe(F.col("first")))
-    covered = later.groupBy("doc_id").agg(F.collect_set("i").alias("at"))
-    covered = materialize(covered.select(F.col("doc_id").alias("__id"), F.col("at").alias("__at")), "line-covered")
-    size = covered.agg(F.coalesce(F.sum(F.size("__at") + 4), F.lit(0))).first()[0]
+    # They are written: of a join of two shuffled tables Spark splits the partitions that hot windows fill.
+    repeated = seen.groupBy("k1", "k2").agg(F.min(F.struct(*ROW, "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = materialize(repeated, "line-repeated")
+    later = seen.join(repeated, ["k1", "k2"]).where(~F.struct(*ROW, "i").eqNullSafe(F.col("first")))
+    covered = materialize(later.groupBy(*ROW).agg(F.collect_set("i").alias("at")), "line-covered")
+    size = covered.agg(F.coalesce(F.sum(F.size("at") + 6), F.lit(0))).first()[0]
+    of, th, at, lines = unused(docs, "of", "th", "at", "lines")
+    covered = covered.toDF(of, th, at)
     if size <= BROADCAST_POSITIONS:
         covered = F.broadcast(covered)
-    joined = docs.drop("n_lines", "n_removed").join(covered, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
-    joined = joined.withColumn("__lines", lines_of(F.col("text")))
-    gone = F.array_distinct(F.flatten(F.transform("__at", lambda p: F.array(p, p + 1, p + 2))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone)
-    text = F.when(F.col("__at").isNull() | (F.size("__lines") < 3), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda j: F.get("__lines", j)), ""))
-    n = F.size("__lines").cast("long")
-    left = F.when(F.col("__at").isNull() | (F.size("__lines") < 3), n).otherwise(F.size(kept).cast("long"))
-    return joined.withColumns({"text": text, "n_lines": n, "n_removed": n - left}).drop("__lines", "__id", "__at")
+    joined = docs.join(covered, doc_id.eqNullSafe(F.col(of)) & (digest == F.col(th)), "left").withColumn(lines, lines_of(F.col("text").cast("string")))
+    gone = F.array_distinct(F.flatten(F.transform(at, lambda p: F.array(p, p + 1, p + 2))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    text = F.when(F.col(at).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda j: F.get(lines, j)), ""))
+    n = F.size(lines).cast("long")
+    left = F.when(F.col(at).isNull(), n).otherwise(F.size(kept).cast("long"))
+    return joined.withColumns({"text": text, "n_lines": n, "n_removed": n - left}).drop(lines, of, th, at)
 
 
 ORACLE_SQL = r"""
