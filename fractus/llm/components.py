@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,16 +27,19 @@ def star_components(links: DataFrame) -> DataFrame:
     """Rows (node, label): for each node of ``links`` (a, b) the smallest node that it reaches.
 
     Alternating star operations; each round is written to the shared folder, so
-    the plan stays short and lost executors cost one round. Nodes without links
-    have no row.
+    the plan stays short and lost executors cost one round. The loop ends when a
+    round leaves the number of links and two 64-bit sums over all of them (links
+    are distinct, so exclusive or tells sets apart) as they were. Nodes without
+    links have no row.
     """
     edges = materialize(links.where("a <> b").select("a", "b").distinct(), "edges")
     mark = None
     while True:
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first()
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", F.lit(1), "a"))).first()
         if now[0] == 0 or now == mark:
             break
-        mark = now
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        mark, before = now, edges
+        edges = materialize(_small_star(_large_star(before)), "edges")
+        discard(before)
     # At the end each node but the smallest of its component has one edge, to that one.
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -4,7 +4,8 @@
    n-grams among the first ones of each. Only these prefixes are shuffled, once
    combined within each task; a text whose prefix shares too few n-grams with any
    other text can't link and is settled.
-2. Texts with equal sets become one representative.
+2. Texts with equal sets become one representative, numbered in the order of the
+   smallest ids.
 3. Order. The representatives' n-grams are ordered by frequency (rarest first);
    n-grams of one representative alone are dropped. The order is cut into
    fragments, each twice as frequent as the one before.
@@ -31,13 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import star_components
+from .batches import slices
 from .shingles import shingle_sets
-from .storage import materialize, partitions
+from .storage import discard, materialize, partitions
 
 #: Postings that a task combines before it sends them (17 bytes each).
 HELD = 1_000_000
 #: Survivors that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes of text for each bucket of step 1, whose postings take about as many: one bucket is counted at once.
+BUCKET_BYTES = 32 << 20
 #: Lists up to this length are compared as pairs, longer ones in blocks.
 SHORT_LIST = 48
 #: Texts on either side of a block: bounds a task's memory.
@@ -92,19 +96,17 @@ def _prefix_rows(size: int, percent: int, buckets: int):
             held = 0
             return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[k], pa.binary()) for k in ("hashes", "docs", "many", "ns"))], ["bucket", "hashes", "docs", "many", "ns"])
 
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                some = batch.slice(lo, 2000)
-                for doc, grams in zip(some.column(0).to_pylist(), shingle_sets(some.column(1), size)):
-                    n = len(grams)
-                    prefix = min(n, n - least_common(n, percent) + _shared_needed(n)) if n else 0
-                    keys.append(grams[:prefix])
-                    docs.append(np.full(prefix, len(ids), np.int64))
-                    ids.append(doc)
-                    ns.append(n)
-                    held += prefix
-                    if held >= HELD:
-                        yield flush()
+        for some in slices(batches, 1):
+            for doc, grams in zip(some.column(0).to_pylist(), shingle_sets(some.column(1), size)):
+                n = len(grams)
+                prefix = min(n, n - least_common(n, percent) + _shared_needed(n)) if n else 0
+                keys.append(grams[:prefix])
+                docs.append(np.full(prefix, len(ids), np.int64))
+                ids.append(doc)
+                ns.append(n)
+                held += prefix
+                if held >= HELD:
+                    yield flush()
         if ids:
             yield flush()
 
@@ -145,7 +147,8 @@ def _count_shared(table: pa.Table) -> pa.Table:
 
 def sizes_and_survivors(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Rows (doc_id, n, may_link), one for each row of ``docs``."""
-    buckets = 4 * partitions(docs.sparkSession)
+    measured = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(4 * partitions(docs.sparkSession), -(-measured // BUCKET_BYTES))
     sent = docs.mapInArrow(_prefix_rows(size, percent, buckets), "bucket int, hashes binary, docs binary, many binary, ns binary")
     counted = sent.groupBy("bucket").applyInArrow(_count_shared, "doc_id long, n long, shared long")
     by_id = counted.groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.collect_list("n").alias("ns"))
@@ -158,16 +161,17 @@ def sizes_and_survivors(docs: DataFrame, size: int, percent: int) -> DataFrame:
 # --- 2. representatives -------------------------------------------------------
 
 
+SETS = "doc_id long, th long, n long, digest binary, grams array<long>"
+
+
 def _sets(size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                some = batch.slice(lo, 1000)
-                sets = list(shingle_sets(some.column(1), size))
-                offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32))
-                values = pa.array((np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64))
-                digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "n", "digest", "grams"])
+        for some in slices(batches, 1):
+            sets = list(shingle_sets(some.column(1), size))
+            offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32))
+            values = pa.array((np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64))
+            digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "th", "n", "digest", "grams"])
 
     return rows
 
@@ -236,30 +240,25 @@ def _block(*columns: Column) -> Column:
 # --- the operator -------------------------------------------------------------
 
 
-def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one for each row of ``docs`` (doc_id, text).
-
-    The set of a text are its distinct shingles of ``size`` words (A to Z
-    lower-cased, words cut at ASCII white space); with fewer words the whole
-    sequence is the one shingle. Two texts link when 100 * |intersection| >=
-    ``percent`` * |union|. component_id is the smallest doc_id reachable by links.
+def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n) that link with nothing, and rows (doc_id, th, n, rep, label, component) of all others.
 
-    Null and empty texts have no shingles and link with nothing. Rows without an
-    id take no part: their component_id is null. Rows that repeat an id are
-    texts of their own that get, where their sizes agree, the same component.
-    Other columns are ignored; an empty table gives no row. Sets are compared as
-    64-bit hashes of shingles: two given texts of 20,000 words collide in one of
-    more than 10^10 cases.
+    Together one row for each of ``docs`` (doc_id, text), of which none lacks an
+    id. ``th`` is a hash of the text, ``label`` the smallest representative that
+    ``rep`` reaches, and component the smallest id of its texts.
     """
-    spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    known, unknown = own.where("doc_id IS NOT NULL"), own.where("doc_id IS NULL")
-    sizes = materialize(sizes_and_survivors(known, size, percent), "ngram-sizes")
+    sizes = materialize(sizes_and_survivors(docs, size, percent), "ngram-sizes")
     survivors = sizes.where("may_link").select("doc_id").distinct()
     few = sizes.where("may_link").count() <= BROADCAST_IDS
-    kept = known.join(F.broadcast(survivors) if few else survivors, "doc_id", "left_semi")
-    sets = materialize(kept.mapInArrow(_sets(size), "doc_id long, n long, digest binary, grams array<long>").where("n > 0"), "ngram-sets")
-    reps = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("grams").alias("grams"))
+    survivors = F.broadcast(survivors) if few else survivors
+    kept = docs.join(survivors, "doc_id", "left_semi").select("doc_id", "text", F.xxhash64("text").alias("th"))
+    sets = materialize(kept.mapInArrow(_sets(size), SETS).where("n > 0"), "ngram-sets")
+    alone = sizes.where("n = 0").unionByName(sizes.where("n > 0").join(survivors, "doc_id", "left_anti").select(*sizes.columns))
+
+    # Representatives are numbered in the order of their smallest ids: the smallest of a class has the smallest id.
+    names = sets.groupBy("digest").agg(F.min("doc_id").alias("least")).orderBy("least", "digest")
+    names = materialize(names.withColumn("rep", F.monotonically_increasing_id()), "ngram-names")
+    reps = sets.groupBy("digest").agg(F.first("n").alias("n"), F.first("grams").alias("grams")).join(names, "digest")
 
     # The order of all n-grams that two representatives have: by frequency, then by hash.
     postings = materialize(reps.select("rep", "n", F.explode("grams").alias("gram")), "ngram-postings")
@@ -268,6 +267,7 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataF
     own_grams = F.col("n") - F.size("grams")
     prefix = (F.col("n") - least_common(F.col("n"), percent) + 1 - own_grams).cast("int")
     ordered = materialize(ordered.withColumns({"rare": own_grams / F.col("n"), "prefix": prefix}).where("prefix > 0"), "ngram-ordered")
+    discard(postings)
     each = ordered.select("rep", "n", F.explode("grams").alias("g"))
     fragments = each.groupBy("rep", "n", F.floor(F.log2(F.col("g.df"))).cast("int").alias("fragment")).agg(F.collect_list("g.gram").alias("grams"))
     fragments = materialize(fragments, "ngram-fragments")
@@ -276,26 +276,21 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataF
     lists = ordered.select("rep", "n", "rare", F.explode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("g")).select("rep", "n", "rare", F.col("g.gram").alias("gram"))
     heads = lists.groupBy("gram").agg(F.min(F.struct("rare", "rep", "n")).alias("hub"), F.count("*").alias("length")).where("length > 1")
     lists = materialize(lists.join(heads, "gram").select("gram", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), "length"), "ngram-lists")
+    discard(ordered)
     alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     rays = lists.where(F.col("rep") != F.col("hub")).where(alike(F.col("n"), F.col("hub_n"))).select("hub", "rep").distinct()
-    salt = F.pmod(F.hash("rep"), F.lit(1 << 16)) % F.greatest(F.lit(1), F.ceil(F.col("rays") / F.lit(BLOCK_TEXTS)))
-    per_hub = rays.groupBy("hub").agg(F.count("*").alias("rays"))
-    salted = rays.join(per_hub, "hub").select("hub", "rep", salt.alias("salt"))
-    texts = salted.select(_block("hub", "salt").alias("block"), F.lit(False).alias("probe"), "rep")
-    probes = salted.select("hub", "salt").distinct().select(_block("hub", "salt").alias("block"), F.lit(True).alias("probe"), F.col("hub").alias("rep"))
-    links = materialize(compare(texts.unionByName(probes), fragments, percent), "ngram-links")
+    links = materialize(compare(_around(rays, "hub", "rep"), fragments, percent), "ngram-links")
     labels = star_components(links)
 
     # Pairs of one list that lie in different components still.
     named = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     open_lists = named.groupBy("gram").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("gram")
     still = materialize(named.join(open_lists, "gram", "left_semi"), "ngram-open")
+    discard(lists)
     short = still.where(F.col("length") <= SHORT_LIST).select("gram", "rep", "n", "label", "hub")
     other = short.select("gram", *(F.col(c).alias(f"o_{c}") for c in ("rep", "n", "label")))
     pairs = short.join(other, "gram").where((F.col("rep") < F.col("o_rep")) & (F.col("label") != F.col("o_label")) & (F.col("rep") != F.col("hub")) & (F.col("o_rep") != F.col("hub")))
     pairs = pairs.where(alike(F.col("n"), F.col("o_n"))).select("rep", "o_rep").distinct()
-    pair_texts = pairs.select(_block("rep").alias("block"), F.lit(False).alias("probe"), F.col("o_rep").alias("rep"))
-    pair_probes = pairs.select("rep").distinct().select(_block("rep").alias("block"), F.lit(True).alias("probe"), "rep")
     long = still.where(F.col("length") > SHORT_LIST).select("hub", "rep", "label").distinct()
     home = long.where(F.col("rep") == F.col("hub")).select("hub", F.col("label").alias("home")).distinct()
     long = long.join(home, "hub", "left").withColumn("probe", ~F.col("label").eqNullSafe(F.col("home")))
@@ -305,18 +300,65 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataF
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     block_probes = long.where("probe").select("hub", spread("rows").alias("r"), every("cols").alias("c"), "rep").select(_block("hub", "r", "c").alias("block"), F.lit(True).alias("probe"), "rep")
     block_texts = long.select("hub", every("rows").alias("r"), spread("cols").alias("c"), "rep").select(_block("hub", "r", "c").alias("block"), F.lit(False).alias("probe"), "rep")
-    members = pair_texts.unionByName(pair_probes).unionByName(block_probes).unionByName(block_texts)
+    members = _around(pairs, "rep", "o_rep").unionByName(block_probes).unionByName(block_texts)
     rest = compare(members, fragments, percent).where("a <> b")
-    labels = star_components(materialize(links.unionByName(rest), "ngram-links"))
+    all_links = materialize(links.unionByName(rest), "ngram-links")
+    discard(links, still, fragments)
+    labels = star_components(all_links)
 
     # Back to all texts.
-    groups = sets.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    groups = groups.select("digest", F.coalesce("label", "rep").alias("component"))
-    found = sets.select("doc_id", "n", "digest").join(groups, "digest").groupBy("doc_id", "n").agg(F.min("component").alias("component"))
-    result = sizes.join(found, ["doc_id", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    loose = unknown.mapInArrow(_sets(size), "doc_id long, n long, digest binary, grams array<long>").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    del spark
-    return result.unionByName(loose)
+    smallest = names.select(F.col("rep").alias("label"), F.col("least").alias("component"))
+    groups = names.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "rep", F.coalesce("label", "rep").alias("label")).join(smallest, "label")
+    return alone, sets.select("doc_id", "th", "n", "digest").join(groups, "digest").drop("digest")
+
+
+def _around(rays: DataFrame, centre: str, other: str) -> DataFrame:
+    """Members (block, probe, rep) of blocks of one text, the centre, with at most about ``BLOCK_TEXTS`` others each."""
+    count = rays.groupBy(centre).agg(F.count("*").alias("rays"))
+    salt = F.pmod(F.hash(other), F.lit(1 << 16)) % F.greatest(F.lit(1), F.ceil(F.col("rays") / F.lit(BLOCK_TEXTS)))
+    salted = rays.join(count, centre).select(F.col(centre).alias("centre"), F.col(other).alias("rep"), salt.alias("salt"))
+    texts = salted.select(_block("centre", "salt").alias("block"), F.lit(False).alias("probe"), "rep")
+    return texts.unionByName(salted.select("centre", "salt").distinct().select(_block("centre", "salt").alias("block"), F.lit(True).alias("probe"), F.col("centre").alias("rep")))
+
+
+def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id), one for each row of ``docs`` (doc_id, text).
+
+    The set of a text are its distinct shingles of ``size`` words (A to Z
+    lower-cased, words cut at ASCII white space); with fewer words the whole
+    sequence is the one shingle. Two texts link when 100 * |intersection| >=
+    ``percent`` * |union|. component_id is the smallest doc_id reachable by links.
+
+    Null and empty texts have no shingles and link with nothing. Rows without an
+    id take no part: their component_id is null. Rows that repeat an id are
+    texts of their own, each in the class that its own text links with. Other
+    columns are ignored; an empty table gives no row. Sets are compared as 64-bit
+    hashes of shingles: two given texts of 20,000 words collide in one of more
+    than 10^10 cases.
+    """
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    known, unknown = own.where("doc_id IS NOT NULL"), own.where("doc_id IS NULL")
+    alone, linked = _classes(known, size, percent)
+    result = alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    result = result.unionByName(linked.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")))
+    loose = unknown.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_sets(size), SETS)
+    return result.unionByName(loose.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+
+
+def near_copies(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """Rows (doc_id, th, copies, keep) of the texts of ``docs`` that a filter has to look at.
+
+    Of each class of :func:`ngram_components` one text is kept: that of the
+    smallest id, and of several texts with this id that of the smallest hash
+    ``th`` = xxhash64(text). All others have a row with keep = false. A kept text
+    has a row only if ``copies`` of its rows, more than one, repeat id and text.
+    """
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
+    linked = _classes(own, size, percent)[1].groupBy("label", "doc_id", "th").agg(F.count("*").alias("copies"))
+    linked = materialize(linked, "ngram-classes")
+    first = materialize(linked.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("first")), "ngram-first")
+    marked = linked.join(first, "label").select("doc_id", "th", "copies", (F.struct("doc_id", "th") == F.col("first")).alias("keep"))
+    return marked.where("NOT keep OR copies > 1")
 
 
 ORACLE_SQL = r"""

@@ -112,6 +112,18 @@ def test_ngram_components(spark, docs, rows, monkeypatch):
     assert Counter(tuple(r) for r in ngram_components(docs).collect()) == got
 
 
+def test_ngram_components_of_rows_that_share_an_id(spark):
+    rng = random.Random(8)
+    words = [f"u{i}" for i in range(5000)]
+    a, b, c = (" ".join(rng.sample(words, 104)) for _ in range(3))
+    half = " ".join(a.split()[:54] + b.split()[:54])
+    near = lambda t: " ".join([*t.split()[:-1], "end"])
+    rows = [(1, a), (1, b), (2, half), (3, near(a)), (4, near(b)), (5, c), (5, a), (6, near(c)), (6, near(c)), (7, c), (8, None), (8, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in ngram_components(docs).collect())
+    assert got == brute_components(rows) and got[(2, 104, 2)] == 1 and got[(5, 100, 5)] == got[(5, 100, 1)] == 1
+
+
 def test_ngram_components_of_nothing(empty):
     assert ngram_components(empty).count() == 0
 
@@ -212,26 +224,30 @@ def test_nnls_and_plan():
 
 def brute_lines(rows):
     line = re.compile(line_dedup.LINE.replace(r"\z", r"\Z"))
-    split = [(k, i, [x for x in line.findall(t or "") if x]) for k, (i, t) in enumerate(rows)]
+    split = [(i, t, [x for x in line.findall(t or "") if x]) for i, t in rows]
     key = lambda a, j: tuple(x.strip(" \n") for x in a[j : j + 3])
-    first, count = {}, Counter()
-    order = lambda i: (i is not None, i or 0)
-    for _, i, a in split:
+    signed = text_order(rows)
+    order = lambda i, t: (i is not None, i or 0, signed[t])
+    first = {}
+    for i, t, a in split:
         for j in range(len(a) - 2):
             k = key(a, j)
-            count[k] += 1
-            first[k] = min(first.get(k, (order(i), j)), (order(i), j))
-    later = {(i, j) for _, i, a in split for j in range(len(a) - 2) if count[key(a, j)] > 1 and first[key(a, j)] != (order(i), j)}
+            first[k] = min(first.get(k, (order(i, t), j)), (order(i, t), j))
     out = []
-    for k, i, a in split:
-        gone = {j + d for j in range(len(a)) if (i, j) in later for d in range(3)}
-        text = rows[k][1]
-        if gone and len(a) >= 3:
-            text = "".join(x for j, x in enumerate(a) if j not in gone)
-        out.append((i, len(a), len([j for j in range(len(a)) if j in gone]) if len(a) >= 3 else 0, text))
+    for i, t, a in split:
+        gone = {j + d for j in range(len(a) - 2) if first[key(a, j)] != (order(i, t), j) for d in range(3)}
+        out.append((i, len(a), len(gone), "".join(x for j, x in enumerate(a) if j not in gone) if gone else t))
     return Counter(out)
 
 
+def text_order(rows):
+    """The order of texts under one id: Spark's hash of them."""
+    from pyspark.sql import SparkSession
+
+    texts = SparkSession.active().createDataFrame([(t,) for t in {t for _, t in rows}], "t string")
+    return {r.t: r.h for r in texts.select("t", F.xxhash64("t").alias("h")).collect()}
+
+
 def test_line_dedup(docs, rows, empty, monkeypatch):
     want = brute_lines(rows)
     got = line_dedup.dedup_lines(docs)
@@ -243,8 +259,34 @@ def test_line_dedup(docs, rows, empty, monkeypatch):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    rng = random.Random(4)
+    own, other, passage = ("".join(f"{prose(rng, 20)}\n" for _ in range(8)) for _ in range(3))
+    rows = [(1, passage), (7, own), (7, "\n" + passage + "End."), (None, other), (None, "x\n" + passage), (None, other), (9, passage), (9, passage)]
+    docs = spark.createDataFrame([(i, t, 0, 0, 0, 0) for i, t in rows], "doc_id long, text string, th int, OF int, at int, lines_ int")
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+    got = Counter(tuple(r) for r in got.select("doc_id", "n_lines", "n_removed", "text").collect())
+    assert got == brute_lines(rows)
+    left = {(i, t): n for i, _, n, t in got}
+    assert left[7, own] == left[None, other] == left[None, "x\n" + passage] == 0 and left[7, "\nEnd."] > 0
+
+
+def test_passages_without_newlines_are_found_at_any_place(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.choice((2, 3, 3, 4, 5, 6, 7, 8, 9)))) for _ in range(900)]
+    said = lambda n: " ".join(rng.choice(words) + rng.choice([""] * 9 + [".", ","]) for _ in range(n))
+    passages = [said(100) for _ in range(110)]
+    rows = [(k, said(30) + " " + p + " " + said(30)) for k, p in enumerate(passages)]
+    rows += [(1000 + k, said(30 + k % 11) + " " + p + " " + said(20)) for k, p in enumerate(passages)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k].n_removed == 0 and got[k].text == rows[k][1] for k in range(110))
+    cut = [1 - len(got[1000 + k].text) / len(rows[110 + k][1]) for k in range(110)]
+    assert min(cut) > 0.2 and sum(cut) / 110 > 0.5  # the passage is 60 to 66 % of the text
+
+
 def test_lines_add_up_to_the_text(spark):
-    texts = ["", "a", "\n\na b\n", "A b c d e f. G h", " ".join("abcdefghijklmnop"), "x " * 40 + "\n\ny"]
+    texts = ["", "a", "\n\na b\n", "A b c d e f. G h", " ".join("abcdefghijklmnop"), "a b unmistakably c  d unmistakably. E\nf g.", "g" * 30_000, "a " * 30_000, "abcdefghi " * 30_000, "x " * 40 + "\n\ny"]
     got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.array_join(line_dedup.lines_of(F.col("text")), "").alias("again")).collect()
     assert all(r.text == r.again for r in got)
 
