@@ -5,7 +5,8 @@ decide: of each benchmark window the ``rarest`` distinct terms by their counts
 in the corpus. Candidate places are the postings of a window's rarest term,
 shifted by the term's offset in the window, and are intersected with the shifted
 lists of its next rarest terms. What remains is compared with the window word by
-word, as a hash of the whole phrase in the text.
+word, as a hash of the whole phrase in the text. Postings name a row by a hash of
+its id and text: rows may share an id, and the comparison is with their own text.
 """
 
 from __future__ import annotations
@@ -13,13 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, fits, materialize, small, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: every ASCII character but digits and lower-case letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows of a table that may be broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -30,11 +29,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lowered, SEPARATORS), "")
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """With a broadcast hint if its rows, counted now, are within the limit."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def phrase_hash(words: Column) -> Column:
     return F.xxhash64(F.array_join(words, " "))
 
@@ -52,97 +46,133 @@ def benchmark_windows(items: DataFrame, size: int) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Occurrences of each of ``terms`` in all texts; terms that never occur have no row."""
-    found = docs.select(F.explode(words_of(F.col("text"))).alias("term")).join(small(terms), "term")
-    return found.groupBy("term").count()
+    found = docs.select(F.explode(words_of(F.col("text"))).alias("term"))
+    if fits(terms):
+        return found.join(F.broadcast(terms), "term").groupBy("term").count()
+    return found.groupBy("term").count().join(terms, "term")  # a frequent word is one row of each task
 
 
-def rarest_terms(windows: DataFrame, counts: DataFrame, rarest: int) -> DataFrame:
+def rarest_terms(windows: DataFrame, counts: DataFrame, rarest: int, partly: bool = False) -> DataFrame:
     """For each window the array ``anchors`` of (count, term, offset), rarest first.
 
-    A window with a term that never occurs can't occur either and is left out.
+    A window with a term that never occurs can't occur either and is left out,
+    unless windows may occur ``partly``.
     """
     terms = windows.select("key", "len", F.posexplode("words").alias("off", "term"))
     terms = terms.groupBy("key", "len", "term").agg(F.min("off").alias("off"))
-    known = terms.join(counts, "term", "left").groupBy("key", "len").agg(F.count_if(F.col("count").isNull()).alias("absent"), F.sort_array(F.collect_list(F.struct(F.col("count"), "term", "off"))).alias("anchors"))
-    return known.where("absent = 0").select("key", "len", F.slice("anchors", 1, rarest).alias("anchors"))
+    joined = terms.join(counts, "term", "left")
+    anchor = F.when(F.col("count").isNotNull(), F.struct(F.col("count"), "term", "off"))
+    known = joined.groupBy("key", "len").agg(F.count_if(F.col("count").isNull()).alias("absent"), F.sort_array(F.collect_list(anchor)).alias("anchors"))
+    known = known.where("size(anchors) > 0" if partly else "absent = 0")
+    return known.select("key", "len", F.slice("anchors", 1, rarest).alias("anchors"))
+
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of both, which names a row."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.withColumn("row", F.xxhash64("doc_id", "text"))
 
-def positional_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings (term, doc_id, pos) of ``terms``, pos counting words from 0; written to the shared folder."""
-    postings = docs.select("doc_id", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
-    return materialize(postings.join(small(terms), "term").select("term", "doc_id", "pos"), "postings")
+
+def positional_index(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings (term, row, pos) of ``terms``, pos counting words from 0; written to the shared folder."""
+    postings = rows.select("row", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+    return materialize(postings.join(small(terms), "term").select("term", "row", "pos"), "postings")
 
 
 def intersect(index: DataFrame, windows: DataFrame, rarest: int, slop: int = 0) -> DataFrame:
-    """Places (doc_id, start, key, len) where the anchors of a window stand at their offsets.
+    """Places (row, start, key, len) where the anchors of a window stand at their offsets.
 
     The list of the rarest term is shifted by its offset; each further list is
-    joined by document and term and must have a posting at the shifted place,
-    or with ``slop`` at most that many words from it. Rows never exceed the
-    postings of the rarest terms.
+    joined by row and term and must have a posting at the shifted place, or with
+    ``slop`` at most that many words from it. Rows never exceed the postings of
+    the rarest terms.
     """
     first = windows.select("key", "len", "anchors", F.col("anchors")[0]["term"].alias("term"), F.col("anchors")[0]["off"].alias("off"))
-    places = index.join(small(first), "term").select("doc_id", (F.col("pos") - F.col("off")).alias("start"), "key", "len", "anchors")
+    places = index.join(small(first), "term").select("row", (F.col("pos") - F.col("off")).alias("start"), "key", "len", "anchors")
     if not slop:
         places = places.where("start >= 0")
     for k in range(1, rarest):
         anchor = F.get("anchors", F.lit(k))
         wanted = places.withColumns({"w_term": anchor["term"], "w_pos": F.col("start") + anchor["off"]})
         single, more = wanted.where(F.col("w_term").isNull()), wanted.where(F.col("w_term").isNotNull())
-        other = index.select(F.col("doc_id").alias("o_doc"), F.col("term").alias("o_term"), F.col("pos").alias("o_pos"))
-        same = F.col("doc_id").eqNullSafe(F.col("o_doc")) & (F.col("w_term") == F.col("o_term"))
+        other = index.select(F.col("row").alias("o_row"), F.col("term").alias("o_term"), F.col("pos").alias("o_pos"))
+        same = (F.col("row") == F.col("o_row")) & (F.col("w_term") == F.col("o_term"))
         near = F.col("w_pos") == F.col("o_pos") if not slop else F.abs(F.col("w_pos") - F.col("o_pos")) <= slop
-        places = more.join(other, same & near, "left_semi").unionByName(single).select("doc_id", "start", "key", "len", "anchors")
-    return places.select("doc_id", "start", "key", "len")
+        places = more.join(other, same & near, "left_semi").unionByName(single).select("row", "start", "key", "len", "anchors")
+    return places.select("row", "start", "key", "len").distinct()
 
 
-def _prepared(docs: DataFrame, items: DataFrame, size: int, rarest: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def _prepared(rows: DataFrame, items: DataFrame, size: int, rarest: int, partly: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     windows = materialize(benchmark_windows(items, size), "bench-windows")
-    counts = materialize(term_counts(own, windows.select(F.explode("words").alias("term")).distinct()), "term-counts")
-    anchored = materialize(rarest_terms(windows, counts, rarest), "bench-anchors")
-    index = positional_index(own, anchored.select(F.explode("anchors.term").alias("term")).distinct())
-    return windows, anchored, index
+    counts = materialize(term_counts(rows, windows.select(F.explode("words").alias("term")).distinct()), "term-counts")
+    anchored = materialize(rarest_terms(windows, counts, rarest, partly), "bench-anchors")
+    index = positional_index(rows, anchored.select(F.explode("anchors.term").alias("term")).distinct())
+    return windows, counts, anchored, index
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, size: int = 10, rarest: int = 3, slop: int = 2) -> DataFrame:
-    """Distinct (doc_id, item_id, start) where a window's rarest terms stand within ``slop`` words of their places.
+    """Distinct (doc_id, item_id, start) where all words of a window that occur in ``docs`` stand within ``slop`` words of their places.
 
-    Null texts have no words; item_id is a string.
+    ``start`` is where the window would begin by the place of its rarest word, so
+    it may be negative. Words that no text has are passed over, but a window has
+    at least one that some text has. Null texts have no words; item_id is a string.
     """
-    windows, anchored, index = _prepared(docs, items, size, rarest)
-    places = intersect(index, anchored, rarest, slop)
-    return places.join(small(windows.select("key", "items")), "key").select("doc_id", F.explode("items").alias("item_id"), "start").distinct()
+    rows = _rows(docs)
+    windows, counts, anchored, index = _prepared(rows, items, size, rarest, partly=True)
+    places = materialize(intersect(index, anchored, rarest, slop), "places")
+    words = windows.select("key", F.posexplode("words").alias("j", "term")).join(counts.select("term"), "term", "left_semi")
+    words = words.groupBy("key").agg(F.collect_list(F.struct("j", "term")).alias("known"))
+    met = places.join(small(words), "key").join(rows.distinct(), "row").withColumn("w", words_of(F.col("text")))
+    low = lambda x: F.greatest(F.col("start") + x["j"] - slop, F.lit(0))
+    around = lambda x: F.slice("w", low(x) + 1, F.greatest(F.col("start") + x["j"] + slop + 1 - low(x), F.lit(0)))
+    met = met.where(F.forall("known", lambda x: F.array_contains(around(x), x["term"])))
+    return met.select("doc_id", "start", "key").join(small(windows.select("key", "items")), "key").select("doc_id", F.explode("items").alias("item_id"), "start").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10, rarest: int = 3) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items (long), items_sha256 (string), contaminated (boolean) and ``hits``.
 
-    ``hits`` is the array of (start, len, key, items) of exact matches. Null and
-    empty texts have no words and no hits, null and empty items no windows; an
-    item without an id hits but isn't counted. Rows that repeat an id are
-    checked each against its own text. Columns of these names are replaced; all
-    others are carried along. Tables may be empty.
+    ``hits`` is the array of (start, len, key) of exact matches, start counting
+    words from 0. Null and empty texts have no words and no hits, null and empty
+    items no windows; an item without an id hits but isn't counted. Rows that
+    repeat an id, or have none, are checked each against its own text. Columns of
+    these names are replaced; all others are carried along, whatever their names.
+    Tables may be empty.
     """
-    windows, anchored, index = _prepared(docs, items, size, rarest)
-    places = intersect(index, anchored, rarest).distinct().join(small(windows.select("key", "items")), "key")
-    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "len", "key", "items")).alias("hits"))
-    by_doc = materialize(by_doc.withColumnRenamed("doc_id", "__id"), "candidates")
-    few = by_doc.agg(F.coalesce(F.sum(F.size("hits") + 1), F.lit(0))).first()[0] <= BROADCAST_ROWS
-    names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits")
-    joined = docs.drop(*names).join(F.broadcast(by_doc) if few else by_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
-    joined = joined.withColumn("__words", words_of(F.col("text").cast("string")))
-    exact = F.filter(F.coalesce("hits", F.array().cast(by_doc.schema["hits"].dataType)), lambda c: phrase_hash(F.slice("__words", c["start"] + 1, c["len"])) == c["key"])
-    joined = joined.withColumn("hits", F.sort_array(F.when(F.col("hits").isNotNull(), exact).otherwise(F.array().cast(by_doc.schema["hits"].dataType))))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("e"))
+    docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits")
+    rows = _rows(docs)
+    windows, counts, anchored, index = _prepared(rows, items, size, rarest)
+    places = intersect(index, anchored, rarest).groupBy("row").agg(F.collect_list(F.struct("start", "len", "key")).alias("places"))
+    places = materialize(places, "candidates")
+    discard(index, anchored, counts)
+    # Candidates against the words of their own texts.
+    met = rows.join(small(places), "row").withColumn("w", words_of(F.col("text")))
+    met = met.withColumn("hits", F.array_sort(F.filter("places", lambda c: phrase_hash(F.slice("w", c["start"] + 1, c["len"])) == c["key"])))
+    met = materialize(met.where("size(hits) > 0").dropDuplicates(["row", "doc_id"]).select("row", "doc_id", "hits"), "contaminated")
+    found = met.select("row", "doc_id", F.explode(F.array_distinct("hits.key")).alias("key")).join(small(windows.select("key", "items")), "key")
+    found = found.select("row", "doc_id", F.explode("items").alias("item")).groupBy("row", "doc_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = found.select(F.col("row").alias("r"), F.col("doc_id").alias("d"), "items")
     covered = F.aggregate(
         "hits",
-        zero,
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("e")),
         lambda acc, c: F.struct((acc["n"] + F.greatest(F.lit(0), c["start"] + c["len"] - F.greatest(acc["e"], c["start"]))).alias("n"), F.greatest(acc["e"], c["start"] + c["len"]).alias("e")),
         lambda acc: acc["n"],
     )
-    joined = joined.withColumns({"n_words": F.size("__words").cast("long"), "n_hit": covered.cast("long"), "__items": F.array_sort(F.array_distinct(F.flatten(F.col("hits.items"))))})
-    return joined.withColumns({"n_items": F.size("__items").cast("long"), "items_sha256": F.sha2(F.array_join("__items", ","), 256), "contaminated": F.col("n_hit") > 0}).drop("__items", "__words", "__id")
+    met = met.join(found, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    row, doc, hits, n, ids = unused(docs, "row", "of", "at", "n", "ids")
+    met = materialize(met.select(F.col("row").alias(row), F.col("doc_id").alias(doc), F.col("hits").alias(hits), covered.cast("long").alias(n), F.coalesce("items", F.array().cast("array<string>")).alias(ids)), "hits")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    joined = docs.join(small(met), (F.xxhash64(doc_id, text) == F.col(row)) & doc_id.eqNullSafe(F.col(doc)), "left")
+    none = F.array().cast("array<string>")
+    return joined.select(
+        *(joined[f"`{c}`"] for c in docs.columns),
+        F.size(words_of(text)).cast("long").alias("n_words"),
+        F.coalesce(F.col(n), F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce(F.size(F.coalesce(ids, none)), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.coalesce(ids, none), ","), 256).alias("items_sha256"),
+        F.col(n).isNotNull().alias("contaminated"),
+        F.coalesce(F.col(hits), F.array().cast(met.schema[hits].dataType)).alias("hits"),
+    )
 
 
 ORACLE_SQL = r"""

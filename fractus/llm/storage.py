@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -46,6 +47,22 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Rows and bytes (as JSON, which is longer than Spark's rows are) of a table that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+
+
+def fits(df: DataFrame) -> bool:
+    """If a table may be broadcast: its rows and bytes, counted now, are within the limits."""
+    some = df.limit(BROADCAST_ROWS + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("bytes"))
+    rows, size = some.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """With a broadcast hint if it :func:`fits`; otherwise a shuffle joins it."""
+    return F.broadcast(df) if fits(df) else df
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names for work columns that no column of ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fractus.llm import decontamination, licenses, line_dedup
+from fractus.llm import decontamination, licenses, line_dedup, storage
 from fractus.llm.media import decode_png, encode_png, media_columns, pad
 from fractus.llm.ngram_join import ngram_components
 from fractus.llm.packing import nnls, pack, plan
@@ -324,17 +324,51 @@ def test_contamination(spark, docs, rows, empty, monkeypatch):
     names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     want = brute_contamination(rows, items)
     assert Counter(tuple(r) for r in decontamination.contamination(docs, bench).select(*names).collect()) == want
-    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
     assert Counter(tuple(r) for r in decontamination.contamination(docs, bench).select(*names).collect()) == want
     assert decontamination.contamination(empty, bench).count() == 0
     assert decontamination.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_contamination_keeps_columns_of_any_name(spark):
+    exam = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    rows = [(1, "x " + exam), (1, "clean text"), (None, exam + " y"), (None, "clean too"), (2, exam), (2, exam), (3, None)]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5) for i, t in rows], "doc_id int, text string, row int, ROW_ int, of int, at int, ids int")
+    items = spark.createDataFrame([(5, exam), (6, exam)], "item_id long, text string")
+    got = decontamination.contamination(docs, items)
+    assert got.columns == [*docs.columns, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits"]
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()) == brute_contamination(rows, [(5, exam), (6, exam)])
+
+
+def brute_proximity(rows, items, slop):
+    texts = [(i, WORD.findall(ascii_lower(t))) for i, t in rows]
+    counts = Counter(w for _, t in texts for w in t)
+    out = set()
+    for item, t in items:
+        w = WORD.findall(ascii_lower(t))
+        for s in range(max(1, len(w) - 9) if w else 0):
+            window = w[s : s + 10]
+            known = [(j, x) for j, x in enumerate(window) if counts[x]]
+            lead = min(((counts[x], x, window.index(x)) for _, x in known), default=None)
+            for i, text in texts if lead else ():
+                for p in (p for p, x in enumerate(text) if x == lead[1]):
+                    start = p - lead[2]
+                    if all(x in text[max(0, start + j - slop) : max(0, start + j + slop + 1)] for j, x in known):
+                        out.add((i, str(item), start))
+    return out
+
+
 def test_proximity(spark):
-    docs = frame(spark, [(1, "alpha beta gamma delta"), (2, "alpha x beta gamma delta"), (3, "alpha x x x beta gamma"), (4, "delta gamma beta")])
-    items = spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontamination.proximity_matches(docs, items, slop=1).collect()}
-    assert got == {(1, "7"), (2, "7")}
+    rng = random.Random(12)
+    texts = [(1, "alpha beta gamma delta"), (2, "alpha x beta gamma delta"), (3, "alpha x x x beta gamma"), (4, "delta gamma beta"), (5, "x alpha unknown2 gamma")]
+    items = [(7, "alpha beta gamma"), (8, "alpha absent gamma"), (9, "nowhere"), (10, "gamma gamma alpha")]
+    docs, bench = frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in decontamination.proximity_matches(docs, bench, slop=1).collect()}
+    assert got == brute_proximity(texts, items, 1) and {(i, x) for i, x, _ in got} >= {(1, "7"), (2, "7"), (5, "8")} and not {(3, "7"), (4, "7")} & {(i, x) for i, x, _ in got}
+    texts = [(i, " ".join(rng.choice("abcdef") for _ in range(40))) for i in range(12)]
+    items = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(3, 14)))) for i in range(10)]
+    got = {tuple(r) for r in decontamination.proximity_matches(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_proximity(texts, items, 2) and got
 
 
 # --- licences, secrets, media, toxicity ---------------------------------------
