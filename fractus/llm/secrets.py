@@ -20,6 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
+
+#: Bytes of text scanned in lockstep at once; a longer text is scanned alone.
+BATCH = 16 << 20
 VALUE = "[A-Za-z0-9+/_.=-]+"
 KEY = "(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
 
@@ -178,7 +182,7 @@ class Automaton:
         keep = np.unique(number, return_index=True)[1]
         self.classes = len(members)
         self.table = number[table[keep]].astype(np.int32).reshape(-1)
-        self.accept = accept[keep].astype(np.uint8)
+        self.accept = accept[keep]
         square = self.table.reshape(-1, self.classes)
         stuck = np.flatnonzero((square == np.arange(len(square))[:, None]).all(1) & (self.accept == 0))
         self.dead = int(stuck[0]) if len(stuck) else -1
@@ -237,6 +241,8 @@ class Automaton:
 
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
+        if len(rules) > 63:  # the bits of a state's mask
+            raise ValueError("at most 63 rules")
         trees = [Parser(r.pattern, r.fold).tree for r in rules]
         self.rules = rules
         self.forward = Automaton(trees, search=True)
@@ -278,7 +284,7 @@ class Scanner:
                 found.append(starts[at] + i + 1)
                 bits.append(hit[at])
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         found, bits = np.concatenate(found), np.concatenate(bits)
         order = np.argsort(found, kind="stable")
         return found[order], bits[order]
@@ -338,7 +344,8 @@ def secret_scan(docs: DataFrame, added: tuple[Rule, ...] = ADDED) -> DataFrame:
     """Rows (doc_id, n_assign, n_access, n_hex, base_sha256, spans) for ``docs`` (doc_id, text).
 
     Spans are kind:start:end in code points, end exclusive, by start and then by
-    the order of the rules, comma-joined. Null and empty texts have none. Each
+    the order of the rules, comma-joined; ``added`` are rules besides the base
+    ones (63 in all at most, more raise ValueError). Null and empty texts have none. Each
     row is scanned alone: repeated rows and ids give repeated results, a null id
     stays null, other columns are ignored, an empty table gives no row.
     """
@@ -346,18 +353,15 @@ def secret_scan(docs: DataFrame, added: tuple[Rule, ...] = ADDED) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = scanner(rules)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 4000):
-                some = batch.slice(lo, 4000)
-                rows = []
-                for spans in machine.scan(some.column(1).to_pylist()):
-                    said = [(k, f"{rules[k].kind}:{a}:{b}") for a, k, b in spans]
-                    base = [s for k, s in said if k < len(BASE)]
-                    counts = [sum(k == i for k, _ in said) for i in range(len(BASE))]
-                    rows.append((*counts, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(s for _, s in said)))
-                columns = list(zip(*rows)) if rows else [()] * 5
-                kinds = [pa.int64()] * 3 + [pa.string()] * 2
-                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+        for some in slices(batches, 1, BATCH):
+            rows = []
+            for spans in machine.scan(some.column(1).to_pylist()):
+                said = [(k, f"{rules[k].kind}:{a}:{b}") for a, k, b in spans]
+                base = [s for k, s in said if k < len(BASE)]
+                counts = [sum(k == i for k, _ in said) for i in range(len(BASE))]
+                rows.append((*counts, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(s for _, s in said)))
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return source.mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

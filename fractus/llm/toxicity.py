@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .shingles import term_hashes
 
 #: Everything in ASCII that isn't a letter ends a word.
 BREAKS = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 PREFIXES = (4, 5, 6)
-#: Texts whose terms a task holds at once.
-TEXTS = 500
+#: Bytes of text whose terms a task holds at once; a longer text is taken alone.
+BATCH = 1 << 20
 
 
 def terms_of(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,26 +137,27 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int, buckets: in
     texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, TEXTS):
-                some = batch.slice(lo, TEXTS)
-                term, text = terms_of(some.column(2), buckets)
-                pair = np.unique(text * buckets + term)
-                text, term = pair // buckets, (pair % buckets).astype(np.int32)
-                cuts = np.searchsorted(text, np.arange(some.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([term[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["doc_id", "toxic", "terms"])
+        for some in slices(batches, 2, BATCH):
+            term, text = terms_of(some.column(2), buckets)
+            pair = np.unique(text * buckets + term)
+            text, term = pair // buckets, (pair % buckets).astype(np.int32)
+            cuts = np.searchsorted(text, np.arange(some.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([term[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["doc_id", "toxic", "terms"])
 
     rows = texts.mapInArrow(hashed, "doc_id long, toxic int, terms binary").collect()
     rows.sort(key=lambda r: (r[0], r[2]))
     return [np.frombuffer(r[2], np.int32) for r in rows], np.array([1 if r[1] else 0 for r in rows], np.int64)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, buckets: int = 1 << 20) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, buckets: int = 1 << 20, most_terms: int = 2048) -> DataFrame:
     """``docs`` with held_out (boolean), score (double, 0 to 1) and predicted (int, 1 from 0.5 up).
 
     held_out: crc32 of the id as text is divisible by 5; such rows are never
     learnt from. The machine is fitted on at most ``sample`` labelled texts (the
-    bound of what reaches the driver: about 4 KB a text). Null and empty texts
+    bound of what reaches the driver: about 4 KB a text), over the ``most_terms``
+    hashed terms that tell the classes apart best: of so few texts more terms
+    learn their noise (README has figures). All other terms of a text weigh
+    nothing. Null and empty texts
     get the score of no terms; equal texts equal scores. A null id is held out
     (its text counts as empty, whose crc32 is 0). Without labels, or with one
     class alone, every score is the smoothed base rate. Rows that repeat an id
@@ -163,7 +165,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, buckets:
     others are carried along but are never inputs of the score.
     """
     terms, classes = training_sample(docs, labels, sample, buckets)
-    machine = fit(terms, classes, buckets)
+    machine = fit(terms, classes, buckets, most_terms)
     del terms
     place: list[np.ndarray] = []
 
@@ -173,7 +175,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, buckets:
 
         if not place:
             place.append(machine.places())
-        parts = [machine.scores(pa.Array.from_pandas(texts.iloc[lo : lo + TEXTS], type=pa.large_string()), place[0]) for lo in range(0, len(texts), TEXTS)]
+        whole = pa.RecordBatch.from_arrays([pa.Array.from_pandas(texts, type=pa.large_string())], ["text"])
+        parts = [machine.scores(some.column(0), place[0]) for some in slices([whole], 0, BATCH)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     del place[:]
