@@ -1,13 +1,17 @@
 """Main text of web pages (operator 7): text-to-tag ratios of lines, smoothed and clustered.
 
 The standard library's parser streams events of a page. Text between block
-boundaries is a line, with the number of tags met since the line before. Lines
-in elements that are never content (navigation, forms and so on) are left out,
-and those in elements marked as adverts, comments and the like, unless these hold
-the article or more than little of the content. The lines' text-to-tag ratios are
-smoothed by a Gaussian and those above one standard deviation form the clusters
-of content; all lines of the articles or containers that clusters reach belong to
-the text, short ones too, and so do lines of clusters outside.
+boundaries is a line, with the number of tags met since the line before. The
+lines' text-to-tag ratios are smoothed by a Gaussian, and runs of lines above one
+standard deviation are the clusters of content. Each cluster selects a region:
+the innermost container around those of its lines that are above the threshold
+by themselves, widened to the article element, or else the main element, around
+it. A region keeps all its lines, short ones too. Where a cluster's lines have
+only the page in common, it selects a region in each part of the page.
+
+Lines in elements that are never content (navigation, forms and so on) are left
+out before, and so are those in elements marked as adverts, comments and the
+like, unless these hold the article or more than little of the content.
 """
 
 from __future__ import annotations
@@ -28,10 +32,12 @@ from .batches import slices
 NEVER = frozenset("head title nav footer aside form script style noscript template iframe svg math canvas audio video object embed applet select option button textarea input label fieldset dialog menu map datalist".split())
 RAW = frozenset({"script", "style"})
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("html body main article section div td center".split())
 #: What an opening tag closes, if it is open in the same container.
-CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "body": "head"}
+CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
+#: What may stand in a head; any other element closes it.
+IN_HEAD = frozenset("head title meta link base style script noscript template".split())
 #: Whole tokens of class, id and role that mark what isn't the article.
 MARKED = frozenset("ad-box ad-banner cookie-notice cookie-banner cookie-consent share-buttons social-share related-posts comments-area comment-list comment-respond post-comments ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies widget widgets pagination pager toolbar login search searchbox contentinfo complementary dialog masthead topbar".split())
 #: Marks of comments and adverts, which may be long beside a short article.
@@ -91,6 +97,10 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self._end_line()
         self.tags += 1
+        if tag == "br" and not self.hidden:
+            self.parts.append((" ", self.mark))
+        if tag not in IN_HEAD and any(name == "head" for name, _, _ in self.open) and not any(name in ("noscript", "template") for name, _, _ in self.open):
+            self._pop(next(i for i, x in enumerate(self.open) if x[0] == "head"))
         if tag in CLOSES:
             closed = CLOSES[tag].split()
             for i in range(len(self.open) - 1, -1, -1):
@@ -158,19 +168,12 @@ def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(values, kernel, "same") / weight
 
 
-def clusters(lines: list) -> tuple[np.ndarray, np.ndarray, Counter[int]]:
-    """Which lines lie in clusters, which of them have a high ratio of their own, and the text of clusters in each container."""
-    sizes = np.array([len(x[0]) for x in lines], float)
-    own = sizes / np.maximum(1, [x[1] for x in lines])
+def clusters(lines: list) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines lie in clusters, and which of these are above the threshold by themselves."""
+    own = np.array([len(x[0]) for x in lines], float) / np.maximum(1, [x[1] for x in lines])
     ratio = smooth(own)
     least = min(ratio.std(), ratio.max())
-    content = ratio >= least
-    mass: Counter[int] = Counter()
-    for (_, _, inside, _), size, is_content in zip(lines, sizes.tolist(), content.tolist()):
-        if is_content:
-            for n in inside:
-                mass[n] += size
-    return content, content & (own >= least), mass
+    return ratio >= least, (ratio >= least) & (own >= least)
 
 
 def left_out(page: Lines) -> set[int]:
@@ -180,7 +183,11 @@ def left_out(page: Lines) -> set[int]:
     lines = page.lines(set())
     if not lines:
         return set()
-    content, _, mass = clusters(lines)  # nothing left out yet
+    content, _ = clusters(lines)  # nothing left out yet
+    mass: Counter[int] = Counter()
+    for line, is_content in zip(lines, content.tolist()):
+        if is_content:
+            mass.update({n: len(line[0]) for n in line[2]})
     held: Counter[int] = Counter()
     total = 0
     for line, is_content in zip(lines, content.tolist()):
@@ -202,6 +209,36 @@ def left_out(page: Lines) -> set[int]:
     return out
 
 
+def regions(page: Lines, lines: list, cluster: list[int]) -> tuple[set[int], set[int]]:
+    """Containers that a cluster selects by its lines above the threshold, and lines that it selects in no container but the page."""
+    common = list(lines[cluster[0]][2])
+    for k in cluster[1:]:
+        inside = lines[k][2]
+        same = next((i for i, (a, b) in enumerate(zip(common, inside)) if a != b), min(len(common), len(inside)))
+        del common[same:]
+    named = [n for n in common if page.kinds[n] not in ("html", "body")]
+    if named:
+        for kind in ("article", "main"):
+            around = [n for n in named if page.kinds[n] == kind]
+            if around:
+                return {around[-1]}, set()
+        return {named[-1]}, set()
+    kept: set[int] = set()
+    parts: dict[int, list[int]] = {}
+    direct = []
+    for k in cluster:
+        inside = lines[k][2]
+        if len(inside) > len(common):
+            parts.setdefault(inside[len(common)], []).append(k)
+        else:
+            direct.append(k)
+    for part in parts.values():
+        kept |= regions(page, lines, part)[0]
+    # Of lines that stand on the page itself, short ones between those selected belong to them.
+    alone = {k for k in range(direct[0], direct[-1] + 1) if len(lines[k][2]) == len(common)} if direct else set()
+    return kept, alone
+
+
 def main_text(html: str | None) -> str:
     """Lines of the text of the page joined by newlines; empty if there is none."""
     if not html:
@@ -212,23 +249,19 @@ def main_text(html: str | None) -> str:
     lines = page.lines(left_out(page))
     if not lines:
         return ""
-    content, high, mass = clusters(lines)
-    total = sum(len(x[0]) for x, c in zip(lines, content.tolist()) if c)
-    kept = {n for n, kind in enumerate(page.kinds) if kind == "article" and mass[n]}
-    for n in (n for n, kind in enumerate(page.kinds) if kind == "main" and mass[n]):
-        # A main belongs to the text as a whole, unless the articles in it hold nearly all of its content.
-        in_articles = sum(len(x[0]) for x, c in zip(lines, content.tolist()) if c and n in x[2] and not kept.isdisjoint(x[2]))
-        if in_articles < 0.9 * mass[n]:
-            kept.add(n)
-    if sum(len(x[0]) for x, c in zip(lines, content.tolist()) if c and not kept.isdisjoint(x[2])) < 0.3 * total:
-        # The innermost container with nearly all content; later numbers lie deeper among those that nest.
-        wide = [n for n in range(len(page.kinds)) if mass[n] >= 0.9 * total]
-        if wide:
-            kept.add(wide[-1])
-        else:
-            at = np.flatnonzero(content)
-            high[at[0] : at[-1] + 1] = True
-    return "\n".join(x[0] for x, h in zip(lines, high.tolist()) if h or not kept.isdisjoint(x[2]))
+    content, high = (x.tolist() for x in clusters(lines))
+    containers: set[int] = set()
+    alone: set[int] = set()
+    run: list[int] = []
+    for k in range(len(lines) + 1):
+        if k < len(lines) and content[k]:
+            run.append(k)
+        elif run:
+            chosen, single = regions(page, lines, [i for i in run if high[i]] or run)
+            containers |= chosen
+            alone |= single
+            run = []
+    return "\n".join(x[0] for k, x in enumerate(lines) if k in alone or not containers.isdisjoint(x[2]))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

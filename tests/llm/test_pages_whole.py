@@ -1,6 +1,10 @@
 """Pages whose content stands in marked wrappers or in several containers."""
 
-from fractus.llm.pages import main_text
+import math
+import random
+
+import fractus.llm.pages as pages
+from fractus.llm.pages import clusters, main_text
 
 LONG = "A long sentence of the text that goes on and on for the reader. "
 
@@ -36,3 +40,42 @@ def test_several_containers():
 
 def test_inline_marks():
     assert main_text('<article><p>One <span class="share">x</span>two</p></article>') == "One two"
+
+
+def brute_clusters(lines):
+    """Ratio, Gaussian smoothing and threshold, written out."""
+    own = [len(text) / max(1, tags) for text, tags, *_ in lines]
+    smoothed = []
+    for i in range(len(own)):
+        weight = {j: math.exp(-0.5 * (i - j) ** 2) for j in range(max(0, i - 3), min(len(own), i + 4))}
+        smoothed.append(sum(own[j] * w for j, w in weight.items()) / sum(weight.values()))
+    mean = sum(smoothed) / len(smoothed)
+    least = min(math.sqrt(sum((x - mean) ** 2 for x in smoothed) / len(smoothed)), max(smoothed))
+    return [x >= least - 1e-9 for x in smoothed], [x >= least - 1e-9 and y >= least - 1e-9 for x, y in zip(smoothed, own)]
+
+
+def test_clusters_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(200):
+        lines = [("x" * rng.choice((1, 5, 30, 200, 900)), rng.randrange(1, 12), (), []) for _ in range(rng.randrange(1, 40))]
+        assert tuple(x.tolist() for x in clusters(lines)) == brute_clusters(lines)
+
+
+def test_ratios_select_the_region(monkeypatch):
+    """Without elements or marks that say what is what, and with teasers that are articles too, the ratios alone decide."""
+    links = "".join(f"<p><a href=x{i}>Link {i}</a> <i>{i}</i></p>" for i in range(8))
+    bare = f"<div>{links}</div><div><h1>Title</h1>{paragraphs('a')}<p>Short.</p>{paragraphs('b')}</div><div>{links}</div>"
+    cards = "".join(f"<article><h3><a href=x{i}><b>Story {i}</b></a></h3><p><a href=y{i}>More</a></p></article>" for i in range(9))
+    flat = f"{links}{paragraphs('a')}<p>Short.</p>{paragraphs('b')}{links}"
+    for html, first in ((bare, ["Title"]), (f"<article><h1>Title</h1>{paragraphs('a')}<p>Short.</p>{paragraphs('b')}</article>{cards}", ["Title"]), (flat, [])):
+        want = [*first, "a0", "a1", "a2", "a3", "Short.", "b0", "b1", "b2", "b3"]
+        assert ends(html) == want
+        with monkeypatch.context() as m:
+            m.setattr(pages, "smooth", lambda values: values * 0 + 1.0)
+            assert ends(html) != want
+
+
+def test_open_heads_and_line_breaks():
+    assert main_text("<html><head><title>T</title><p>First<br>line.<p>Second.") == "First line.\nSecond."
+    assert main_text("<head><script>x</script><noscript><p>n</p></noscript><title>T</title><div>Text</div>") == "Text"
+    assert main_text('<article><p class="social-history">Kept</p></article>') == "Kept"
