@@ -13,6 +13,17 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import unused
+
+# The six licences of Creative Commons.
+CREATIVE_COMMONS = {
+    "CC-BY": "Attribution",
+    "CC-BY-SA": "Attribution-ShareAlike",
+    "CC-BY-ND": "Attribution-NoDerivatives",
+    "CC-BY-NC": "Attribution-NonCommercial",
+    "CC-BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "CC-BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
 # Sentences of public licence texts, as published, normalised below.
 SENTENCES: dict[str, str] = {
     "mit-notice": "Released under the MIT License.",
@@ -34,8 +45,29 @@ SENTENCES: dict[str, str] = {
     "cc-by-nc-4": "Licensed under CC BY-NC 4.0.",
     "cc-by-4": "Licensed under CC BY 4.0.",
     "cc-by-sa-4": "Licensed under CC BY-SA 4.0.",
+    "gpl2-redistribute": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl21-redistribute": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl21-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl3-redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3-redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mpl2-copy-https": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-grant-and": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "zero-bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "zlib-warranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liable": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "unlicense-free": "This is free and unencumbered software released into the public domain.",
+    "unlicense-grant": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "boost-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "boost-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "cc0-dedication": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "postgres-grant": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    **{f"{code.lower()}-4-notice": f"This work is licensed under a Creative Commons {name} 4.0 International License." for code, name in CREATIVE_COMMONS.items()},
 }
-#: Ordered rules: a licence is present where these sentences follow one another among a text's known sentences.
+#: Ordered rules: a licence is present where these sentences follow one another among a text's known sentences, and no longer rule covers all of them.
 RULES: dict[str, tuple[str, ...]] = {
     "MIT": ("mit-notice",),
     "MIT-short": ("mit-short",),
@@ -49,6 +81,23 @@ RULES: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-4.0": ("cc-by-nc-4",),
     "CC-BY-4.0": ("cc-by-4",),
     "CC-BY-SA-4.0": ("cc-by-sa-4",),
+    "GPL-2.0-or-later-text": ("gpl2-redistribute", "gpl-warranty", "gpl-details"),
+    "LGPL-2.1-or-later-text": ("lgpl21-redistribute", "lgpl21-warranty"),
+    "LGPL-3.0-or-later-text": ("lgpl3-redistribute", "gpl-warranty"),
+    "AGPL-3.0-or-later-text": ("agpl3-redistribute", "gpl-warranty"),
+    "MPL-2.0-text": ("mpl2-copy",),
+    "MPL-2.0-text-https": ("mpl2-copy-https",),
+    "ISC-text": ("isc-grant",),
+    "ISC-text-and": ("isc-grant-and",),
+    "0BSD-text": ("zero-bsd-grant",),
+    "Zlib-text": ("zlib-warranty", "zlib-liable", "zlib-grant"),
+    "Unlicense-text": ("unlicense-free", "unlicense-grant"),
+    "BSL-1.0": ("boost-notice",),
+    "BSL-1.0-text": ("boost-grant",),
+    "CC0-1.0-text": ("cc0-dedication",),
+    "PostgreSQL-text": ("postgres-grant",),
+    "EPL-2.0-text": ("epl2-notice",),
+    **{f"{code}-4.0-text": (f"{code.lower()}-4-notice",) for code in CREATIVE_COMMONS},
 }
 
 #: Where a sentence ends: newlines, or a stop, colon or semicolon before white space.
@@ -81,10 +130,13 @@ def needed_words(known: dict[str, str]) -> list[str]:
     return out
 
 
-def _rules(sentences: dict[str, str], rules: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
+def _rules(sentences: dict[str, str], rules: dict[str, tuple[str, ...]]) -> list[tuple[str, str, list[str]]]:
+    """Names, sequences as ``,id,,id,`` and the longer rules' sequences that hold each, longest first."""
     known = known_sentences(sentences)
     ids = {name: [i for i in known.values() if i == name or i.startswith(name + "+")] for name in sentences}
-    return sorted((rule, "," + ",".join(i for s in parts for i in ids[s]) + ",") for rule, parts in rules.items())
+    sequences = {rule: "".join(f",{i}," for s in parts for i in ids[s]) for rule, parts in rules.items()}
+    longer = {r: sorted({x for x in sequences.values() if s in x and s != x}, key=lambda x: (-len(x), x)) for r, s in sequences.items()}
+    return sorted((rule, sequence, longer[rule]) for rule, sequence in sequences.items())
 
 
 def _marked(text: Column) -> Column:
@@ -102,7 +154,8 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules
     behind comment marks without letters; a blank line ends it. Of sentences
     that begin together the longest counts.
     ``sentence_ids`` are the known sentences in order, repeats included;
-    ``licenses`` the names of the rules found, sorted. Null and empty texts have
+    ``licenses`` the names of the rules found, sorted; a rule whose sentences all
+    belong to a longer rule's (BSD-2-Clause in BSD-3-Clause) isn't. Null and empty texts have
     none (0 and empty strings). Every row is judged alone, so repeated rows and
     ids, null ids and empty tables need no care. Columns of these names are
     replaced; all others are carried along.
@@ -117,25 +170,35 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules
     sentence = F.regexp_extract_all(_marked(text), F.lit(f"(?<=[HS])(?:{pattern})(?=[HS])"), F.lit(0))
     found = F.transform(sentence, lambda s: F.element_at(lookup, F.translate(s, "S", " ")))
     ids = F.when(possible, found).otherwise(F.array().cast("array<string>"))
-    out = docs.drop("n_known", "sentence_ids", "licenses").withColumn("__ids", ids)
-    line = F.concat(F.lit(","), F.array_join("__ids", ","), F.lit(","))
-    hits = F.array_compact(F.array(*[F.when(line.contains(sequence), F.lit(rule)) for rule, sequence in _rules(sentences, rules)]))
-    licenses = F.when(F.size("__ids") > 0, F.array_join(hits, ",")).otherwise(F.lit(""))
-    return out.withColumns({"n_known": F.size("__ids").cast("long"), "sentence_ids": F.array_join("__ids", ","), "licenses": licenses}).drop("__ids")
+    docs = docs.drop("n_known", "sentence_ids", "licenses")
+    (work,) = unused(docs, "ids")
+    out = docs.withColumn(work, ids)
+    line = F.concat(F.lit(","), F.array_join(work, ",,"), F.lit(","))
+
+    def alone(longer: list[str]) -> Column:
+        left = line
+        for sequence in longer:
+            left = F.replace(left, F.lit(sequence), F.lit(" "))
+        return left
+
+    hits = F.array_compact(F.array(*[F.when(alone(longer).contains(sequence), F.lit(rule)) for rule, sequence, longer in _rules(sentences, rules)]))
+    licenses = F.when(F.size(work) > 0, F.array_join(hits, ",")).otherwise(F.lit(""))
+    return out.withColumns({"n_known": F.size(work).cast("long"), "sentence_ids": F.array_join(work, ","), "licenses": licenses}).drop(work)
 
 
 def oracle_sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in known_sentences(SENTENCES).items())
-    rules = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in _rules(SENTENCES, RULES))
+    rules = ", ".join(f"({quoted(k)}, {quoted(v)}, {quoted(x[0] if x else '|')}, {quoted(x[1] if len(x) > 1 else '|')})" for k, v, x in _rules(SENTENCES, RULES))
+    assert all(len(x) <= 2 for _, _, x in _rules(SENTENCES, RULES))
     return f"""
-WITH known(sentence, id) AS (VALUES {known}), rules(rule, seq) AS (VALUES {rules}), s AS (
+WITH known(sentence, id) AS (VALUES {known}), rules(rule, seq, longest, longer) AS (VALUES {rules}), s AS (
   SELECT doc_id, i, trim(regexp_replace(translate(a[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS sentence
   FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{BREAK}') AS a FROM documents), unnest(range(1, len(a) + 1)) AS u(i)
 ), f AS (
   SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i) AS ids FROM s JOIN known USING (sentence) GROUP BY doc_id
 ), l AS (
-  SELECT doc_id, string_agg(rule, ',' ORDER BY rule) AS names FROM f JOIN rules ON contains(',' || ids || ',', seq) GROUP BY doc_id
+  SELECT doc_id, string_agg(rule, ',' ORDER BY rule) AS names FROM f JOIN rules ON contains(replace(replace(',' || replace(ids, ',', ',,') || ',', longest, ' '), longer, ' '), seq) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_known, coalesce(ids, '') AS sentence_ids, coalesce(names, '') AS licenses
 FROM documents d LEFT JOIN f USING (doc_id) LEFT JOIN l USING (doc_id)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from fractus.llm.licenses import license_scan
+from fractus.llm.licenses import RULES, SENTENCES, license_scan
 
 MIT = """MIT License
 
@@ -66,7 +66,7 @@ def behind(mark, text, end="\n"):
 def test_wrapped_texts(spark, change):
     rows = [(i, change(t)) for i, t in enumerate((MIT, APACHE, GPL, BSD))]
     got = {r.doc_id: r.licenses for r in license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {0: "MIT-text", 1: "Apache-2.0-text", 2: "GPL-3.0-or-later-text", 3: "BSD-2-Clause-text,BSD-3-Clause-text"}
+    assert got == {0: "MIT-text", 1: "Apache-2.0-text", 2: "GPL-3.0-or-later-text", 3: "BSD-3-Clause-text"}
 
 
 def test_lines_that_are_sentences_stay(spark):
@@ -79,3 +79,20 @@ def test_lines_that_are_sentences_stay(spark):
     ]
     got = {r.doc_id: r.sentence_ids for r in license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {0: "mit-short", 1: "mit-notice,cc-by-4", 2: "", 3: "apache-grant", 4: ""}
+
+
+def test_longer_rules_win(spark):
+    two = BSD[: BSD.index("3. Neither")]
+    rows = [(0, two), (1, BSD + "\n" + BSD), (2, BSD + "\n" + two), (3, two + "\n" + BSD)]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, ids int, IDS_ int")
+    out = license_scan(docs)
+    assert out.columns == [*docs.columns, "n_known", "sentence_ids", "licenses"]
+    both = "BSD-2-Clause-text,BSD-3-Clause-text"
+    assert {r.doc_id: r.licenses for r in out.collect()} == {0: "BSD-2-Clause-text", 1: "BSD-3-Clause-text", 2: both, 3: both}
+
+
+def test_every_rule_is_found_in_its_sentences(spark):
+    wrapped = lambda t: t.replace(", ", ",\n    ")
+    rows = [(rule, wrapped("\n\n".join(SENTENCES[s] for s in parts))) for rule, parts in RULES.items()]
+    got = license_scan(spark.createDataFrame(rows, "rule string, text string")).collect()
+    assert len(got) == len(RULES) > 30 and all(r.licenses == r.rule for r in got)
