@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .batches import slices
+from .batches import bounded, slices
 from .storage import shared_dir
 
 MAGIC = b"MARC0001"
@@ -261,7 +261,7 @@ def media_of(docs: DataFrame) -> DataFrame:
             images = [encode_png(pad(x)) for x in raw]
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(images, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, SCHEMA)
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, SCHEMA)
 
 
 def media_features(media: DataFrame) -> DataFrame:

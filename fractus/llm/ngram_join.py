@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import star_components
-from .batches import slices
+from .batches import bounded, slices
 from .shingles import shingle_sets
 from .storage import discard, materialize, partitions
 
@@ -149,7 +149,7 @@ def sizes_and_survivors(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Rows (doc_id, n, may_link), one for each row of ``docs``."""
     measured = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(4 * partitions(docs.sparkSession), -(-measured // BUCKET_BYTES))
-    sent = docs.mapInArrow(_prefix_rows(size, percent, buckets), "bucket int, hashes binary, docs binary, many binary, ns binary")
+    sent = bounded(docs).mapInArrow(_prefix_rows(size, percent, buckets), "bucket int, hashes binary, docs binary, many binary, ns binary")
     counted = sent.groupBy("bucket").applyInArrow(_count_shared, "doc_id long, n long, shared long")
     by_id = counted.groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.collect_list("n").alias("ns"))
     rows = by_id.select("doc_id", F.explode("ns").alias("n"), "shared")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import slices
+from .batches import bounded, slices
 from .storage import materialize
 from .tokens import END_ID, default_vocabulary, encoder
 
@@ -184,7 +184,7 @@ def pack(docs: DataFrame, window: int = 1024, vocabulary: str | None = None) ->
 
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    kept = materialize(source.mapInArrow(measured, "part int, doc_id long, n long, crcs array<long>, r int, rank long, windows long, tail binary"), "pack")
+    kept = materialize(bounded(source).mapInArrow(measured, "part int, doc_id long, n long, crcs array<long>, r int, rank long, windows long, tail binary"), "pack")
     by_part = kept.groupBy("part", "r").agg(F.count("*").alias("docs"), F.sum(F.size("crcs")).alias("whole"))
     by_part = materialize(by_part, "pack-counts")
     histogram = np.zeros(window + 1, np.int64)

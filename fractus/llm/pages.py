@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import slices
+from .batches import bounded, slices
 
 # Elements of HTML by their part in a page.
 NEVER = frozenset("head title nav footer aside form script style noscript template iframe svg math canvas audio video object embed applet select option button textarea input label fieldset dialog menu map datalist".split())
@@ -279,4 +279,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return source.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return bounded(source).mapInArrow(extract, "page_id long, url string, text string, n_chars long")

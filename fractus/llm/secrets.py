@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import slices
+from .batches import bounded, slices
 
 #: Bytes of text scanned in lockstep at once; a longer text is scanned alone.
-BATCH = 16 << 20
+BATCH = 4 << 20
 VALUE = "[A-Za-z0-9+/_.=-]+"
 KEY = "(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
 
@@ -364,7 +364,7 @@ def secret_scan(docs: DataFrame, added: tuple[Rule, ...] = ADDED) -> DataFrame:
             yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return bounded(source).mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def oracle_sql() -> str:

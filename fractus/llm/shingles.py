@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at once; a longer text is hashed in blocks that end between words.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)

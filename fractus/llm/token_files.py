@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .batches import slices
+from .batches import bounded, slices
 from .storage import partitions, shared_dir
 from .tokens import END_ID, default_vocabulary, encoder
 
@@ -264,7 +264,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         if ids:
             yield flush()
 
-    out = ordered.mapInArrow(shards, "part int, shard long, before long, n_tokens long, given binary, block binary")
+    out = bounded(ordered).mapInArrow(shards, "part int, shard long, before long, n_tokens long, given binary, block binary")
     out.write.parquet(f"{path}/shards")
     # One row for each partition: a running total over at most as many rows as there are tasks.
     totals = spark.read.parquet(f"{path}/shards").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import slices
+from .batches import bounded, slices
 from .shingles import term_hashes
 
 #: Everything in ASCII that isn't a letter ends a word.
@@ -144,7 +144,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int, buckets: in
             cuts = np.searchsorted(text, np.arange(some.num_rows + 1))
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([term[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["doc_id", "toxic", "terms"])
 
-    rows = texts.mapInArrow(hashed, "doc_id long, toxic int, terms binary").collect()
+    rows = bounded(texts).mapInArrow(hashed, "doc_id long, toxic int, terms binary").collect()
     rows.sort(key=lambda r: (r[0], r[2]))
     return [np.frombuffer(r[2], np.int32) for r in rows], np.array([1 if r[1] else 0 for r in rows], np.int64)
 
@@ -169,15 +169,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, buckets:
     del terms
     place: list[np.ndarray] = []
 
-    @F.pandas_udf("double")
-    def score(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         if not place:
             place.append(machine.places())
-        whole = pa.RecordBatch.from_arrays([pa.Array.from_pandas(texts, type=pa.large_string())], ["text"])
-        parts = [machine.scores(some.column(0), place[0]) for some in slices([whole], 0, BATCH)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        parts = [machine.scores(some.column(0), place[0]) for some in slices([pa.RecordBatch.from_arrays([texts], ["text"])], 0, BATCH)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     del place[:]
     out = docs.drop("held_out", "score", "predicted").withColumn("score", score(F.col("text").cast("string")))
