@@ -39,8 +39,9 @@ def dedup_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     out = dedup_lines(docs)
     changed = F.col("n_removed") > 0
     n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    left = out.where(~changed | (F.btrim("text", F.lit(" \n")) != ""))
-    return left.withColumn("n_chars", n_chars).select(*docs.columns)
+    # As a generator: Spark would push a filter below the lines and split each text anew for every line.
+    left = F.when(~changed | (F.btrim("text", F.lit(" \n")) != ""), F.array(F.struct("text", n_chars.alias("n_chars"))))
+    return out.select(*(c for c in docs.columns if c not in ("text", "n_chars")), F.inline(left)).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
