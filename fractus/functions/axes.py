@@ -61,8 +61,3 @@ def seeds_to_zyx(seeds: DataFrame, columns: tuple[str, str, str], order: str = "
 def linear(z: Column, y: Column, x: Column, ny: Column, nx: Column) -> Column:
     """Row-major number of a voxel in its volume."""
     return ((z * ny + y) * nx + x).cast("long")
-
-
-def in_bounds() -> Column:
-    """Coordinates within the volume's shape (columns nz, ny, nx)."""
-    return (F.col("z") >= 0) & (F.col("z") < F.col("nz")) & (F.col("y") >= 0) & (F.col("y") < F.col("ny")) & (F.col("x") >= 0) & (F.col("x") < F.col("nx"))

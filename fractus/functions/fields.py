@@ -46,7 +46,3 @@ def label_of(band: Column, ta: Column, tb: Column, k: float = 2.0, decay: float
     """Within the band by discounted arrivals, outside by plain ones; ties go to the source."""
     inner = F.when(discounted(ta, tb, k, decay) <= discounted(tb, ta, k, decay), SOURCE).otherwise(SINK)
     return F.when(band, inner).when(ta <= tb, SOURCE).otherwise(SINK).cast("tinyint")
-
-
-def mean_scale(sz: Column, sy: Column, sx: Column) -> Column:
-    return (sz + sy + sx) / 3.0

@@ -6,46 +6,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import cut
-from .stencil import KEY, shifted
+from .blocks import BLOCK, blocks_beside, on_border, relaxed, with_blocks
+from .stencil import KEY
 
 BACKENDS = ("dj3d", "mcp")
 
 
-def voxel_edges(cost: DataFrame, volumes: DataFrame, backend: str = "mcp") -> DataFrame:
-    """Directed edges of the 26-neighbourhood: (sv_id, z0, y0, x0) to (z, y, x) with weight w.
-
-    mcp: mean cost of both ends times their physical distance; dj3d: cost of the
-    end reached times the mean voxel size.
-    """
-    if backend not in BACKENDS:
-        raise ValueError(f"unknown backend {backend!r}")
-    from .stencil import OFFSETS
-
-    there = cost.select(*KEY, F.col("cost").alias("c1"))
-    pairs = shifted(cost.withColumnRenamed("cost", "c0"), OFFSETS, "c0").join(there, KEY).join(volumes.select("sv_id", "sz", "sy", "sx"), "sv_id")
-    gap = [(F.col(a) - F.col(f"{a}0")) * F.col(f"s{a}") for a in "zyx"]
-    length = F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2])
-    w = 0.5 * (F.col("c0") + F.col("c1")) * length if backend == "mcp" else F.col("c1") * (F.col("sz") + F.col("sy") + F.col("sx")) / 3.0
-    return pairs.select("sv_id", "z0", "y0", "x0", "z", "y", "x", w.alias("w"))
+STATE = "sv_id long, bz int, by int, bx int, z int, y int, x int, cost double, sz double, sy double, sx double, ta double, tb double, halo boolean, changed boolean"
 
 
 def arrival(cost: DataFrame, seeds: DataFrame, volumes: DataFrame, backend: str = "mcp") -> DataFrame:
     """(sv_id, z, y, x, t_a, t_b): least travel cost from either side's seeds, null where there is no way.
 
-    All fragments and both sides advance in one loop of frontier joins; each
-    round is cut in the shared checkpoint folder. Rounds are as many as the
-    voxels of the longest least path; for fragments that fit a task the kernel
-    of the splitters is quicker.
+    An edge of the 26-neighbourhood costs, for mcp, the mean cost of both ends
+    times their physical distance; for dj3d the cost of the end reached times the
+    mean voxel size. All fragments and both sides advance in one loop. In a round
+    each block that was reached anew settles in one task and hands the times of
+    its border to the blocks beside it; rounds are as many as the blocks that the
+    longest least path crosses. Each is cut in the shared checkpoint folder.
     """
-    edges = cut(voxel_edges(cost, volumes, backend))
-    best = cut(seeds.select("sv_id", "side", *(F.col(a).cast("int").alias(a) for a in "zyx")).join(cost.select(*KEY), KEY, "left_semi").distinct().withColumn("t", F.lit(0.0)))
-    front = best
-    while not front.isEmpty():
-        ends = front.select("sv_id", "side", *(F.col(a).alias(f"{a}0") for a in "zyx"), F.col("t").alias("t0")).join(edges, ["sv_id", "z0", "y0", "x0"])
-        found = ends.groupBy("sv_id", "side", "z", "y", "x").agg(F.min(F.col("t0") + F.col("w")).alias("new"))
-        front = cut(found.join(best, ["sv_id", "side", "z", "y", "x"], "left").where("t IS NULL OR new < t").select("sv_id", "side", "z", "y", "x", F.col("new").alias("t")))
-        best = cut(best.unionByName(front).groupBy("sv_id", "side", "z", "y", "x").agg(F.min("t").alias("t")))
-    return cost.select(*KEY).join(best.groupBy(*KEY).agg(F.min(F.when(F.col("side") == 1, F.col("t"))).alias("t_a"), F.min(F.when(F.col("side") == 2, F.col("t"))).alias("t_b")), KEY, "left")
+    if backend not in BACKENDS:
+        raise ValueError(f"unknown backend {backend!r}")
+    inf = F.lit(float("inf"))
+    starts = seeds.groupBy("sv_id", *(F.col(a).cast("int").alias(a) for a in "zyx")).agg(F.bool_or(F.col("side") == 1).alias("a"), F.bool_or(F.col("side") == 2).alias("b"))
+    cells = with_blocks(cost.select(*KEY, "cost").join(volumes.select("sv_id", "sz", "sy", "sx"), "sv_id")).join(starts, KEY, "left")
+    times = {f"t{k}": F.when(F.col(k), F.lit(0.0)).otherwise(inf) for k in "ab"}
+    names = [f.split()[0] for f in STATE.split(", ")]
+    state = cut(cells.withColumns(times | {"halo": F.lit(False), "changed": F.coalesce(F.col("a") | F.col("b"), F.lit(False))}).select(*names))
+    todo = state.where("changed").select(*BLOCK).distinct()
+    halo = state.limit(0)
+    while not todo.isEmpty():
+        open_blocks = state.join(todo, BLOCK, "left_semi").unionByName(halo)
+        settled = open_blocks.groupBy(*BLOCK).applyInPandas(relaxed(backend), STATE)
+        state = cut(state.join(todo, BLOCK, "left_anti").withColumn("changed", F.lit(False)).unionByName(settled))
+        news = state.where("changed").where(on_border()).withColumn("to", F.explode(blocks_beside()))
+        news = news.withColumns({f"b{a}": F.col(f"to.{a}") for a in "zyx"} | {"halo": F.lit(True)}).select(*names)
+        halo = cut(news.join(state.select(*BLOCK).distinct(), BLOCK, "left_semi"))
+        state = state.withColumn("changed", F.lit(False))  # handed over
+        todo = halo.select(*BLOCK).distinct()
+    finite = lambda c: F.when(F.col(c) != inf, F.col(c))
+    return state.select(*KEY, finite("ta").alias("t_a"), finite("tb").alias("t_b"))
 
 
 def seed_graph(seeds: DataFrame, volumes: DataFrame) -> DataFrame:

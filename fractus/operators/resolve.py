@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import SINK, SOURCE, STRAY
+from ..plans.fixpoint import cut
 from .stencil import KEY, components, neighbours
 
 
@@ -25,9 +26,14 @@ def enforce_components(labels: DataFrame, seeds: DataFrame, volumes: DataFrame,
     return labels.join(bad, KEY, "left").withColumn("label", F.when(F.col("bad"), STRAY).otherwise(F.col("label")).cast("tinyint")).drop("bad")
 
 
-def border_vote(labels: DataFrame, volumes: DataFrame) -> DataFrame:
+def stray_components(labels: DataFrame, volumes: DataFrame) -> DataFrame:
+    """Stray voxels (sv_id, z, y, x, comp), written for those that read them more than once."""
+    return cut(components(labels.where(F.col("label") == STRAY).select(*KEY), volumes))
+
+
+def border_vote(labels: DataFrame, volumes: DataFrame, strays: DataFrame | None = None) -> DataFrame:
     """Stray components (sv_id, comp, n, n_source, n_sink, side): voxels touching each side; side 0 where even."""
-    strays = components(labels.where(F.col("label") == STRAY).select(*KEY), volumes)
+    strays = stray_components(labels, volumes) if strays is None else strays
     sides = labels.where(F.col("label") != STRAY)
     touch = neighbours(strays, sides, "comp").groupBy("sv_id", "comp", "z0", "y0", "x0").agg(F.bool_or(F.col("label") == SOURCE).alias("a"), F.bool_or(F.col("label") == SINK).alias("b"))
     votes = touch.groupBy("sv_id", "comp").agg(F.count_if("a").alias("n_source"), F.count_if("b").alias("n_sink"))
@@ -55,8 +61,8 @@ def nearest_side(strays: DataFrame, seeds: DataFrame, volumes: DataFrame) -> Dat
 
 def resolve_strays(labels: DataFrame, seeds: DataFrame, volumes: DataFrame) -> DataFrame:
     """Labels with stray components given to a side by border vote, else by nearest seeds."""
-    strays = components(labels.where(F.col("label") == STRAY).select(*KEY), volumes)
-    votes = border_vote(labels, volumes)
+    strays = stray_components(labels, volumes)
+    votes = border_vote(labels, volumes, strays)
     even = votes.where("side = 0").select("sv_id", "comp")
     nearer = nearest_side(strays.join(even, ["sv_id", "comp"], "left_semi"), seeds, volumes)
     chosen = votes.where("side <> 0").select("sv_id", "comp", "side").unionByName(nearer)

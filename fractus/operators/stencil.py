@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.axes import linear
-from ..plans.fixpoint import star_components
+from ..plans.fixpoint import cut, star_components
+from .blocks import BLOCK, on_border, smallest_in_block, with_blocks
+from .offsets import HALF, OFFSETS
 
-OFFSETS = [o for o in product((-1, 0, 1), repeat=3) if o != (0, 0, 0)]
-HALF = [o for o in OFFSETS if o > (0, 0, 0)]
 KEY = ["sv_id", "z", "y", "x"]
 
 
@@ -55,12 +55,22 @@ def dilate(voxels: DataFrame, radius: int, within: DataFrame) -> DataFrame:
 
 
 def components(voxels: DataFrame, volumes: DataFrame) -> DataFrame:
-    """``voxels`` with comp: the smallest row-major number in the 26-connected component."""
+    """``voxels`` with comp: the smallest row-major number in the 26-connected component.
+
+    Each block of a fragment is settled in one task; only parts that touch over
+    the borders of blocks are joined, so the rounds follow the blocks that a
+    component crosses and not its voxels.
+    """
     shape = volumes.select("sv_id", "ny", "nx")
-    numbered = voxels.join(shape, "sv_id").withColumn("node", linear(F.col("z"), F.col("y"), F.col("x"), F.col("ny"), F.col("nx"))).drop("ny", "nx")
-    pairs = shifted(numbered, HALF, F.col("node").alias("a")).join(numbered.select(*KEY, F.col("node").alias("b")), KEY)
-    found = star_components(pairs.select("sv_id", "a", "b"))
-    return numbered.join(found, ["sv_id", "node"], "left").withColumn("comp", F.coalesce("comp", "node")).drop("node")
+    numbered = voxels.select(*KEY).join(shape, "sv_id").withColumn("node", linear(F.col("z"), F.col("y"), F.col("x"), F.col("ny"), F.col("nx"))).drop("ny", "nx")
+    parts = with_blocks(numbered).groupBy(*BLOCK).applyInPandas(smallest_in_block, "sv_id long, z int, y int, x int, node long, part long")
+    parts = cut(parts)
+    outer = parts.where(on_border())
+    beside = outer.select(*KEY, F.col("part").alias("b"))
+    pairs = shifted(outer, HALF, F.col("part").alias("a")).join(beside, KEY).where("a <> b")
+    found = star_components(pairs.select("sv_id", "a", "b")).withColumnRenamed("node", "part")
+    named = parts.join(found, ["sv_id", "part"], "left").select(*KEY, F.coalesce("comp", "part").alias("comp"))
+    return named if set(voxels.columns) == set(KEY) else voxels.join(named, KEY)
 
 
 def component_sizes(labelled: DataFrame) -> DataFrame:

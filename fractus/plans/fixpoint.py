@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,11 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed and read from the shared checkpoint folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fractus-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="fractus-")
         spark.sparkContext.setCheckpointDir(base)
     return df.checkpoint()
 
@@ -26,7 +31,8 @@ def star_components(edges: DataFrame, keys: tuple[str, ...] = ("sv_id",)) -> Dat
     edges = cut(edges.where("a <> b").select(*k, "a", "b").distinct())
     mark = None
     while True:
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(*k, "a", "b") % 1_000_003), F.lit(0))).first()
+        # Edges are distinct: two exclusive ors of 64-bit hashes and the count tell sets of them apart.
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64(*k, "a", "b")), F.bit_xor(F.xxhash64("b", *k, F.lit(1), "a"))).first()
         if now[0] == 0 or now == mark:
             break
         mark = now

@@ -12,7 +12,7 @@ from itertools import product
 import numpy as np
 
 from ..functions.fields import BACKGROUND, SINK, SOURCE, STRAY
-from ..operators.stencil import OFFSETS
+from ..operators.offsets import OFFSETS
 
 INF = np.inf
 
@@ -339,39 +339,36 @@ def ridge(mask: np.ndarray, sources: np.ndarray, sinks: np.ndarray, sampling, cf
 
 
 def watershed(mask: np.ndarray, sources: np.ndarray, sinks: np.ndarray, sampling, compactness: float, line: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flooding of the negative distance from both sides' seeds over face neighbours."""
+    """Flooding of the negative distance from both sides' seeds over face neighbours.
+
+    With ``compactness`` or a ``line`` a voxel gets its side when it leaves the
+    queue, as a later entry may be cheaper; else when it enters.
+    """
     kind = {"use_boundary": False, "downsample": False}
     a, b = (snap(s, mask, sampling, **kind) for s in (sources, sinks))
     height = -edt(mask, sampling)
     height[np.isinf(height)] = 0.0
-    labels = np.zeros(mask.shape, np.int64)
+    labels = np.zeros(mask.shape, np.uint8)
     for pts, side in ((a, SOURCE), (b, SINK)):
         for p in pts:
             labels[tuple(p)] = side
-    queue: list[tuple] = []
-    age = 0
-    for p in map(tuple, np.argwhere(labels)):
-        queue.append((height[p], age, p, p))
-        age += 1
+    queue = [(height[p], age, p, p) for age, p in enumerate(map(tuple, np.argwhere(labels).tolist()))]
+    age = len(queue)
     heapq.heapify(queue)
     faces = [o for o in OFFSETS if sum(map(abs, o)) == 1]
-    closed = np.zeros(mask.shape, bool)
-    WATER = 9
+    late = compactness > 0 or line
     while queue:
         _, _, p, origin = heapq.heappop(queue)
-        if closed[p] or labels[p] == WATER:
-            continue
-        closed[p] = True
         beside = [q for q in (tuple(v + d for v, d in zip(p, o)) for o in faces) if all(0 <= v < n for v, n in zip(q, mask.shape)) and mask[q]]
-        if line and p != origin and len({int(labels[q]) for q in beside if labels[q] in (SOURCE, SINK) and closed[q]} | {int(labels[p])}) > 1:
-            labels[p] = WATER
-            continue
+        if late and p != origin:
+            if labels[p] or (line and len({int(labels[q]) for q in beside} - {0}) > 1):
+                continue
+            labels[p] = labels[origin]
         for q in beside:
-            if labels[q] == 0:
-                labels[q] = labels[p]
+            if not labels[q]:
                 far = float(np.sqrt(sum((v - w) ** 2 for v, w in zip(q, origin))))
-                queue_value = height[q] + compactness * far
-                heapq.heappush(queue, (queue_value, age, q, origin))
+                heapq.heappush(queue, (height[q] + compactness * far, age, q, origin))
                 age += 1
-    labels[labels == WATER] = 0
-    return np.where(mask, labels, 0).astype(np.uint8), a, b
+                if not late:
+                    labels[q] = labels[p]
+    return labels, a, b

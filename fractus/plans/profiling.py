@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import logging
 import time
 from collections.abc import Iterator
 from contextlib import AbstractContextManager, contextmanager
@@ -10,12 +9,6 @@ from typing import Protocol, runtime_checkable
 
 from pyspark.sql import SparkSession
 
-logging.getLogger("fractus").addHandler(logging.NullHandler())
-
-
-def get_logger(name: str) -> logging.Logger:
-    return logging.getLogger(f"fractus.{name}")
-
 
 @runtime_checkable
 class Profiler(Protocol):

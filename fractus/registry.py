@@ -318,7 +318,20 @@ def seed_graph(spark, sf_dir):
     return _longs(graph.seed_graph(seeds, shape))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {SEEDS}, g AS (
+  SELECT a.sv_id, a.side, a.seed_idx AS a, b.seed_idx AS b, 9 * (a.z - b.z) * (a.z - b.z) + 4 * (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) AS d2
+  FROM seed a JOIN seed b ON a.sv_id = b.sv_id AND a.side = b.side AND a.seed_idx <> b.seed_idx
+), t AS (
+  SELECT sv_id, side, 0 AS step, CAST(NULL AS INTEGER) AS a, min(seed_idx) AS b, [min(seed_idx)] AS inside FROM seed GROUP BY sv_id, side
+  UNION ALL
+  SELECT sv_id, side, step + 1, a, b, list_append(inside, b) FROM (
+    SELECT t.sv_id, t.side, t.step, t.inside, g.a, g.b, row_number() OVER (PARTITION BY t.sv_id, t.side ORDER BY g.d2, g.b, g.a) AS i
+    FROM t JOIN g ON g.sv_id = t.sv_id AND g.side = t.side AND list_contains(t.inside, g.a) AND NOT list_contains(t.inside, g.b)
+  ) WHERE i = 1
+)
+SELECT sv_id, CAST(side AS BIGINT) AS side, CAST(step AS BIGINT) AS step, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM t WHERE step > 0
+""")
 def seed_spanning_tree(spark, sf_dir):
     _, shape, seeds = _blobs(spark, sf_dir)
     return _longs(graph.spanning_tree(seeds, shape))
@@ -405,7 +418,47 @@ def nearest_sides(spark, sf_dir):
     return _longs(resolve.nearest_side(strays, seeds, shape))
 
 
-@query()
+def _components_of(k: int, label: int, labels: str) -> str:
+    """Common tables that end in part{k}: the voxels of a label with their components."""
+    named = COMPONENTS.replace("vox", f"vox{k}").replace("num", f"num{k}").replace("cc", f"cc{k}").replace("e AS", f"e{k} AS").replace("JOIN e ON e.", f"JOIN e{k} AS e ON e.")
+    return f"""
+vox{k} AS MATERIALIZED (SELECT sv_id, z, y, x FROM {labels} WHERE label = {label}),{named},
+part{k} AS MATERIALIZED (SELECT v.sv_id, v.z, v.y, v.x, c.comp FROM num{k} v JOIN cc{k} c ON c.sv_id = v.sv_id AND c.v = v.v)"""
+
+
+def _enforced(k: int, side: int, labels: str) -> str:
+    """Common tables that keep the components of a side which hold its seeds, else the largest: lab{k} from ``labels``."""
+    return f"""{_components_of(k, side, labels)},
+size{k} AS (
+  SELECT sv_id, comp, count(*) AS n, bool_or(EXISTS (FROM place s WHERE s.side = {side} AND s.sv_id = p.sv_id AND s.z = p.z AND s.y = p.y AND s.x = p.x)) AS seeded FROM part{k} p GROUP BY ALL
+), kept{k} AS MATERIALIZED (
+  SELECT sv_id, comp FROM (SELECT *, bool_or(seeded) OVER (PARTITION BY sv_id) AS any_seeded, row_number() OVER (PARTITION BY sv_id ORDER BY n DESC, comp) AS i FROM size{k}) WHERE CASE WHEN any_seeded THEN seeded ELSE i = 1 END
+), lab{k} AS MATERIALIZED (
+  SELECT l.sv_id, l.z, l.y, l.x, CASE WHEN l.label = {side} AND kept{k}.comp IS NULL THEN 3 ELSE l.label END AS label FROM {labels} l
+  LEFT JOIN part{k} USING (sv_id, z, y, x) LEFT JOIN kept{k} USING (sv_id, comp)
+)"""
+
+
+@query(f"""
+WITH RECURSIVE {STRAYS.replace("lab AS (", "lab AS MATERIALIZED (").split(", vox AS (")[0]}, {STENCIL}, {SEEDS},
+place AS MATERIALIZED (SELECT sv_id, side, CAST(floor(z) AS BIGINT) AS z, CAST(floor(y) AS BIGINT) AS y, CAST(floor(x) AS BIGINT) AS x FROM seed), {_components_of(0, 3, "lab")},
+touch AS (
+  SELECT p.sv_id, comp, p.z, p.y, p.x, bool_or(l.label = 1) AS a, bool_or(l.label = 2) AS b FROM part0 p, stencil s
+  LEFT JOIN lab l ON l.sv_id = p.sv_id AND l.z = p.z + s.dz AND l.y = p.y + s.dy AND l.x = p.x + s.dx AND l.label <> 3 GROUP BY ALL
+), near AS (
+  SELECT p.sv_id, comp, p.z, p.y, p.x, min(CASE WHEN side = 1 THEN d END) AS a, min(CASE WHEN side = 2 THEN d END) AS b FROM (
+    SELECT p.*, s.side, 9 * (p.z - s.z) * (p.z - s.z) + 4 * (p.y - s.y) * (p.y - s.y) + (p.x - s.x) * (p.x - s.x) AS d FROM part0 p JOIN place s ON s.sv_id = p.sv_id
+  ) p GROUP BY ALL
+), nearer AS (
+  SELECT sv_id, comp, CASE WHEN 2 * count(*) FILTER (b < a) > count(*) THEN 2 ELSE 1 END AS side FROM near WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL
+), vote AS (SELECT sv_id, comp, count(*) FILTER (a) AS n_source, count(*) FILTER (b) AS n_sink FROM touch GROUP BY ALL
+), chosen AS MATERIALIZED (
+  SELECT sv_id, comp, CASE WHEN n_source > n_sink THEN 1 WHEN n_sink > n_source THEN 2 ELSE nearer.side END AS side FROM vote LEFT JOIN nearer USING (sv_id, comp)
+), lab0 AS MATERIALIZED (
+  SELECT lab.sv_id, lab.z, lab.y, lab.x, coalesce(chosen.side, label) AS label FROM lab LEFT JOIN part0 USING (sv_id, z, y, x) LEFT JOIN chosen USING (sv_id, comp)
+), {_enforced(1, 1, 'lab0')}, {_enforced(2, 2, 'lab1')}
+SELECT sv_id, count(*) FILTER (label = 1) AS n_source, count(*) FILTER (label = 2) AS n_sink, count(*) FILTER (label = 3) AS n_stray FROM lab2 GROUP BY sv_id
+""")
 def resolved_labels(spark, sf_dir):
     """Strays given to sides, then one component kept for each side."""
     _, shape, seeds = _blobs(spark, sf_dir)

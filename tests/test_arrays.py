@@ -6,7 +6,6 @@ import pytest
 from fractus.plans.arrays import prepare_array, seeds_from_zyx, seeds_zyx, split_array
 from fractus.plans.profiling import JobProfiler, NullProfiler, Profiler
 from fractus.plans.splitters import GeodesicSplitter, NoopSplitter, RidgeConnectPrep
-from fractus.plans.state import SPLIT_RESULT
 
 
 def dumbbell():
@@ -47,4 +46,3 @@ def test_seed_orders():
     assert seeds_zyx(points).tolist() == [[3, 2, 1], [30, 20, 10]]
     assert (seeds_from_zyx(seeds_zyx(points)) == points).all()
     assert seeds_zyx(np.zeros((0, 3))).shape == (0, 3)
-    assert "snapped_sources" in SPLIT_RESULT.fieldNames()

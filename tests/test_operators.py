@@ -1,11 +1,14 @@
 """Operators on voxel tables: hand-made cases and brute force."""
 
+import heapq
+import itertools
+import random
 from itertools import product
 
 import numpy as np
 import pytest
 
-from fractus.operators import distance, graph, regions, resolve, snap, stencil
+from fractus.operators import blocks, distance, graph, regions, resolve, snap, stencil
 from fractus.sources import volumes
 
 
@@ -146,7 +149,7 @@ def test_graph(spark):
     cut = graph.arrival(line.where("x <> 3"), ends, vol, "mcp").orderBy("x").collect()
     assert cut[-1].t_a is None and cut[0].t_b is None
     with pytest.raises(ValueError):
-        graph.voxel_edges(line, vol, "other")
+        graph.arrival(line, ends, vol, "other")
     tree = graph.spanning_tree(seeds(spark, [(1, 0, 0.0, 0.0, 0.0), (1, 1, 0.0, 0.0, 9.0), (1, 2, 0.0, 0.0, 4.0), (2, 5, 0.0, 0.0, 0.0)]), shape(spark, (1, 1, 10))).orderBy("step").collect()
     assert [(r.a, r.b) for r in tree] == [(0, 2), (2, 1)]
 
@@ -178,3 +181,42 @@ def test_seeds_on_coarse_grids(spark):
     assert cells(regions.seeds_on_grid(places, (2, 2, 1), coarse)) == {(1, 1, 3), (0, 0, 0)}
     near = {(r.side, r.seed_idx): (r.z, r.y, r.x) for r in regions.seeds_near_grid(places, (2, 2, 1), coarse, shape(spark, (4, 4, 10))).collect()}
     assert near == {(1, 0): (1, 1, 3), (1, 1): (1, 1, 3), (2, 0): (0, 0, 0)}
+
+
+def brute_arrival(cost, starts, size, backend):
+    """Dijkstra over the neighbours of a dictionary of costs."""
+    best, queue = {}, [(0.0, p) for p in starts if p in cost]
+    heapq.heapify(queue)
+    while queue:
+        t, p = heapq.heappop(queue)
+        if p in best:
+            continue
+        best[p] = t
+        for o in stencil.OFFSETS:
+            q = tuple(a + d for a, d in zip(p, o))
+            if q in cost and q not in best:
+                length = sum((d * s) ** 2 for d, s in zip(o, size)) ** 0.5
+                heapq.heappush(queue, (t + (0.5 * (cost[p] + cost[q]) * length if backend == "mcp" else cost[q] * sum(size) / 3), q))
+    return best
+
+
+def test_blocks_against_brute_force(spark, monkeypatch):
+    """Components and arrivals over many small blocks."""
+    monkeypatch.setattr(blocks, "EDGE", 4)
+    rng = random.Random(3)
+    places = [p for p in itertools.product(range(6), range(9), range(11)) if rng.random() < 0.2]
+    cost = {p: rng.choice((0.5, 1.0, 3.25, 40.0)) for p in places}
+    vol = shape(spark, (6, 9, 11), (3.0, 2.0, 1.0))
+    got = {(r.z, r.y, r.x): r.comp for r in stencil.components(table(spark, places), vol).collect()}
+    for p in places:
+        mine = brute_arrival(cost, [p], (1, 1, 1), "mcp")
+        assert got[p] == min((z * 9 + y) * 11 + x for z, y, x in mine)
+    frame = spark.createDataFrame([(0, *p, c) for p, c in cost.items()], "sv_id long, z int, y int, x int, cost double")
+    ends = seeds(spark, [(1, 0, *map(float, places[0])), (1, 1, *map(float, places[3])), (2, 0, *map(float, places[-1])), (2, 1, 0.0, 0.0, 99.0)])
+    for backend in ("mcp", "dj3d"):
+        a, b = (brute_arrival(cost, s, (3.0, 2.0, 1.0), backend) for s in ([places[0], places[3]], [places[-1]]))
+        rows = graph.arrival(frame, ends, vol, backend).collect()
+        assert len(rows) == len(places)
+        for r in rows:
+            p = (r.z, r.y, r.x)
+            assert (r.t_a, r.t_b) == (pytest.approx(a[p]) if p in a else None, pytest.approx(b[p]) if p in b else None)

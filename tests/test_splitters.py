@@ -140,3 +140,39 @@ def test_stream(spark, dumbbell, tmp_path):
     query = split_stream(voxel_stream(spark, str(tmp_path / "in")), lambda: seeds, lambda: shape, NoopSplitter(), str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2080
+
+
+def brute_flooding(mask, sources, sinks, compactness, line):
+    """Compact flooding with a plain list as its queue: the cheapest entry, then the oldest, is taken next."""
+    height = -kernel.edt(mask, (1.0, 1.0, 1.0))
+    labels = {}
+    for side, pts in ((1, sources), (2, sinks)):
+        labels.update({tuple(map(int, p)): side for p in pts})
+    queue = [(height[p], k, p, p) for k, p in enumerate(sorted(labels))]
+    age = len(queue)
+    while queue:
+        at = min(range(len(queue)), key=lambda i: queue[i][:2])
+        _, _, p, origin = queue.pop(at)
+        beside = [tuple(p[k] + (d if k == axis else 0) for k in range(3)) for axis in range(3) for d in (-1, 1)]
+        beside = [q for q in sorted(beside) if all(0 <= v < n for v, n in zip(q, mask.shape)) and mask[q]]
+        if p != origin:
+            if p in labels or (line and len({labels[q] for q in beside if q in labels}) > 1):
+                continue
+            labels[p] = labels[origin]
+        for q in beside:
+            if q not in labels:
+                queue.append((height[q] + compactness * sum((v - w) ** 2 for v, w in zip(q, origin)) ** 0.5, age, q, origin))
+                age += 1
+    return labels
+
+
+def test_watershed_against_brute_force():
+    rng = np.random.default_rng(11)
+    for trial in range(8):
+        mask = rng.random((5, 9, 10)) < 0.75
+        at = rng.permutation(np.argwhere(mask))
+        for compactness, line in ((1e-3, False), (0.5, False), (1e-3, True)):
+            got, a, b = kernel.watershed(mask, at[:2], at[2:4], (1.0, 1.0, 1.0), compactness, line)
+            want = brute_flooding(mask, at[:2], at[2:4], compactness, line)
+            assert (a == at[:2]).all() and (b == at[2:4]).all()
+            assert {tuple(map(int, p)): int(got[tuple(p)]) for p in np.argwhere(got)} == want
