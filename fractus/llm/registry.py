@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, line_dedup, ngram_join, secrets
+from . import decontamination, licenses, line_dedup, merkle, ngram_join, secrets
 from .media import media_columns
 from .packing import pack
 from .storage import table
@@ -57,9 +57,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_secret_scan, op4_packing, op5_toxicity, op6_media_columns, op7_page_text, op8_license_scan, op9_line_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_secret_scan, op4_packing, op5_toxicity, op6_media_columns, op7_page_text, op8_license_scan, op9_line_dedup, op10_decontamination, op11_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": ngram_join.ORACLE_SQL, "op3_secret_scan": secrets.oracle_sql(), "op8_license_scan": licenses.oracle_sql(), "op9_line_dedup": line_dedup.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL}
+    return {"op1_ngram_jaccard": ngram_join.ORACLE_SQL, "op3_secret_scan": secrets.oracle_sql(), "op8_license_scan": licenses.oracle_sql(), "op9_line_dedup": line_dedup.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL}
