@@ -173,7 +173,8 @@ def verified_manifest(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-_CRC = """
+#: The unsigned crc32 of a value in decimal, as DuckDB SQL.
+CRC_SQL = """
 xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
   lambda acc, b: list_reduce(list_prepend(xor(acc, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, CAST(3988292384 AS BIGINT)) ELSE r >> 1 END)), CAST(4294967295 AS BIGINT))"""
 _ENCODED = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
@@ -181,7 +182,7 @@ _LEAF = " || ".join(_ENCODED.format(c) for c in COLUMNS)
 ORACLE_SQL = f"""
 WITH RECURSIVE doc AS (
   SELECT doc_id, lang, sha256({_LEAF}) AS leaf,
-    CASE WHEN {_CRC.format("doc_id")} % 7 = 0 THEN sha256({_LEAF.replace("n_chars", "(n_chars + 1)")}) END AS tampered FROM documents
+    CASE WHEN {CRC_SQL.format("doc_id")} % 7 = 0 THEN sha256({_LEAF.replace("n_chars", "(n_chars + 1)")}) END AS tampered FROM documents
 ), leaves AS MATERIALIZED (
   SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM doc
 ), node AS MATERIALIZED (

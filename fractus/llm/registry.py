@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, line_dedup, merkle, ngram_join, secrets
+from . import decontamination, language, licenses, line_dedup, merkle, ngram_join, prefix_trie, secrets
 from .media import media_columns
 from .packing import pack
 from .storage import table
@@ -61,9 +61,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("node", "parent")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_secret_scan, op4_packing, op5_toxicity, op6_media_columns, op7_page_text, op8_license_scan, op9_line_dedup, op10_decontamination, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_secret_scan, op4_packing, op5_toxicity, op6_media_columns, op7_page_text, op8_license_scan, op9_line_dedup, op10_decontamination, op11_merkle_manifest, op12_language_id, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": ngram_join.ORACLE_SQL, "op3_secret_scan": secrets.oracle_sql(), "op8_license_scan": licenses.oracle_sql(), "op9_line_dedup": line_dedup.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL}
+    return {"op1_ngram_jaccard": ngram_join.ORACLE_SQL, "op3_secret_scan": secrets.oracle_sql(), "op8_license_scan": licenses.oracle_sql(), "op9_line_dedup": line_dedup.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op13_prefix_trie": prefix_trie.ORACLE_SQL}
