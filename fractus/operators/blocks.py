@@ -32,67 +32,82 @@ def blocks_beside() -> Column:
     return F.filter(F.array_distinct(places), lambda p: (p["z"] != F.col("bz")) | (p["y"] != F.col("by")) | (p["x"] != F.col("bx")))
 
 
-def _box(rows: pd.DataFrame) -> tuple[tuple[np.ndarray, ...], tuple[int, ...]]:
-    """Places of the rows in the smallest box around them, and its shape."""
-    at = rows[["z", "y", "x"]].to_numpy(np.int64)
-    at = at - at.min(0)
-    return tuple(at.T), tuple((at.max(0) + 1).tolist())
+class Box:
+    """The smallest box around some rows' places, with a margin of one cell, as flat numbers in row-major order."""
 
+    def __init__(self, rows: pd.DataFrame):
+        at = rows[["z", "y", "x"]].to_numpy(np.int64)
+        self.low = at.min(0) - 1
+        self.shape = at.max(0) - self.low + 2
+        self.size = int(self.shape.prod())
+        self.by = np.array([self.shape[1] * self.shape[2], self.shape[2], 1])
+        self.at = (at - self.low) @ self.by
+        self.steps = [int(np.dot(o, self.by)) for o in OFFSETS]
 
-def _views(shape: tuple[int, ...], o: tuple[int, int, int]) -> tuple[tuple, tuple]:
-    here = tuple(slice(max(0, -d), n - max(0, d)) for d, n in zip(o, shape))
-    there = tuple(slice(max(0, d), n - max(0, -d)) for d, n in zip(o, shape))
-    return here, there
+    def places(self, flat: np.ndarray) -> np.ndarray:
+        return np.stack(np.unravel_index(flat, self.shape), 1) + self.low
 
 
 def smallest_in_block(rows: pd.DataFrame) -> pd.DataFrame:
     """Rows (sv_id, z, y, x, node, part): the smallest node that a voxel reaches within its block."""
-    at, shape = _box(rows)
-    none = np.iinfo(np.int64).max
-    label = np.full(shape, none)
-    label[at] = rows["node"]
-    inside = label != none
+    box = Box(rows)
+    none = box.size
+    label = np.full(box.size + 1, none)
+    label[box.at] = box.at
+    cells = np.sort(box.at)
     while True:
-        least = label.copy()
-        for o in OFFSETS:
-            if all(abs(d) < n for d, n in zip(o, shape)):
-                here, there = _views(shape, o)
-                np.minimum(least[here], label[there], out=least[here])
-        least[~inside] = none
-        if (least == label).all():
-            return rows.assign(part=label[at])[["sv_id", "z", "y", "x", "node", "part"]]
-        label = least
-
-
-def relaxed(backend: str):
-    """Least arrival times within one block and its border, given those so far."""
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        at, shape = _box(rows)
-        size = tuple(float(rows[f"s{a}"].iloc[0]) for a in "zyx")
-        cost = np.full(shape, np.inf)
-        cost[at] = rows["cost"]
-        steps = []
-        for o in OFFSETS:
-            if all(abs(d) < n for d, n in zip(o, shape)):
-                here, there = _views(shape, o)
-                if backend == "mcp":
-                    w = 0.5 * (cost[there] + cost[here]) * float(np.sqrt(sum((d * s) * (d * s) for d, s in zip(o, size))))
-                else:
-                    w = cost[here] * (size[0] + size[1] + size[2]) / 3.0
-                steps.append((here, there, w))
-        out = rows.copy()
-        for side in ("ta", "tb"):
-            t = np.full(shape, np.inf)
-            np.minimum.at(t, at, rows[side].to_numpy())
-            while True:
-                before = t.copy()
-                for here, there, w in steps:
-                    np.minimum(t[here], t[there] + w, out=t[here])
-                if (t == before).all():
-                    break
-            out[side] = t[at]
-            out["changed"] |= out[side] < rows[side]
-        return out[~out["halo"]]
-
-    return work
+        least = label[cells]
+        for step in box.steps:
+            np.minimum(least, label[cells + step], out=least)
+        for _ in range(4):  # a label is a cell: follow its own
+            least = np.minimum(least, label[least])
+        if (least == label[cells]).all():
+            break
+        label[cells] = least
+    node = np.zeros(box.size, np.int64)
+    node[box.at] = rows["node"]
+    return rows.assign(part=node[label[box.at]])[["sv_id", "z", "y", "x", "node", "part"]]
+
+
+class Costs:
+    """Edges of the 26-neighbourhood over the cells of a box: for mcp the mean cost of both ends times their distance, for dj3d the cost of the end reached times the mean voxel size."""
+
+    def __init__(self, rows: pd.DataFrame, backend: str):
+        self.box, self.mcp = Box(rows), backend == "mcp"
+        size = [float(rows[f"s{a}"].iloc[0]) for a in "zyx"]
+        self.cost = np.full(self.box.size, np.inf)
+        self.cost[self.box.at] = rows["cost"]
+        self.lengths = [float(np.sqrt(sum((d * s) * (d * s) for d, s in zip(o, size)))) for o in OFFSETS]
+        self.mean = (size[0] + size[1] + size[2]) / 3.0
+
+    def weight(self, here: np.ndarray, there: np.ndarray, k: int) -> np.ndarray:
+        """Of the step from cells ``here`` to those beside them, ``there``, along the k-th offset."""
+        return 0.5 * (self.cost[here] + self.cost[there]) * self.lengths[k] if self.mcp else self.cost[there] * self.mean
+
+    def settle(self, t: np.ndarray) -> np.ndarray:
+        """Least times of all cells, given those of some; only what changed is looked at again."""
+        changed = np.zeros(len(t), bool)
+        active = np.flatnonzero(np.isfinite(t))
+        while len(active):
+            for k, step in enumerate(self.box.steps):
+                there = active + step
+                new = t[active] + self.weight(active, there, k)
+                better = new < t[there]
+                if better.any():
+                    there = there[better]
+                    t[there] = new[better]
+                    changed[there] = True
+            active = np.flatnonzero(changed)
+            changed[active] = False
+        return t
+
+    def before(self, t: np.ndarray) -> np.ndarray:
+        """For each cell of the rows the cell from which its time comes, by number, the first of equals; -1 without any."""
+        cells = self.box.at
+        best, out = np.full(len(cells), np.inf), np.full(len(cells), -1)
+        for k, step in enumerate(self.box.steps):  # offsets ascend, so the first of equals is the smallest place
+            there = cells + step
+            reach = np.where(t[there] < t[cells], t[there] + self.weight(there, cells, k), np.inf)
+            better = reach < best
+            best[better], out[better] = reach[better], there[better]
+        return out

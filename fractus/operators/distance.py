@@ -41,7 +41,7 @@ def squared_distance(voxels: DataFrame, volumes: DataFrame) -> DataFrame:
 
 
 def cost_fields(distances: DataFrame, gamma: float = 1.6, power: float = 2.0) -> DataFrame:
-    """Rows with cost and ridge from d2: the maximum is one aggregated row for each fragment, joined back."""
+    """Rows with cost and ridge from d2, a written table: the maximum is one aggregated row for each fragment, joined back."""
     most = distances.groupBy("sv_id").agg(F.sqrt(F.max("d2")).alias("most"))
     dn = normalised(F.sqrt("d2"), F.col("most"))
     return distances.join(most, "sv_id").select("sv_id", "z", "y", "x", travel_cost(dn, gamma).alias("cost"), ridge_cost(dn, power).alias("ridge"))

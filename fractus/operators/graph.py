@@ -6,13 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import cut
-from .blocks import BLOCK, blocks_beside, on_border, relaxed, with_blocks
-from .stencil import KEY
-
-BACKENDS = ("dj3d", "mcp")
-
-
-STATE = "sv_id long, bz int, by int, bx int, z int, y int, x int, cost double, sz double, sy double, sx double, ta double, tb double, halo boolean, changed boolean"
+from .search import borders, cells_of, times
 
 
 def arrival(cost: DataFrame, seeds: DataFrame, volumes: DataFrame, backend: str = "mcp") -> DataFrame:
@@ -20,32 +14,12 @@ def arrival(cost: DataFrame, seeds: DataFrame, volumes: DataFrame, backend: str
 
     An edge of the 26-neighbourhood costs, for mcp, the mean cost of both ends
     times their physical distance; for dj3d the cost of the end reached times the
-    mean voxel size. All fragments and both sides advance in one loop. In a round
-    each block that was reached anew settles in one task and hands the times of
-    its border to the blocks beside it; rounds are as many as the blocks that the
-    longest least path crosses. Each is cut in the shared checkpoint folder.
+    mean voxel size. All fragments and both sides advance in one loop; rounds are
+    as many as the blocks that the longest least path crosses.
     """
-    if backend not in BACKENDS:
-        raise ValueError(f"unknown backend {backend!r}")
-    inf = F.lit(float("inf"))
-    starts = seeds.groupBy("sv_id", *(F.col(a).cast("int").alias(a) for a in "zyx")).agg(F.bool_or(F.col("side") == 1).alias("a"), F.bool_or(F.col("side") == 2).alias("b"))
-    cells = with_blocks(cost.select(*KEY, "cost").join(volumes.select("sv_id", "sz", "sy", "sx"), "sv_id")).join(starts, KEY, "left")
-    times = {f"t{k}": F.when(F.col(k), F.lit(0.0)).otherwise(inf) for k in "ab"}
-    names = [f.split()[0] for f in STATE.split(", ")]
-    state = cut(cells.withColumns(times | {"halo": F.lit(False), "changed": F.coalesce(F.col("a") | F.col("b"), F.lit(False))}).select(*names))
-    todo = state.where("changed").select(*BLOCK).distinct()
-    halo = state.limit(0)
-    while not todo.isEmpty():
-        open_blocks = state.join(todo, BLOCK, "left_semi").unionByName(halo)
-        settled = open_blocks.groupBy(*BLOCK).applyInPandas(relaxed(backend), STATE)
-        state = cut(state.join(todo, BLOCK, "left_anti").withColumn("changed", F.lit(False)).unionByName(settled))
-        news = state.where("changed").where(on_border()).withColumn("to", F.explode(blocks_beside()))
-        news = news.withColumns({f"b{a}": F.col(f"to.{a}") for a in "zyx"} | {"halo": F.lit(True)}).select(*names)
-        halo = cut(news.join(state.select(*BLOCK).distinct(), BLOCK, "left_semi"))
-        state = state.withColumn("changed", F.lit(False))  # handed over
-        todo = halo.select(*BLOCK).distinct()
-    finite = lambda c: F.when(F.col(c) != inf, F.col(c))
-    return state.select(*KEY, finite("ta").alias("t_a"), finite("tb").alias("t_b"))
+    cells = cells_of(cost, volumes)
+    starts = seeds.select("sv_id", F.col("side").alias("search"), "z", "y", "x")
+    return times(cells, borders(cells, starts, backend), backend)
 
 
 def seed_graph(seeds: DataFrame, volumes: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fields import BACKGROUND, in_volume
 from .stencil import KEY
 
 
@@ -25,9 +26,25 @@ def padded_box(points: DataFrame, volumes: DataFrame, pad: tuple[int, int, int])
 
 def crop(voxels: DataFrame, boxes: DataFrame) -> DataFrame:
     """Voxels inside their fragment's box, in the box's coordinates."""
-    inside = " AND ".join(f"{a} >= {a}0 AND {a} < {a}1" for a in "zyx")
-    joined = voxels.join(boxes.select("sv_id", *(f"{a}{e}" for a in "zyx" for e in "01")), "sv_id").where(inside)
-    return joined.withColumns({a: (F.col(a) - F.col(f"{a}0")).cast("int") for a in "zyx"}).drop(*(f"{a}{e}" for a in "zyx" for e in "01"))
+    edges = boxes.select("sv_id", *(F.col(f"{a}0").alias(f"low{a}") for a in "zyx"), *((F.col(f"{a}1") - F.col(f"{a}0")).alias(f"n{a}") for a in "zyx"))
+    moved = voxels.join(edges, "sv_id").withColumns({a: (F.col(a) - F.col(f"low{a}")).cast("int") for a in "zyx"})
+    return moved.where(in_volume()).select(*voxels.columns)
+
+
+def box_volumes(boxes: DataFrame, volumes: DataFrame, steps: tuple[int, int, int] = (1, 1, 1)) -> DataFrame:
+    """Boxes as volumes of their own, with each ``steps``-th cell of them and voxels as many times the size."""
+    joined = boxes.join(volumes.select("sv_id", "sz", "sy", "sx"), "sv_id")
+    sizes = [F.ceil((F.col(f"{a}1") - F.col(f"{a}0")) / k).cast("int").alias(f"n{a}") for a, k in zip("zyx", steps)]
+    return joined.select("sv_id", *sizes, *((F.col(f"s{a}") * float(k)).alias(f"s{a}") for a, k in zip("zyx", steps)))
+
+
+def with_background(cost: DataFrame, volumes: DataFrame) -> DataFrame:
+    """``cost`` (sv_id, z, y, x, cost) with all other cells of the volumes, at the cost of background."""
+    planes = volumes.select("sv_id", "ny", "nx", F.explode(F.sequence(F.lit(0), F.col("nz") - 1)).alias("z")).repartition("sv_id", "z")
+    lines = planes.select("sv_id", "nx", "z", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("y"))
+    every = lines.select("sv_id", "z", "y", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("x"))
+    beyond = every.join(cost.select(*KEY), KEY, "left_anti").withColumn("cost", F.lit(BACKGROUND))
+    return cost.select(*KEY, "cost").unionByName(beyond)
 
 
 def crop_to_foreground(voxels: DataFrame, volumes: DataFrame, halo: int = 1) -> DataFrame:
@@ -47,19 +64,28 @@ def upsample(coarse: DataFrame, steps: tuple[int, int, int], fine: DataFrame) ->
     return anchors.join(named, ["sv_id", "zc", "yc", "xc"], "left").drop("zc", "yc", "xc")
 
 
+def numbered(points: DataFrame, slab: Column, order: list[Column]) -> DataFrame:
+    """``points`` with i, the place of each in its fragment from 0: by slab, then by ``order`` within it.
+
+    What is before a slab is a sum over the fragment's slabs; only the points of a slab are sorted in one task.
+    """
+    cut_up = points.withColumn("slab", slab)
+    counts = cut_up.groupBy("sv_id", "slab").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("sv_id").orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    here = F.row_number().over(Window.partitionBy("sv_id", "slab").orderBy(*order))
+    return cut_up.withColumn("here", here).join(counts.select("sv_id", "slab", before.alias("before")), ["sv_id", "slab"]).withColumn("i", F.col("before") + F.col("here") - 1).drop("slab", "here", "before")
+
+
 def every_nth(points: DataFrame, n: int) -> DataFrame:
     """Each n-th point of a fragment in row-major order."""
-    if n < 1:
-        n = 1
-    numbered = points.withColumn("i", F.row_number().over(Window.partitionBy("sv_id").orderBy("z", "y", "x")) - 1)
-    return numbered.where(F.col("i") % n == 0).drop("i")
+    return numbered(points, F.col("z"), [F.col("y"), F.col("x")]).where(F.col("i") % max(1, n) == 0).drop("i")
 
 
 def sample(points: DataFrame, target: int, seed: int = 0) -> DataFrame:
-    """``target`` points of each fragment, those of the smallest seeded hashes; all where there are no more."""
-    order = F.xxhash64(F.lit(seed), "sv_id", "z", "y", "x")
-    numbered = points.withColumn("i", F.row_number().over(Window.partitionBy("sv_id").orderBy(order, "z", "y", "x")))
-    return numbered.where(F.col("i") <= max(1, target)).drop("i")
+    """``target`` points of each fragment, those of the smallest digests of seed and place; all where there are no more."""
+    digest = F.md5(F.concat_ws(",", F.lit(str(seed)), "sv_id", "z", "y", "x"))
+    drawn = numbered(points.withColumn("digest", digest), F.substring("digest", 1, 3), [F.col("digest"), F.col("z"), F.col("y"), F.col("x")])
+    return drawn.where(F.col("i") < max(1, target)).drop("i", "digest")
 
 
 def histogram(labels: DataFrame) -> DataFrame:
@@ -89,5 +115,5 @@ def seeds_near_grid(seeds: DataFrame, steps: tuple[int, int, int], coarse: DataF
     from .snap import nearest
 
     scaled = seeds.withColumns({a: F.col(a).cast("double") / s for a, s in zip("zyx", steps)})
-    wide = volumes.withColumns({f"s{a}": F.col(f"s{a}") * s for a, s in zip("zyx", steps)})
+    wide = volumes.withColumns({f"s{a}": F.col(f"s{a}") * float(s) for a, s in zip("zyx", steps)})
     return nearest(scaled, coarse, wide).select("sv_id", "side", "seed_idx", *(F.col(f"v{a}").alias(a) for a in "zyx"))

@@ -6,6 +6,7 @@ fragment is spread over many tasks; each block yields one row for each seed.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +41,19 @@ def nearest(seeds: DataFrame, candidates: DataFrame, volumes: DataFrame) -> Data
     return seeds.join(best, key).select(*key, "z", "y", "x", "best.vz", "best.vy", "best.vx", "best.d2")
 
 
-def snap_seeds(seeds: DataFrame, voxels: DataFrame, volumes: DataFrame, use_boundary: bool = True, erosion_iters: int = 1, downsample: bool = True, downsample_mode: str = "stride", downsample_stride: int = 2, downsample_target: int | None = None, seed: int = 0) -> DataFrame:
+def snap_seeds(seeds: DataFrame, voxels: DataFrame, volumes: DataFrame, use_boundary: bool = True, erosion_iters: int = 1, downsample: bool = True, downsample_mode: str = "stride", downsample_stride: int = 2, downsample_target: int | None = None, seed: int = 0, use_bbox: bool = False, bbox_pad_phys: float | None = None, rng: int | np.random.Generator | None = None, leafsize: int = 16) -> DataFrame:
     """:func:`nearest` among boundary or all voxels, thinned as asked, with moved (boolean).
 
-    Raises ValueError if a fragment with seeds has no candidate.
+    Raises ValueError if a fragment with seeds has no candidate. ``rng`` (a number
+    or a numpy generator) gives the seed of a random sample in place of ``seed``.
+    The search is exact whether or not a window around the seeds is asked for
+    (``use_bbox``, ``bbox_pad_phys``), as :func:`nearest` opens only blocks near
+    each seed; ``leafsize`` is accepted for completeness.
     """
+    if rng is not None:
+        seed = int(rng if isinstance(rng, int | np.integer) else rng.integers(1 << 31))
+    if bbox_pad_phys is not None and bbox_pad_phys < 0:
+        raise ValueError("bbox_pad_phys must not be negative")
     if downsample_mode not in ("stride", "random"):
         raise ValueError("downsample_mode must be 'stride' or 'random'")
     candidates = boundary(voxels, erosion_iters) if use_boundary else voxels.select("sv_id", "z", "y", "x")

@@ -52,12 +52,12 @@ def split_array(spark: SparkSession, splitter: Splitter, mask: np.ndarray, sourc
     voxels, seeds, shape, grid = _tables(spark, mask, sources, sinks, voxel_size, vol_order, vox_order, seed_order)
     with profiler.profile("split"):
         out = splitter.split(voxels, seeds, shape)
+        found = out.labels.select("z", "y", "x", "label").toArrow()
         labels = np.zeros(grid, np.uint8)
-        for r in out.labels.collect():
-            labels[r.z, r.y, r.x] = r.label
+        labels[tuple(found.column(a).to_numpy() for a in "zyx")] = found.column("label").to_numpy()
     facts = out.diagnostics.first()
     augmented = [None, None] if out.augmented is None or out.augmented.isEmpty() else [_points(out.augmented, k, seed_order) for k in (SOURCE, SINK)]
-    notes = dict(facts.facts or {}) if facts else {}
+    notes = {k: v for k, v in facts.asDict().items() if k not in ("sv_id", "facts")} if facts else {}
     notes["total_elapsed_s"] = time.perf_counter() - began
     return SplitResult(labels if checked(vol_order) == "zyx" else labels.transpose(2, 1, 0), out.side_of_label, _points(out.snapped, SOURCE, seed_order), _points(out.snapped, SINK, seed_order), *augmented, notes)
 

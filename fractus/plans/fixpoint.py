@@ -4,22 +4,37 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _shared(spark: SparkSession) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``; only under a local master one is chosen where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="fractus-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/fractus/table-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed and read from the shared checkpoint folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="fractus-")
-        spark.sparkContext.setCheckpointDir(base)
-    return df.checkpoint()
+    """``df`` written as Parquet in the shared folder and read from there: computed once, and pruned by later reads."""
+    path = _shared(df.sparkSession)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete cut tables that only tables written by now were made of."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def star_components(edges: DataFrame, keys: tuple[str, ...] = ("sv_id",)) -> DataFrame:
@@ -35,7 +50,7 @@ def star_components(edges: DataFrame, keys: tuple[str, ...] = ("sv_id",)) -> Dat
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64(*k, "a", "b")), F.bit_xor(F.xxhash64("b", *k, F.lit(1), "a"))).first()
         if now[0] == 0 or now == mark:
             break
-        mark = now
+        mark, before = now, edges
         both = edges.unionByName(edges.select(*k, F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(*k, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, [*k, "a"]).select(*k, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -43,5 +58,6 @@ def star_components(edges: DataFrame, keys: tuple[str, ...] = ("sv_id",)) -> Dat
         least = down.groupBy(*k, "a").agg(F.min("b").alias("m"))
         moved = down.join(least, [*k, "a"]).where("b <> m").select(*k, F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(moved.unionByName(least.select(*k, "a", F.col("m").alias("b"))).distinct())
+        drop(before)
     tips = edges.select(*k, F.col("a").alias("node"), F.col("b").alias("comp"))
     return tips.unionByName(edges.select(*k, F.col("b").alias("node"), F.col("b").alias("comp")).distinct())

@@ -22,7 +22,7 @@ def test_split_in_both_orders(spark):
     assert (one.labels == two.labels.transpose(2, 1, 0)).all() and one.labels.shape == mask.shape
     assert ((one.labels > 0) == mask).all() and one.labels[10, 15, 10] == 1 and one.labels[40, 15, 10] == 2
     assert one.snapped_sources.shape == (1, 3) and (one.snapped_sources == two.snapped_sources[:, ::-1]).all()
-    assert one.side_of_label == {1: 1, 2: 2} and one.aug_sources is not None and one.diagnostics["full_shape_zyx"] == "(20, 30, 50)"
+    assert one.side_of_label == {1: 1, 2: 2} and one.aug_sources is not None and one.diagnostics["full_shape_zyx"] == [20, 30, 50]
     assert timed.seconds["split"] > 0 and isinstance(NullProfiler(), Profiler) and isinstance(timed, Profiler)
 
 
