@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .offsets import OFFSETS
 
 #: Edge of a block; a task holds one block with a border of one voxel.
-EDGE = 32
+EDGE = 64
 BLOCK = ["sv_id", "bz", "by", "bx"]
 
 

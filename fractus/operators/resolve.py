@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import SINK, SOURCE, STRAY
-from ..plans.fixpoint import cut
+from ..plans.fixpoint import kept
 from ..plans.profiling import NullProfiler, Profiler
 from .stencil import KEY, components, neighbours
 
@@ -34,7 +34,7 @@ def enforce_components(labels: DataFrame, seeds: DataFrame, volumes: DataFrame,
 
 def stray_components(labels: DataFrame, volumes: DataFrame) -> DataFrame:
     """Stray voxels (sv_id, z, y, x, comp), written for those that read them more than once."""
-    return cut(components(labels.where(F.col("label") == STRAY).select(*KEY), volumes))
+    return kept(components(labels.where(F.col("label") == STRAY).select(*KEY), volumes))
 
 
 def border_vote(labels: DataFrame, volumes: DataFrame, strays: DataFrame | None = None) -> DataFrame:
@@ -84,7 +84,7 @@ def resolve_strays(labels: DataFrame, seeds: DataFrame, volumes: DataFrame) -> D
 
 def chosen_sides(labels: DataFrame, strays: DataFrame, seeds: DataFrame, volumes: DataFrame) -> DataFrame:
     """(sv_id, comp, n, side, tie): the side of each stray component, null if the fragment lacks seeds; tie where the vote was even."""
-    votes = cut(border_vote(labels, volumes, strays))
+    votes = kept(border_vote(labels, volumes, strays))
     even = votes.where("side = 0").select("sv_id", "comp")
     nearer = nearest_side(strays.join(even, ["sv_id", "comp"], "left_semi"), seeds, volumes).withColumnRenamed("side", "near")
     return votes.join(nearer, ["sv_id", "comp"], "left").select("sv_id", "comp", "n", F.when(F.col("side") != 0, F.col("side")).otherwise(F.col("near")).alias("side"), (F.col("side") == 0).alias("tie"))
@@ -110,9 +110,9 @@ def enforce_both(labels: DataFrame, seeds: DataFrame, volumes: DataFrame, allow_
     Neither side's components hang on the other's, so one loop finds both. With
     ``allow_stray`` false the labels stay and the report says what would move.
     """
-    mine = cut(side_components(labels, volumes))
+    mine = kept(side_components(labels, volumes))
     seeded = seeds.select(*KEY, F.col("side").cast("tinyint").alias("label")).distinct().withColumn("seed", F.lit(1))
-    marks = cut(mine.join(seeded, [*KEY, "label"], "left").groupBy("sv_id", "label", "comp").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
+    marks = kept(mine.join(seeded, [*KEY, "label"], "left").groupBy("sv_id", "label", "comp").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
     best = marks.groupBy("sv_id", "label").agg(F.max("seed").alias("any"), F.min(F.struct((-F.col("n")).alias("m"), "comp")).alias("s"))
     judged = marks.join(best, ["sv_id", "label"]).withColumn("kept", F.expr("(any = 1 AND seed <=> 1) OR (any IS NULL AND comp = s.comp)"))
     report = judged.groupBy("sv_id", "label").agg(F.count_if("kept").alias("kept_components"), F.coalesce(F.sum(F.when(~F.col("kept"), F.col("n"))), F.lit(0)).alias("moved_to_stray"))
@@ -139,18 +139,18 @@ def repair(labels: DataFrame, seeds: DataFrame, volumes: DataFrame, enforce: boo
     with profiler.profile("enforce_cc:1st"):
         if enforce:
             labels, report = enforce_both(labels, seeds, volumes, allow_stray)
-            report = cut(report)
-        before = labels = cut(labels)
+            report = kept(report)
+        before = labels = kept(labels)
     with profiler.profile("resolve_stray"):
         strays = stray_components(labels, volumes)
-        chosen = cut(chosen_sides(labels, strays, seeds, volumes))
+        chosen = kept(chosen_sides(labels, strays, seeds, volumes))
         moved = F.coalesce(F.sum(F.when(F.col("side") == SOURCE, F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("side") == SINK, F.col("n"))), F.lit(0))
-        resolved = cut(chosen.groupBy("sv_id").agg(F.count("*").alias("n_components"), moved[0].alias("moved_to_source"), moved[1].alias("moved_to_sink"), F.count_if("tie").alias("tie_break_count")))
+        resolved = kept(chosen.groupBy("sv_id").agg(F.count("*").alias("n_components"), moved[0].alias("moved_to_source"), moved[1].alias("moved_to_sink"), F.count_if("tie").alias("tie_break_count")))
         if not strays.isEmpty():
-            labels = cut(_moved(labels, chosen, strays))
+            labels = kept(_moved(labels, chosen, strays))
     with profiler.profile("enforce_cc:2nd"):
         again = resolved.where("moved_to_source + moved_to_sink > 0").select("sv_id")
         if enforce and allow_stray and not again.isEmpty():
             redone, _ = enforce_both(labels.join(again, "sv_id", "left_semi"), seeds, volumes, allow_stray)
-            labels = cut(labels.join(again, "sv_id", "left_anti").unionByName(redone.select(*labels.columns)))
+            labels = kept(labels.join(again, "sv_id", "left_anti").unionByName(redone.select(*labels.columns)))
     return Repaired(labels, before, report, resolved)

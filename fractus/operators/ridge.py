@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import cut
+from ..plans.fixpoint import kept
 from . import distance, graph, regions, search
 from .snap import nearest
 from .stencil import KEY, dilate
@@ -25,11 +25,11 @@ def ridge_paths(coarse: DataFrame, seeds: DataFrame, volumes: DataFrame, power:
     it. Paths stay in the foreground where it joins both ends; else they may
     cross background at its cost, in a grid that is built for such fragments alone.
     """
-    cost = cut(distance.cost_fields(cut(distance.squared_distance(coarse, volumes)), power=power).select(*KEY, F.col("ridge").alias("cost")))
-    edges = cut(_numbered(graph.spanning_tree(seeds, volumes)))
-    ends = [cut(edges.join(seeds.select("sv_id", "side", F.col("seed_idx").alias(c), "z", "y", "x"), ["sv_id", "side", c]).select("sv_id", "search", "z", "y", "x")) for c in ("a", "b")]
-    found = cut(search.least_paths(search.cells_of(cost, volumes), *ends))
-    lost = cut(edges.join(found, ["sv_id", "search"], "left_anti").select("sv_id", "search"))
+    cost = kept(distance.cost_fields(kept(distance.squared_distance(coarse, volumes)), power=power).select(*KEY, F.col("ridge").alias("cost")))
+    edges = kept(_numbered(graph.spanning_tree(seeds, volumes)))
+    ends = [kept(edges.join(seeds.select("sv_id", "side", F.col("seed_idx").alias(c), "z", "y", "x"), ["sv_id", "side", c]).select("sv_id", "search", "z", "y", "x")) for c in ("a", "b")]
+    found = kept(search.least_paths(search.cells_of(cost, volumes), *ends))
+    lost = kept(edges.join(found, ["sv_id", "search"], "left_anti").select("sv_id", "search"))
     if not lost.isEmpty():
         mine = volumes.join(lost, "sv_id", "left_semi")
         dense = search.cells_of(regions.with_background(cost.join(lost, "sv_id", "left_semi"), mine), mine)
@@ -46,26 +46,32 @@ def augmented_seeds(seeds: DataFrame, voxels: DataFrame, volumes: DataFrame, pow
     foreground on that grid, gets its seeds back as they are, with the sides that failed.
     """
     sides = seeds.groupBy("sv_id").agg(*(F.bool_or(F.col("side") == k).alias(n) for k, n in ((1, "has_source"), (2, "has_sink"))))
-    whole = cut(sides.where("has_source AND has_sink").select("sv_id"))
-    mine = cut(seeds.join(whole, "sv_id", "left_semi"))
+    plain = seeds.select("sv_id", F.col("side").cast("tinyint").alias("side"), *(F.col(a).cast("int").alias(a) for a in "zyx")).distinct()
+    whole = kept(sides.where("has_source AND has_sink").select("sv_id"))
     shapes = volumes.join(whole, "sv_id", "left_semi")
-    boxes = cut(regions.padded_box(mine, shapes, pad))
-    roi = cut(regions.crop(voxels.select(*KEY).join(whole, "sv_id", "left_semi"), boxes))
-    coarse = cut(regions.stride(roi, steps))
-    wide = cut(regions.box_volumes(boxes, shapes, steps))
+    boxes = kept(regions.padded_box(seeds.join(whole, "sv_id", "left_semi"), shapes, pad))
+    roi = kept(regions.crop(voxels.select(*KEY), boxes))
+    coarse = kept(regions.stride(roi, steps))
+    grounded = coarse.select("sv_id").distinct().withColumn("ground", F.lit(True))
+    status = volumes.select("sv_id").join(sides, "sv_id", "left").join(grounded, "sv_id", "left")
+    has = [F.coalesce(n, F.lit(False)) for n in ("has_source", "has_sink")]
+    ok = [F.when(has[0] & has[1], F.coalesce("ground", F.lit(False))).otherwise(h) for h in has]
+    status = status.select("sv_id", ok[0].alias("ok_source"), ok[1].alias("ok_sink"))
+    # Fragments without a second seed of a side have no path to seek.
+    several = kept(seeds.join(whole, "sv_id", "left_semi").groupBy("sv_id", "side").count().where("count > 1").select("sv_id").distinct())
+    if several.isEmpty():
+        return plain, status
+    of = lambda df: df.join(several, "sv_id", "left_semi")
+    mine, roi, coarse = of(seeds), of(roi), of(coarse)
+    wide = kept(of(regions.box_volumes(boxes, shapes, steps)))
     low = [F.col(f"{a}0") for a in "zyx"]
     scaled = mine.join(boxes.select("sv_id", *(f"{a}0" for a in "zyx")), "sv_id").select("sv_id", "side", "seed_idx", *(((F.col(a) - o).cast("double") / k).alias(a) for a, o, k in zip("zyx", low, steps)))
-    placed = cut(nearest(scaled, coarse, wide).select("sv_id", "side", "seed_idx", *(F.col(f"v{a}").alias(a) for a in "zyx")))
-    paths = cut(ridge_paths(coarse, placed, wide, power).select(*KEY, "side").distinct())
+    placed = kept(nearest(scaled, coarse, wide).select("sv_id", "side", "seed_idx", *(F.col(f"v{a}").alias(a) for a in "zyx")))
+    paths = kept(ridge_paths(coarse, placed, wide, power).select(*KEY, "side").distinct())
     covered = None
     for side in (1, 2):
         on = regions.upsample(paths.where(F.col("side") == side), steps, roi).where("side IS NOT NULL").select(*KEY)
         one = dilate(on, 1, roi).withColumn("side", F.lit(side).cast("tinyint"))
         covered = one if covered is None else covered.unionByName(one)
     back = covered.join(boxes, "sv_id").select("sv_id", "side", *((F.col(a) + o).cast("int").alias(a) for a, o in zip("zyx", low)))
-    out = seeds.select("sv_id", F.col("side").cast("tinyint").alias("side"), *(F.col(a).cast("int").alias(a) for a in "zyx")).unionByName(back).distinct()
-    grounded = coarse.select("sv_id").distinct().withColumn("ground", F.lit(True))
-    status = volumes.select("sv_id").join(sides, "sv_id", "left").join(grounded, "sv_id", "left")
-    has = [F.coalesce(n, F.lit(False)) for n in ("has_source", "has_sink")]
-    ok = [F.when(has[0] & has[1], F.coalesce("ground", F.lit(False))).otherwise(h) for h in has]
-    return out, status.select("sv_id", ok[0].alias("ok_source"), ok[1].alias("ok_sink"))
+    return plain.unionByName(back).distinct(), status

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import cut, drop
+from ..plans.fixpoint import cut, drop, kept
 from .blocks import BLOCK, EDGE, Costs, blocks_beside, with_blocks
 
 BACKENDS = ("dj3d", "mcp")
@@ -27,10 +27,10 @@ PARTS = 6
 
 
 def cells_of(cost: DataFrame, volumes: DataFrame) -> DataFrame:
-    """``cost`` (sv_id, z, y, x, cost) by blocks, with the voxel's size, written."""
+    """``cost`` (sv_id, z, y, x, cost) by blocks, with the voxel's size, for several uses."""
     sized = volumes.select("sv_id", *(F.col(f"s{a}").cast("double").alias(f"s{a}") for a in "zyx"))
     placed = cost.select("sv_id", *(F.col(a).cast("int").alias(a) for a in "zyx"), F.col("cost").cast("double").alias("cost"))
-    return cut(with_blocks(placed).join(sized, "sv_id"))
+    return kept(with_blocks(placed).join(sized, "sv_id"))
 
 
 def _at_cells(cells: DataFrame, points: DataFrame, t: float, wanted: bool) -> DataFrame:
@@ -64,8 +64,8 @@ def borders(cells: DataFrame, starts: DataFrame, backend: str, ends: DataFrame |
         raise ValueError(f"unknown backend {backend!r}")
     inf = float("inf")
     parts = [cut(_at_cells(cells, starts, 0.0, False))]
-    targets = cut(_at_cells(cells, ends, inf, True)) if ends is not None else None
-    blocks = cut(cells.select(*BLOCK).distinct())
+    targets = kept(_at_cells(cells, ends, inf, True)) if ends is not None else None
+    blocks = kept(cells.select(*BLOCK).distinct())
     several = blocks.groupBy("sv_id").count().where("count > 1").select("sv_id")  # a fragment of one block tells nobody
     todo = parts[0].select(*OPEN).distinct().join(several, "sv_id", "left_semi")
     bounds = None
@@ -173,7 +173,7 @@ def ways(cells: DataFrame, told: DataFrame, backend: str) -> DataFrame:
 def traced(found: DataFrame, ends: DataFrame) -> DataFrame:
     """(sv_id, search, z, y, x, t) of the cells on each search's way back from its end; none where the end wasn't reached.
 
-    ``found``: a written table of :func:`ways`. The places where a way enters a
+    ``found``: :func:`ways`, for several uses. The places where a way enters a
     block are found by pointer doubling over such places alone, so a way through
     n blocks takes log2(n) joins; each block then gives its stretches.
     """
@@ -213,4 +213,4 @@ def least_paths(cells: DataFrame, starts: DataFrame, ends: DataFrame, backend: s
     ``cells``: :func:`cells_of`. Searches without a way have no rows.
     """
     told = borders(cells, starts, backend, ends)
-    return traced(cut(ways(cells, told, backend)), ends)
+    return traced(kept(ways(cells, told, backend)), ends)

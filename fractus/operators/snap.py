@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.axes import rounded
+from ..plans.fixpoint import kept
 from .regions import every_nth, sample
 from .stencil import boundary
 
@@ -57,8 +58,13 @@ def snap_seeds(seeds: DataFrame, voxels: DataFrame, volumes: DataFrame, use_boun
     if downsample_mode not in ("stride", "random"):
         raise ValueError("downsample_mode must be 'stride' or 'random'")
     candidates = boundary(voxels, erosion_iters) if use_boundary else voxels.select("sv_id", "z", "y", "x")
-    if downsample:
-        candidates = every_nth(candidates, downsample_stride) if downsample_mode == "stride" else sample(candidates, downsample_target or 50_000, seed)
+    if downsample and downsample_mode == "stride":
+        candidates = every_nth(candidates, downsample_stride)
+    elif downsample:
+        candidates, target = kept(candidates), downsample_target or 50_000
+        many = candidates.groupBy("sv_id").count().where(F.col("count") > target).select("sv_id")
+        if not many.isEmpty():
+            candidates = candidates.join(many, "sv_id", "left_anti").unionByName(sample(candidates.join(many, "sv_id", "left_semi"), target, seed))
     lost = seeds.join(voxels, "sv_id", "left_anti").select("sv_id").limit(1).collect()
     if lost:
         raise ValueError(f"fragment {lost[0][0]} has seeds but no candidate voxel")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.axes import linear
-from ..plans.fixpoint import cut, star_components
+from ..functions.fields import in_volume
+from ..plans.fixpoint import kept, star_components
 from .blocks import BLOCK, on_border, smallest_in_block, with_blocks
 from .offsets import HALF, OFFSETS
 
@@ -22,6 +23,12 @@ def shifted(voxels: DataFrame, offsets: list[tuple[int, int, int]], *keep: str)
     return out.select("sv_id", *(F.col(a).alias(f"{a}0") for a in "zyx"), *((F.col(a) + F.col(f"o.d{a}")).cast("int").alias(a) for a in "zyx"), *keep)
 
 
+def places_in_volume(voxels: DataFrame, volumes: DataFrame) -> DataFrame:
+    """Distinct places (sv_id, z, y, x) beside voxels, those outside the volume left out."""
+    near = shifted(voxels, OFFSETS).select(*KEY).join(volumes.select("sv_id", "nz", "ny", "nx"), "sv_id")
+    return near.where(in_volume()).select(*KEY).distinct()
+
+
 def neighbours(voxels: DataFrame, others: DataFrame, *keep: str) -> DataFrame:
     """Each voxel (z0, y0, x0) beside each of ``others`` (z, y, x and its further columns)."""
     return shifted(voxels, OFFSETS, *keep).join(others, KEY)
@@ -64,7 +71,7 @@ def components(voxels: DataFrame, volumes: DataFrame) -> DataFrame:
     shape = volumes.select("sv_id", "ny", "nx")
     numbered = voxels.select(*KEY).join(shape, "sv_id").withColumn("node", linear(F.col("z"), F.col("y"), F.col("x"), F.col("ny"), F.col("nx"))).drop("ny", "nx")
     parts = with_blocks(numbered).groupBy(*BLOCK).applyInPandas(smallest_in_block, "sv_id long, z int, y int, x int, node long, part long")
-    parts = cut(parts)
+    parts = kept(parts)
     outer = parts.where(on_border())
     beside = outer.select(*KEY, F.col("part").alias("b"))
     pairs = shifted(outer, HALF, F.col("part").alias("a")).join(beside, KEY).where("a <> b")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +33,29 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+_local = threading.local()
+
+
+@contextmanager
+def keeping() -> Iterator[None]:
+    """At its end the tables that were :func:`kept` within it are deleted; what is returned from it must be cut."""
+    outer = getattr(_local, "kept", None)
+    _local.kept = []
+    try:
+        yield
+    finally:
+        done, _local.kept = _local.kept, outer
+        drop(*done)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """:func:`cut` for the steps of something larger."""
+    out = cut(df)
+    if getattr(_local, "kept", None) is not None:
+        _local.kept.append(out)
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete cut tables that only tables written by now were made of."""
     for df in tables:

@@ -23,7 +23,7 @@ from ..functions.axes import rounded
 from ..functions.fields import SINK, SOURCE, STRAY
 from ..operators import distance, graph, labels, regions, resolve, ridge, snap
 from . import kernel
-from .fixpoint import cut
+from .fixpoint import cut, keeping, kept
 from .profiling import NullProfiler, Profiler
 
 __all__ = ["SOURCE", "SINK", "STRAY", "Splitter", "SeedPrep", "SplitFrames", "SeedFrames", "GeodesicSplitter", "RidgeConnectPrep", "WatershedSplitter", "NoopSplitter"]
@@ -137,10 +137,10 @@ def _shapes(volumes: DataFrame) -> DataFrame:
 
 
 def _snapped(seeds: DataFrame, voxels: DataFrame, volumes: DataFrame, options: dict[str, Any]) -> DataFrame:
-    """Rounded seeds on their nearest candidates: (sv_id, side, seed_idx, z, y, x), written."""
+    """Rounded seeds on their nearest candidates: (sv_id, side, seed_idx, z, y, x)."""
     whole = seeds.select("sv_id", F.col("side").cast("tinyint").alias("side"), F.col("seed_idx").cast("int").alias("seed_idx"), *(rounded(F.col(a)).cast("double").alias(a) for a in "zyx"))
     found = snap.snap_seeds(whole, voxels, volumes, **(SNAP | options))
-    return cut(found.select("sv_id", "side", "seed_idx", *(F.col(f"v{a}").cast("int").alias(a) for a in "zyx")))
+    return kept(found.select("sv_id", "side", "seed_idx", *(F.col(f"v{a}").cast("int").alias(a) for a in "zyx")))
 
 
 @dataclass(frozen=True)
@@ -160,11 +160,12 @@ class RidgeConnectPrep:
 
     def prepare(self, voxels: DataFrame, seeds: DataFrame, volumes: DataFrame) -> SeedFrames:
         shapes = _shapes(volumes)
-        with self.profiler.profile("ridge:snap"):
-            points = _snapped(seeds, voxels, shapes, self.snap)
-        with self.profiler.profile("ridge:augment"):
-            out, status = ridge.augmented_seeds(points, voxels, shapes, self.ridge_power, self.roi_pad_zyx, self.downsample)
-            return SeedFrames(cut(out), cut(status))
+        with keeping():
+            with self.profiler.profile("ridge:snap"):
+                points = _snapped(seeds, voxels, shapes, self.snap)
+            with self.profiler.profile("ridge:augment"):
+                out, status = ridge.augmented_seeds(points, voxels, shapes, self.ridge_power, self.roi_pad_zyx, self.downsample)
+                return SeedFrames(cut(out), cut(status))
 
 
 @dataclass(frozen=True)
@@ -205,9 +206,12 @@ class GeodesicSplitter:
             raise ValueError(f"unknown backend {self.backend!r}")
 
     def split(self, voxels: DataFrame, seeds: DataFrame, volumes: DataFrame) -> SplitFrames:
-        stages = Stages(self.profiler)
+        with keeping():
+            return self._split(voxels, seeds, volumes, Stages(self.profiler))
+
+    def _split(self, voxels: DataFrame, seeds: DataFrame, volumes: DataFrame, stages: Stages) -> SplitFrames:
         voxels = voxels.select("sv_id", *(F.col(a).cast("int").alias(a) for a in "zyx"))
-        shapes = cut(_shapes(volumes))
+        shapes = kept(_shapes(volumes))
         augmented = None
         with stages.profile("seed_prep"):
             prep = self._preparation()
@@ -222,22 +226,22 @@ class GeodesicSplitter:
         with stages.profile("snap"):
             points = _snapped(seeds, voxels, shapes, self.snap)
         # Fragments that lack seeds of a side go to the source whole.
-        ids = cut(points.groupBy("sv_id").agg(F.count_distinct("side").alias("sides")).where("sides = 2").select("sv_id"))
+        ids = kept(points.groupBy("sv_id").agg(F.count_distinct("side").alias("sides")).where("sides = 2").select("sv_id"))
         mine = lambda df: df.join(ids, "sv_id", "left_semi")
         with stages.profile("cost"):
-            boxes = cut(regions.padded_box(mine(voxels), mine(shapes), (self.halo,) * 3))
-            crop, inner = cut(regions.crop(mine(voxels), boxes)), cut(regions.box_volumes(boxes, shapes))
-            placed = cut(regions.crop(mine(points), boxes))
-            cost = cut(distance.cost_fields(cut(distance.squared_distance(crop, inner)), self.gamma_neck).select("sv_id", "z", "y", "x", "cost"))
+            boxes = kept(regions.padded_box(mine(voxels), mine(shapes), (self.halo,) * 3))
+            crop, inner = kept(regions.crop(mine(voxels), boxes)), kept(regions.box_volumes(boxes, shapes))
+            placed = kept(regions.crop(mine(points), boxes))
+            cost = kept(distance.cost_fields(kept(distance.squared_distance(crop, inner)), self.gamma_neck).select("sv_id", "z", "y", "x", "cost"))
         with stages.profile("arrival"):
             coarse, grid = None, (cost, placed, inner)
             if self.downsample_geodesic is not None:
-                *grid, coarse = map(cut, labels.coarse_or_fine(cost, placed, inner, self.downsample_geodesic))
+                *grid, coarse = map(kept, labels.coarse_or_fine(cost, placed, inner, self.downsample_geodesic))
             times = self._times(*grid)
         with stages.profile("writeback"):
             found = labels.grid_labels(times, self.narrow_band_rel, self.nb_dilate, self.k_prox, self.lambda_prox)
             found = regions.force_seeds(found, grid[1])
-            first = cut(labels.written_back(found, crop, placed, coarse, self.downsample_geodesic or (1, 1, 1)))
+            first = kept(labels.written_back(found, crop, placed, coarse, self.downsample_geodesic or (1, 1, 1)))
         done = resolve.repair(first, placed, inner, self.enforce_single_cc, self.allow_third_label, stages)
         if self.raise_if_multi_cc:
             parts = resolve.side_components(done.labels, inner).groupBy("sv_id", "label").agg(F.count_distinct("comp").alias("n"))
@@ -248,9 +252,9 @@ class GeodesicSplitter:
         back = done.labels.join(low, "sv_id").select("sv_id", *((F.col(a) + F.col(f"low{a}")).cast("int").alias(a) for a in "zyx"), "label")
         rest = voxels.join(ids, "sv_id", "left_anti").withColumn("label", F.lit(SOURCE).cast("tinyint"))
         whole = cut(back.unionByName(rest))
-        facts = self._diagnostics(whole, done.before, shapes, inner, coarse, stages)
-        reports = {"resolve_stray": done.resolved} | ({} if done.enforced is None else {"enforce_cc": done.enforced})
-        return SplitFrames(whole, points.select("sv_id", "side", "z", "y", "x"), augmented, facts, {SOURCE: SOURCE, SINK: SINK}, reports)
+        facts = cut(self._diagnostics(whole, done.before, shapes, inner, coarse, stages))
+        reports = {"resolve_stray": cut(done.resolved)} | ({} if done.enforced is None else {"enforce_cc": cut(done.enforced)})
+        return SplitFrames(whole, cut(points.select("sv_id", "side", "z", "y", "x")), augmented, facts, {SOURCE: SOURCE, SINK: SINK}, reports)
 
     def _preparation(self) -> SeedPrep | None:
         if isinstance(self.seed_prep, SeedPrep):
@@ -260,14 +264,14 @@ class GeodesicSplitter:
 
     def _times(self, cost: DataFrame, seeds: DataFrame, volumes: DataFrame) -> DataFrame:
         """Arrivals at all foreground cells, through background in fragments where neither side reaches a cell without."""
-        found = cut(graph.arrival(cost, seeds, volumes, self.backend))
-        lost = cut(found.where("t_a IS NULL AND t_b IS NULL").select("sv_id").distinct())
+        found = kept(graph.arrival(cost, seeds, volumes, self.backend))
+        lost = kept(found.where("t_a IS NULL AND t_b IS NULL").select("sv_id").distinct())
         if lost.isEmpty():
             return found
         mine = lambda df: df.join(lost, "sv_id", "left_semi")
         dense = graph.arrival(regions.with_background(mine(cost), mine(volumes)), mine(seeds), mine(volumes), self.backend)
         inside = dense.join(cost.select("sv_id", "z", "y", "x"), ["sv_id", "z", "y", "x"], "left_semi")
-        return cut(found.join(lost, "sv_id", "left_anti").unionByName(inside))
+        return kept(found.join(lost, "sv_id", "left_anti").unionByName(inside))
 
     def _diagnostics(self, done: DataFrame, before: DataFrame, shapes: DataFrame, inner: DataFrame, coarse: DataFrame | None, stages: Stages) -> DataFrame:
         """A row for each fragment: sv_id, backend, full_shape_zyx, fg_bbox_shape_zyx, downsample_zyx, label_counts, pre_resolve_label_counts, total_elapsed_s, stage_elapsed_s (seconds of all fragments together)."""

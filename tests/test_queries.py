@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from fractus import registry
+from fractus import registry, split_queries  # noqa: F401  the second adds its queries to the first
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
