@@ -103,7 +103,7 @@ RULES: dict[str, tuple[str, ...]] = {
 #: Where a sentence ends: newlines, or a stop, colon or semicolon before white space.
 BREAK = r"\n+|[.!?:;][ \t\r]+"
 #: Where a sentence ends for certain: a stop, colon or semicolon before white space, or a line without letters and digits. At other newlines it may go on.
-END = r"[.!?:;][ \t\r\n]+|\n[^a-z0-9\n]*(?:\n[^a-z0-9\n]*)+"
+END = r"[.!?:;][ \t\r\n]+|\n[^a-z0-9\n]*+\n[^a-z0-9]*+"
 
 
 def normal(sentence: str) -> str:

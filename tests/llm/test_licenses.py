@@ -96,3 +96,13 @@ def test_every_rule_is_found_in_its_sentences(spark):
     rows = [(rule, wrapped("\n\n".join(SENTENCES[s] for s in parts))) for rule, parts in RULES.items()]
     got = license_scan(spark.createDataFrame(rows, "rule string, text string")).collect()
     assert len(got) == len(RULES) > 30 and all(r.licenses == r.rule for r in got)
+
+
+def test_very_long_stretches_without_letters(spark):
+    """Hundreds of thousands of blank lines or bare comment marks are one end of a sentence."""
+    grant, condition = SENTENCES["mit-grant"], SENTENCES["mit-condition"]
+    for line in ("", " * ", "//", "\t"):
+        gap = ("\n" + line) * 200_000
+        text = f"The software{gap}\n{grant}{gap}\n{condition}{gap}license"
+        (row,) = license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+        assert row.licenses == "MIT-text" and row.n_known >= 2
