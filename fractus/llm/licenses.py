@@ -105,6 +105,10 @@ BREAK = r"\n+|[.!?:;][ \t\r]+"
 #: Where a sentence ends for certain: a stop, colon or semicolon before white space, or a line without letters and digits. At other newlines it may go on.
 END = r"[.!?:;][ \t\r\n]+|\n[^a-z0-9\n]*+\n[^a-z0-9]*+"
 
+#: Sentences that name an owner: what may stand for the name (one to twelve words between fixed ones), and the published form.
+OWNER = "neither the name of", "nor the names of its contributors", "the copyright holder"
+OWNER_WORDS = 12
+
 
 def normal(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", re.sub(r"[A-Z]", lambda m: m[0].lower(), sentence)).strip()
@@ -144,7 +148,9 @@ def _marked(text: Column) -> Column:
     out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     out = F.regexp_replace(F.regexp_replace(out, END, "H"), "\n", "S")
     out = F.concat(F.lit("H"), F.regexp_replace(out, "[^a-z0-9HS]+", " "), F.lit("H"))
-    return F.regexp_replace(F.regexp_replace(out, "[S ]*H[HS ]*", "H"), " *S[S ]*", "S")
+    out = F.regexp_replace(F.regexp_replace(out, "[S ]*H[HS ]*", "H"), " *S[S ]*", "S")
+    before, behind, form = (part.replace(" ", "[ S]") if k < 2 else part for k, part in enumerate(OWNER))
+    return F.regexp_replace(out, f"(?<=[HS])({before})(?:[HS ][a-z0-9]+){{1,{OWNER_WORDS}}}?[HS ]({behind})(?=[ S])", f"$1 {form} $2")
 
 
 def license_scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -152,7 +158,8 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules
 
     A known sentence is found on one line or wrapped over several, indented or
     behind comment marks without letters; a blank line ends it. Of sentences
-    that begin together the longest counts.
+    that begin together the longest counts. Where a sentence names an owner
+    (:data:`OWNER`) any name of up to ``OWNER_WORDS`` words, stops included, stands for the published one.
     ``sentence_ids`` are the known sentences in order, repeats included;
     ``licenses`` the names of the rules found, sorted; a rule whose sentences all
     belong to a longer rule's (BSD-2-Clause in BSD-3-Clause) isn't. Null and empty texts have
@@ -191,10 +198,12 @@ def oracle_sql() -> str:
     known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in known_sentences(SENTENCES).items())
     rules = ", ".join(f"({quoted(k)}, {quoted(v)}, {quoted(x[0] if x else '|')}, {quoted(x[1] if len(x) > 1 else '|')})" for k, v, x in _rules(SENTENCES, RULES))
     assert all(len(x) <= 2 for _, _, x in _rules(SENTENCES, RULES))
+    before, behind = (part.replace(" ", "[^a-z0-9]+") for part in OWNER[:2])
+    named = f"'({before})(?:[^a-z0-9]+[a-z0-9]+){{1,{OWNER_WORDS}}}?[^a-z0-9]+({behind})', '\\1 {OWNER[2]} \\2', 'g'"
     return f"""
 WITH known(sentence, id) AS (VALUES {known}), rules(rule, seq, longest, longer) AS (VALUES {rules}), s AS (
-  SELECT doc_id, i, trim(regexp_replace(translate(a[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS sentence
-  FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{BREAK}') AS a FROM documents), unnest(range(1, len(a) + 1)) AS u(i)
+  SELECT doc_id, i, trim(regexp_replace(a[i], '[^a-z0-9]+', ' ', 'g')) AS sentence
+  FROM (SELECT doc_id, string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {named}), '{BREAK}') AS a FROM documents), unnest(range(1, len(a) + 1)) AS u(i)
 ), f AS (
   SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i) AS ids FROM s JOIN known USING (sentence) GROUP BY doc_id
 ), l AS (

@@ -106,3 +106,12 @@ def test_very_long_stretches_without_letters(spark):
         text = f"The software{gap}\n{grant}{gap}\n{condition}{gap}license"
         (row,) = license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
         assert row.licenses == "MIT-text" and row.n_known >= 2
+
+
+def test_named_owners(spark):
+    """The third clause of BSD names whoever holds the copyright."""
+    names = ["the copyright holder", "Google Inc.", "the University of California, Berkeley", "A.\n   Writer", "a b c d e f g h i j k l m"]
+    rows = [(i, BSD.replace("the copyright holder nor", f"{n} nor")) for i, n in enumerate(names)]
+    assert all("nor the names" in t.replace("\n", " ").replace("  ", " ") or "nor the\n" in t for _, t in rows)
+    got = {r.doc_id: r.licenses for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: "BSD-3-Clause-text", 1: "BSD-3-Clause-text", 2: "BSD-3-Clause-text", 3: "BSD-3-Clause-text", 4: "BSD-2-Clause-text"}
