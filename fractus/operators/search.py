@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import cut, drop, kept
-from .blocks import BLOCK, EDGE, Costs, blocks_beside, with_blocks
+from . import blocks as by_block
+from .blocks import BLOCK, Costs, blocks_beside, with_blocks
 
 BACKENDS = ("dj3d", "mcp")
 PLACE = ["z", "y", "x"]
@@ -40,6 +41,8 @@ def _at_cells(cells: DataFrame, points: DataFrame, t: float, wanted: bool) -> Da
 
 
 def _settled_borders(backend: str):
+    edge = by_block.EDGE
+
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         costs = Costs(rows, backend)
         t = np.full(costs.box.size, np.inf)
@@ -47,7 +50,7 @@ def _settled_borders(backend: str):
         rows = rows.assign(t=costs.settle(t)[costs.box.at])
         ends = np.zeros(len(rows), bool)
         for a in PLACE:
-            ends |= rows[a].to_numpy() % EDGE % (EDGE - 1) == 0
+            ends |= rows[a].to_numpy() % edge % (edge - 1) == 0
         told = np.isfinite(rows["t"].to_numpy()) & (rows["wanted"] | (~rows["given"] & ends)).to_numpy()
         return rows[told]
 

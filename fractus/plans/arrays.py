@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.axes import checked, sampling_zyx
-from ..sources.volumes import SEED, from_array, volume
+from ..sources.chunks import array_chunks, from_chunks
+from ..sources.volumes import SEED, volume
 from .profiling import NullProfiler, Profiler
 from .splitters import SINK, SOURCE, RidgeConnectPrep, SeedPrep, Splitter
 from .state import SplitResult
@@ -35,7 +36,7 @@ def _tables(spark: SparkSession, mask: np.ndarray, sources, sinks, voxel_size, v
     grid = mask.astype(bool) if checked(vol_order, "vol_order") == "zyx" else mask.astype(bool).transpose(2, 1, 0)
     size = sampling_zyx(voxel_size, vox_order)
     rows = [(0, side, i, *map(float, p)) for side, pts in ((SOURCE, sources), (SINK, sinks)) for i, p in enumerate(seeds_zyx(pts, seed_order))]
-    return from_array(spark, 0, grid), spark.createDataFrame(rows, SEED), volume(spark, [(0, *grid.shape, *size)]), grid.shape
+    return from_chunks(array_chunks(spark, 0, grid)), spark.createDataFrame(rows, SEED), volume(spark, [(0, *grid.shape, *size)]), grid.shape
 
 
 def _points(df: DataFrame | None, side: int, order: str) -> np.ndarray:

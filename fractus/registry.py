@@ -481,8 +481,8 @@ def geodesic_split(spark, sf_dir):
 
 @query()
 def geodesic_split_dumbbell(spark, sf_dir):
-    """Labels of the dumbbell; a fragment of which the driver's tables hold nothing."""
-    v, shape, seeds = volumes.dumbbell(spark)
+    """Labels of a dumbbell for each region."""
+    v, shape, seeds = volumes.dumbbells(spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("sv_id")))
     return splitters.GeodesicSplitter(backend="mcp").split(v, seeds, shape).labels
 
 

@@ -50,6 +50,12 @@ def volume(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, VOLUME)
 
 
+def dumbbells(ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The dumbbell once for each id (sv_id): voxel, volume and seed tables."""
+    one = dumbbell(ids.sparkSession)
+    return tuple(ids.join(F.broadcast(df.drop("sv_id"))).select(*df.columns) for df in one)  # of fixed size  # type: ignore[return-value]
+
+
 def dumbbell(spark: SparkSession, sv_id: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Two cubes and a thin neck: voxel, volume and seed tables."""
     x, y, z = F.col("x"), F.col("y"), F.col("z")

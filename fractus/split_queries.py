@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .operators import distance, graph, labels, regions, resolve, ridge, snap, stencil
 from .plans.fixpoint import cut
 from .plans.splitters import GeodesicSplitter, RidgeConnectPrep
-from .registry import SEEDS, STENCIL, VOX, _blobs, _components_of, _enforced, _longs, query
-from .sources import volumes
+from .registry import SEEDS, SQL, STENCIL, VOX, _blobs, _components_of, _enforced, _longs, query
+from .sources import chunks, volumes
 
 EXACT = {"downsample": False}
 SUPPLIERS = "FROM (SELECT s_suppkey AS n_nationkey, s_suppkey // 5 AS n_regionkey FROM supplier) AS nation"
@@ -253,19 +253,28 @@ def least_paths(spark, sf_dir):
     return _longs(ridge.ridge_paths(*_ridge_grid(spark, sf_dir)))
 
 
-@query(f"""
-WITH RECURSIVE {RIDGE}, covered AS MATERIALIZED (
+AUGMENTED = """covered AS MATERIALIZED (
   SELECT DISTINCT v.sv_id, w.side, v.z, v.y, v.x FROM vox v JOIN (SELECT DISTINCT w.sv_id, w.search // CAST(4294967296 AS BIGINT) AS side, n.z, n.y, n.x FROM way w JOIN num n ON n.sv_id = w.sv_id AND n.v = w.v) w ON w.sv_id = v.sv_id AND w.z = v.z // 2 AND w.y = v.y // 2 AND w.x = v.x
-)
-SELECT sv_id, CAST(side AS BIGINT) AS side, z, y, x FROM place
-UNION SELECT v.sv_id, CAST(c.side AS BIGINT), v.z, v.y, v.x FROM vox v, (SELECT * FROM stencil WHERE abs(dz) + abs(dy) + abs(dx) = 1 UNION ALL SELECT 0, 0, 0) o JOIN covered c ON c.sv_id = v.sv_id AND c.z = v.z + o.dz AND c.y = v.y + o.dy AND c.x = v.x + o.dx
-""")
+), grown AS MATERIALIZED (
+  SELECT sv_id, CAST(side AS BIGINT) AS side, z, y, x FROM place
+  UNION SELECT v.sv_id, CAST(c.side AS BIGINT), v.z, v.y, v.x FROM vox v, (SELECT * FROM stencil WHERE abs(dz) + abs(dy) + abs(dx) = 1 UNION ALL SELECT 0, 0, 0) o JOIN covered c ON c.sv_id = v.sv_id AND c.z = v.z + o.dz AND c.y = v.y + o.dy AND c.x = v.x + o.dx
+)"""
+SQL["ridge_seeds"] = f"WITH RECURSIVE {RIDGE.replace(SUPPLIERS, 'FROM nation')}, {AUGMENTED} SELECT sv_id, CAST(side AS TINYINT) AS side, count(*) AS n FROM grown GROUP BY ALL"
+
+
+@query(f"WITH RECURSIVE {RIDGE}, {AUGMENTED} SELECT * FROM grown")
 def augmented_seeds(spark, sf_dir):
     """Seeds of either side with the voxels of the ridge paths that join them."""
     v, shape, seeds = _fragments(spark, sf_dir)
     return _longs(RidgeConnectPrep(snap=EXACT).prepare(v, seeds, shape).seeds)
 
 
+@query(f"WITH {VOXELS} SELECT * FROM vox")
+def voxels_from_chunks(spark, sf_dir):
+    """Voxels through packed chunks and back, every chunk laid out x first."""
+    return _longs(chunks.from_chunks(cut(chunks.to_chunks(_fragments(spark, sf_dir)[0], 16, "xyz"))))
+
+
 # --- operators that had no query, or one that compared sizes alone ----------------------------------
 
 

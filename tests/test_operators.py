@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from fractus.operators import blocks, distance, graph, regions, resolve, snap, stencil
-from fractus.sources import volumes
+from fractus.sources import chunks, volumes
 
 
 def table(spark, points, sv=0):
@@ -42,6 +42,22 @@ def test_sources(spark, blob, tmp_path):
     assert volumes.box(spark, 2, 3, 4).distinct().count() == 24
 
 
+def test_chunks(spark, blob, tmp_path):
+    """Round trips of stored chunks in both orders, of chunks of an array, and of a pruned read."""
+    v = volumes.from_array(spark, 3, blob).unionByName(table(spark, [(40, 0, 7)], sv=4))
+    for order in ("zyx", "XYZ"):
+        path = str(tmp_path / order)
+        chunks.write_chunks(v.unionByName(v.limit(5)), path, 4, order)
+        assert sorted(map(tuple, chunks.read_chunks(spark, path).collect())) == sorted(map(tuple, v.collect()))
+        assert cells(chunks.read_chunks(spark, path, [4])) == {(40, 0, 7)}
+        turned = blob if order == "zyx" else blob.transpose(2, 1, 0)
+        assert cells(chunks.from_chunks(chunks.array_chunks(spark, 3, turned, 4, order))) == set(map(tuple, np.argwhere(blob).tolist()))
+    assert chunks.to_chunks(v, 4).count() <= 2 * 2 * 3 + 1 and chunks.from_chunks(chunks.array_chunks(spark, 0, np.zeros((2, 2, 2), bool))).count() == 0
+    for change in ({"order": "yxz"}, {"mask": blob[0]}):
+        with pytest.raises(ValueError):
+            chunks.array_chunks(spark, **({"sv_id": 0, "mask": blob} | change))
+
+
 def test_distance_against_brute_force(spark, blob):
     for sampling in ((1.0, 1.0, 1.0), (3.0, 2.0, 1.0)):
         got = {(r.z, r.y, r.x): r.d2 for r in distance.squared_distance(volumes.from_array(spark, 0, blob), shape(spark, blob.shape, sampling)).collect()}

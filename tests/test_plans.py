@@ -46,7 +46,6 @@ def dense_of(df, shape, value, default=0):
 @pytest.fixture
 def small_blocks(monkeypatch):
     monkeypatch.setattr(blocks, "EDGE", 6)
-    monkeypatch.setattr(search, "EDGE", 6)
 
 
 def test_least_paths_over_blocks(spark, small_blocks):
@@ -107,8 +106,7 @@ def test_ridge(spark, small_blocks):
 CONFIGS = [
     {"backend": "mcp", "lambda_prox": 0.05},
     {"backend": "dj3d", "downsample_geodesic": (1, 2, 2), "nb_dilate": 2},
-    {"backend": "mcp", "allow_third_label": False, "halo": 0, "narrow_band_rel": 0.3, "gamma_neck": 1.0},
-    {"backend": "mcp", "enforce_single_cc": False, "nb_dilate": 0, "downsample_geodesic": (3, 3, 3)},
+    {"backend": "mcp", "allow_third_label": False, "halo": 0, "narrow_band_rel": 0.3, "gamma_neck": 1.0, "nb_dilate": 0, "enforce_single_cc": False},
 ]
 
 
