@@ -10,13 +10,18 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 
-@pytest.fixture(scope="module")
-def duck():
+def asked(sql):
+    """The rows of a statement; up to four times, as DuckDB 2.0.0 fails now and then within recursions by an internal error."""
     duckdb = pytest.importorskip("duckdb")
-    con = duckdb.connect()
-    for name in os.listdir(SF):
-        con.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{SF}/{name}'")
-    return con
+    for left in range(3, -1, -1):
+        con = duckdb.connect()
+        for name in os.listdir(SF):
+            con.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{SF}/{name}'")
+        try:
+            return con.execute(sql).df()
+        except duckdb.InternalException:
+            if not left:
+                raise
 
 
 def same(frame, other):
@@ -31,8 +36,8 @@ SLOW = set() if os.environ.get("SLOW_TESTS") else {"coarse_split", "geodesic_spl
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL.keys() - SLOW))
-def test_against_sql(spark, duck, name):
-    same(registry.QUERIES[name](spark, SF).toPandas(), duck.execute(registry.SQL[name]).df())
+def test_against_sql(spark, name):
+    same(registry.QUERIES[name](spark, SF).toPandas(), asked(registry.SQL[name]))
 
 
 def test_without_sql(spark):
