@@ -41,6 +41,8 @@ NOTHING = sha256(b"").hexdigest()
 NODE = "id binary, parent binary, depth long, n long, conv long, above long, bytes long, children long, leaves long, saved long, ends array<long>, open boolean"
 #: A node's row, or (id null) how a long conversation goes on: ends = [conversation, shift of its places].
 FIELDS = [f.split()[0] for f in NODE.split(", ")]
+#: The same fields' types in Arrow.
+ARROW = [{"binary": pa.binary(), "long": pa.int64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}[f.split()[1]] for f in NODE.split(", ")]
 
 
 def _digest(data: bytes) -> bytes:
@@ -116,19 +118,23 @@ def _turns(conversations: DataFrame) -> DataFrame:
 
 
 def _families(heads: DataFrame, block: int) -> DataFrame:
-    def rows_of(side: pd.DataFrame) -> dict[int, tuple[list[tuple[bytes, int]], bool]]:
-        side = side.assign(digest=side["digest"].map(bytes)).sort_values(["conv_id", "numbered", "turn", "digest"])
-        return {int(c): (list(zip(g["digest"], g["bytes"].tolist())), bool(g["more"].any())) for c, g in side.groupby("conv_id")}
-
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def rows_of(side: pa.Table) -> dict[int, tuple[list[tuple[bytes, int]], bool]]:
+        out: dict[int, tuple[list[tuple[bytes, int]], bool]] = {}
+        columns = (side.column(c).to_pylist() for c in ("conv_id", "numbered", "turn", "digest", "bytes", "more"))
+        for conv, _, _, digest, size, more in sorted(zip(*columns)):
+            out.setdefault(conv, ([], more))[0].append((digest, size))
+        return out
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
         bases = rows_of(left)
         base = [t for turns, _ in bases.values() for t in turns[:HEADS]]  # one base at most
-        return pd.DataFrame(family_nodes(base, bases | rows_of(right), block), columns=FIELDS).astype({c: "Int64" for c in ("n", "above", "bytes", "children", "leaves", "saved")})
+        found = zip(*family_nodes(base, bases | rows_of(right), block))
+        return pa.Table.from_arrays([pa.array(values, kind) for values, kind in zip(found, ARROW)], FIELDS)
 
     with_family = heads.withColumns({"family": F.col("conv_id") - F.col("conv_id") % FAMILY, "numbered": F.col("turn").isNotNull(), "turn": F.coalesce("turn", F.lit(0))})
     base = F.col("conv_id") % FAMILY == 0
     others = with_family.where(~base).select(*(F.col(c).alias(c) for c in with_family.columns))  # columns of its own, for the cogroup
-    return with_family.where(base).groupBy("family").cogroup(others.groupBy("family")).applyInPandas(one, NODE)
+    return with_family.where(base).groupBy("family").cogroup(others.groupBy("family")).applyInArrow(one, NODE)
 
 
 def _chained(rows: DataFrame, goes_on: DataFrame, block: int) -> DataFrame:
