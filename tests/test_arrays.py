@@ -5,7 +5,7 @@ import pytest
 
 from fractus.plans.arrays import prepare_array, seeds_from_zyx, seeds_zyx, split_array
 from fractus.plans.profiling import JobProfiler, NullProfiler, Profiler
-from fractus.plans.splitters import GeodesicSplitter, NoopSplitter, RidgeConnectPrep
+from fractus.plans.splitters import NoopSplitter, RidgeConnectPrep, WatershedSplitter
 
 
 def dumbbell():
@@ -17,12 +17,12 @@ def dumbbell():
 def test_split_in_both_orders(spark):
     mask, a, b = dumbbell()
     timed = JobProfiler(spark)
-    one = split_array(spark, GeodesicSplitter(backend="mcp", seed_prep="none"), mask, a, b, profiler=timed)
-    two = split_array(spark, GeodesicSplitter(backend="mcp", seed_prep="none"), mask.transpose(2, 1, 0), a[:, ::-1], b[:, ::-1], vol_order="zyx", vox_order="ZYX", seed_order="zyx")
+    one = split_array(spark, WatershedSplitter(), mask, a, b, profiler=timed)
+    two = split_array(spark, WatershedSplitter(), mask.transpose(2, 1, 0), a[:, ::-1], b[:, ::-1], vol_order="zyx", vox_order="ZYX", seed_order="zyx")
     assert (one.labels == two.labels.transpose(2, 1, 0)).all() and one.labels.shape == mask.shape
     assert ((one.labels > 0) == mask).all() and one.labels[10, 15, 10] == 1 and one.labels[40, 15, 10] == 2
     assert one.snapped_sources.shape == (1, 3) and (one.snapped_sources == two.snapped_sources[:, ::-1]).all()
-    assert one.side_of_label == {1: 1, 2: 2} and one.aug_sources is None and one.diagnostics["full_shape_zyx"] == [20, 30, 50]
+    assert one.side_of_label == {1: 1, 2: 2} and one.diagnostics["total_elapsed_s"] > 0
     assert timed.seconds["split"] > 0 and isinstance(NullProfiler(), Profiler) and isinstance(timed, Profiler)
 
 

@@ -104,9 +104,8 @@ def test_ridge(spark, small_blocks):
 
 
 CONFIGS = [
-    {"backend": "mcp", "lambda_prox": 0.05},
-    {"backend": "dj3d", "downsample_geodesic": (1, 2, 2), "nb_dilate": 2},
-    {"backend": "mcp", "allow_third_label": False, "halo": 0, "narrow_band_rel": 0.3, "gamma_neck": 1.0, "nb_dilate": 0, "enforce_single_cc": False},
+    {"backend": "mcp", "lambda_prox": 0.05, "downsample_geodesic": (1, 2, 2), "nb_dilate": 2},
+    {"backend": "dj3d", "allow_third_label": False, "halo": 0, "narrow_band_rel": 0.3, "gamma_neck": 1.0, "nb_dilate": 0, "enforce_single_cc": False},
 ]
 
 

@@ -32,7 +32,7 @@ def same(frame, other):
 
 
 #: A minute each; their parts are compared with dense grids in test_plans.py.
-SLOW = set() if os.environ.get("SLOW_TESTS") else {"coarse_split", "geodesic_split_plain", "repaired_labels", "ridge_seeds"}
+SLOW = set() if os.environ.get("SLOW_TESTS") else {"augmented_seeds", "coarse_split", "geodesic_split_plain", "least_paths", "repaired_labels", "ridge_seeds"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL.keys() - SLOW))
