@@ -24,6 +24,8 @@ CREATIVE_COMMONS = {
     "CC-BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
     "CC-BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
 }
+# Identifiers of the SPDX licence list.
+SPDX = "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-2.0 ISC 0BSD Zlib Unlicense BSL-1.0 CC0-1.0 PostgreSQL".split() + [f"{code}-4.0" for code in CREATIVE_COMMONS]
 # Sentences of public licence texts, as published, normalised below.
 SENTENCES: dict[str, str] = {
     "mit-notice": "Released under the MIT License.",
@@ -65,6 +67,12 @@ SENTENCES: dict[str, str] = {
     "cc0-dedication": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
     "postgres-grant": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
     "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "asf-agreements": "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements.",
+    "asf-notice-file": "See the NOTICE file distributed with this work for additional information regarding copyright ownership.",
+    "asf-grant": "The ASF licenses this file to you under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl2-only-of": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.",
+    **{f"spdx-{name.lower()}": f"SPDX-License-Identifier: {name}" for name in SPDX},
     **{f"{code.lower()}-4-notice": f"This work is licensed under a Creative Commons {name} 4.0 International License." for code, name in CREATIVE_COMMONS.items()},
 }
 #: Ordered rules: a licence is present where these sentences follow one another among a text's known sentences, and no longer rule covers all of them.
@@ -97,6 +105,10 @@ RULES: dict[str, tuple[str, ...]] = {
     "CC0-1.0-text": ("cc0-dedication",),
     "PostgreSQL-text": ("postgres-grant",),
     "EPL-2.0-text": ("epl2-notice",),
+    "Apache-2.0-ASF-text": ("asf-agreements", "asf-notice-file", "asf-grant", "apache-copy", "apache-basis"),
+    "GPL-2.0-only-text": ("gpl2-only",),
+    "GPL-2.0-only-text-of": ("gpl2-only-of",),
+    **{f"{name}-spdx": (f"spdx-{name.lower()}",) for name in SPDX},
     **{f"{code}-4.0-text": (f"{code.lower()}-4-notice",) for code in CREATIVE_COMMONS},
 }
 
@@ -108,17 +120,23 @@ END = r"[.!?:;][ \t\r\n]+|\n[^a-z0-9\n]*+\n[^a-z0-9]*+"
 #: Sentences that name an owner: what may stand for the name (one to twelve words between fixed ones), and the published form.
 OWNER = "neither the name of", "nor the names of its contributors", "the copyright holder"
 OWNER_WORDS = 12
+#: The colon of an SPDX line doesn't end a sentence: the line is one.
+SPDX_LINE = r"(spdx-license-identifier)[ \t]*:[ \t]*"
 
 
 def normal(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", re.sub(r"[A-Z]", lambda m: m[0].lower(), sentence)).strip()
 
 
+def parts_of(text: str) -> list[str]:
+    return [x for x in (normal(s) for s in re.split(BREAK, re.sub(SPDX_LINE, r"\1 ", text, flags=re.I))) if x]
+
+
 def known_sentences(sentences: dict[str, str]) -> dict[str, str]:
-    """Normalised sentences and their identifiers; a text of several sentences gives ``id``, ``id+1``, and so on."""
+    """Normalised sentences and their identifiers; a text of several sentences gives ``id``, ``id+1``, and so on. The first text that has a sentence names it."""
     out: dict[str, str] = {}
     for name, text in sentences.items():
-        for i, part in enumerate(x for x in (normal(s) for s in re.split(BREAK, text)) if x):
+        for i, part in enumerate(parts_of(text)):
             out.setdefault(part, name if i == 0 else f"{name}+{i}")
     return out
 
@@ -137,7 +155,7 @@ def needed_words(known: dict[str, str]) -> list[str]:
 def _rules(sentences: dict[str, str], rules: dict[str, tuple[str, ...]]) -> list[tuple[str, str, list[str]]]:
     """Names, sequences as ``,id,,id,`` and the longer rules' sequences that hold each, longest first."""
     known = known_sentences(sentences)
-    ids = {name: [i for i in known.values() if i == name or i.startswith(name + "+")] for name in sentences}
+    ids = {name: [known[part] for part in parts_of(text)] for name, text in sentences.items()}
     sequences = {rule: "".join(f",{i}," for s in parts for i in ids[s]) for rule, parts in rules.items()}
     longer = {r: sorted({x for x in sequences.values() if s in x and s != x}, key=lambda x: (-len(x), x)) for r, s in sequences.items()}
     return sorted((rule, sequence, longer[rule]) for rule, sequence in sequences.items())
@@ -146,6 +164,7 @@ def _rules(sentences: dict[str, str], rules: dict[str, tuple[str, ...]]) -> list
 def _marked(text: Column) -> Column:
     """Normalised words of a text; H stands where a sentence ends, S at a newline within which it may go on."""
     out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    out = F.regexp_replace(out, SPDX_LINE, "$1 ")
     out = F.regexp_replace(F.regexp_replace(out, END, "H"), "\n", "S")
     out = F.concat(F.lit("H"), F.regexp_replace(out, "[^a-z0-9HS]+", " "), F.lit("H"))
     out = F.regexp_replace(F.regexp_replace(out, "[S ]*H[HS ]*", "H"), " *S[S ]*", "S")
@@ -162,7 +181,8 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules
     (:data:`OWNER`) any name of up to ``OWNER_WORDS`` words, stops included, stands for the published one.
     ``sentence_ids`` are the known sentences in order, repeats included;
     ``licenses`` the names of the rules found, sorted; a rule whose sentences all
-    belong to a longer rule's (BSD-2-Clause in BSD-3-Clause) isn't. Null and empty texts have
+    belong to a longer rule's (BSD-2-Clause in BSD-3-Clause) isn't. A line with an
+    SPDX identifier is a sentence; expressions of several identifiers are unknown. Null and empty texts have
     none (0 and empty strings). Every row is judged alone, so repeated rows and
     ids, null ids and empty tables need no care. Columns of these names are
     replaced; all others are carried along.
@@ -203,7 +223,7 @@ def oracle_sql() -> str:
     return f"""
 WITH known(sentence, id) AS (VALUES {known}), rules(rule, seq, longest, longer) AS (VALUES {rules}), s AS (
   SELECT doc_id, i, trim(regexp_replace(a[i], '[^a-z0-9]+', ' ', 'g')) AS sentence
-  FROM (SELECT doc_id, string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {named}), '{BREAK}') AS a FROM documents), unnest(range(1, len(a) + 1)) AS u(i)
+  FROM (SELECT doc_id, string_split_regex(regexp_replace(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SPDX_LINE}', '\\1 ', 'g'), {named}), '{BREAK}') AS a FROM documents), unnest(range(1, len(a) + 1)) AS u(i)
 ), f AS (
   SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i) AS ids FROM s JOIN known USING (sentence) GROUP BY doc_id
 ), l AS (

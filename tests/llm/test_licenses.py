@@ -115,3 +115,55 @@ def test_named_owners(spark):
     assert all("nor the names" in t.replace("\n", " ").replace("  ", " ") or "nor the\n" in t for _, t in rows)
     got = {r.doc_id: r.licenses for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: "BSD-3-Clause-text", 1: "BSD-3-Clause-text", 2: "BSD-3-Clause-text", 3: "BSD-3-Clause-text", 4: "BSD-2-Clause-text"}
+
+
+ASF = """Licensed to the Apache Software Foundation (ASF) under one or more
+contributor license agreements.  See the NOTICE file distributed with
+this work for additional information regarding copyright ownership.
+The ASF licenses this file to You under the Apache License, Version 2.0
+(the "License"); you may not use this file except in compliance with
+the License.  You may obtain a copy of the License at
+
+   http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL2_ONLY = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation."""
+GPL2_OF = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; version 2 of the License."""
+GPL2_LATER = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+@pytest.mark.parametrize("change", [str, lambda t: behind("# ", t), lambda t: "/*\n" + behind(" * ", t) + "\n */"])
+def test_headers_that_share_sentences(spark, change):
+    rows = [(i, change(t)) for i, t in enumerate((ASF, APACHE, GPL2_ONLY, GPL2_OF, GPL2_LATER))]
+    got = {r.doc_id: r.licenses for r in license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {0: "Apache-2.0-ASF-text", 1: "Apache-2.0-text", 2: "GPL-2.0-only-text", 3: "GPL-2.0-only-text-of", 4: "GPL-2.0-or-later-text"}
+
+
+def test_spdx_lines(spark):
+    rows = [
+        (0, "// SPDX-License-Identifier: MIT\nint main;"),
+        (1, "/* spdx-license-identifier:Apache-2.0 */"),
+        (2, "# Copyright 2020 A. Writer\n# SPDX-License-Identifier: GPL-2.0-or-later\n\nimport os"),
+        (3, "SPDX-License-Identifier: MIT OR Apache-2.0"),
+        (4, "the tag SPDX-License-Identifier: MIT is read"),
+        (5, "SPDX-License-Identifier: CC-BY-NC-SA-4.0\r\nSPDX-License-Identifier: BSD-3-Clause"),
+        (6, "MIT"),
+    ]
+    got = {r.doc_id: r.licenses for r in license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {0: "MIT-spdx", 1: "Apache-2.0-spdx", 2: "GPL-2.0-or-later-spdx", 3: "", 4: "", 5: "BSD-3-Clause-spdx,CC-BY-NC-SA-4.0-spdx", 6: ""}
