@@ -2,7 +2,9 @@
 
 Along each line the foreground falls into runs. A voxel's nearest background lies
 in its own run's ends or is reached through a voxel of the same run, so each pass
-is one shuffle by line and works within runs. The volume's border isn't
+is one shuffle by line and works within runs. Only voxels nearer than the distance
+known so far (along the axes before, or to the run's ends) are looked at, so a
+pass takes as many steps as a distance is long and not as a run is. The volume's border isn't
 background; without any background distances are infinite.
 """
 
@@ -18,7 +20,7 @@ def _along(df: DataFrame, axis: str) -> DataFrame:
     line = ["sv_id", *(a for a in "zyx" if a != axis)]
     numbered = df.withColumn("run", F.col(axis) - F.row_number().over(Window.partitionBy(*line).orderBy(axis)))
     keep = [f"n{axis}", f"s{axis}", *(f"{p}{a}" for a in "zyx" if a != axis for p in "ns")]
-    runs = numbered.groupBy(*line, "run").agg(F.collect_list(F.struct(F.col(axis).alias("p"), F.col("d2").alias("d"))).alias("cells"), F.min(axis).alias("lo"), F.max(axis).alias("hi"), *(F.first(c).alias(c) for c in keep))
+    runs = numbered.groupBy(*line, "run").agg(F.sort_array(F.collect_list(F.struct(F.col(axis).alias("p"), F.col("d2").alias("d")))).alias("cells"), F.min(axis).alias("lo"), F.max(axis).alias("hi"), *(F.first(c).alias(c) for c in keep))
     inf = F.lit(float("inf"))
     size, step = F.col(f"n{axis}"), F.col(f"s{axis}")
     square = lambda d: (step * d) * (step * d)
@@ -26,7 +28,11 @@ def _along(df: DataFrame, axis: str) -> DataFrame:
     def nearest(cell):
         here = cell["p"]
         ends = F.least(F.when(F.col("lo") > 0, square(here - F.col("lo") + 1)).otherwise(inf), F.when(F.col("hi") < size - 1, square(F.col("hi") + 1 - here)).otherwise(inf))
-        through = F.array_min(F.transform("cells", lambda o: o["d"] + square(here - o["p"])))
+        known, n = F.least(cell["d"], ends), F.size("cells")
+        reach = F.floor(F.least(F.sqrt(known) / step, n)).cast("int") + 1  # cells are consecutive; the first stands at lo
+        first = F.greatest(F.lit(1), here - F.col("lo") + 1 - reach)
+        near = F.slice("cells", first, F.least(n, here - F.col("lo") + 1 + reach) - first + 1)
+        through = F.array_min(F.transform(near, lambda o: o["d"] + square(here - o["p"])))
         return F.struct(here.alias(axis), F.least(ends, through).alias("d2"))
 
     return runs.select(*line, *keep, F.explode(F.transform("cells", nearest)).alias("c")).select(*line, *keep, F.col(f"c.{axis}").alias(axis), F.col("c.d2").alias("d2"))
