@@ -14,11 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import bounded, slices
 from .shingles import term_hashes
+from .storage import discard, materialize
 
 #: Everything in ASCII that isn't a letter ends a word.
 BREAKS = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
@@ -41,7 +42,7 @@ def terms_of(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Machine:
-    """Weights of the chosen hashed terms (sorted); texts are sets of terms."""
+    """Weights of hashed terms (sorted); texts are sets of terms."""
 
     buckets: int
     terms: np.ndarray
@@ -74,61 +75,74 @@ class Machine:
         return out
 
 
-def choose_terms(terms: list[np.ndarray], labels: np.ndarray, buckets: int, most: int) -> np.ndarray:
-    """The terms that tell the classes apart best, by the likelihood ratio of presence (at least three texts)."""
-    counts = np.zeros((2, buckets))
-    for t, label in zip(terms, labels.tolist()):
-        counts[label, t] += 1  # the terms of a text are distinct
-    values = np.flatnonzero(counts.sum(0) >= 3)
-    no, yes = counts[:, values]
+def shares_of_terms(terms: list[np.ndarray], labels: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """All terms of at least three texts, sorted, and by how much each counts, between 0 and 1.
+
+    A term's evidence g is the likelihood ratio of its presence in both classes.
+    Of p terms that mean nothing the most telling one reaches about ln p by
+    chance (the universal threshold), so a term counts by g^2 / (g^2 + ln(p)^2):
+    fully far above that, hardly below.
+    """
+    every = np.concatenate(terms) if terms else np.zeros(0, np.int64)
+    yes = np.bincount(every, np.repeat(labels, [len(t) for t in terms]), buckets)  # the terms of a text are distinct
+    both = np.bincount(every, minlength=buckets)
+    values = np.flatnonzero(both >= 3)
+    yes, no = yes[values], both[values] - yes[values]
     n_no, n_yes = max(1, int((labels == 0).sum())), max(1, int((labels == 1).sum()))
     p, q = (yes + 0.5) / (n_yes + 1), (no + 0.5) / (n_no + 1)
     base = (yes + no + 1) / (n_yes + n_no + 2)
     gain = n_yes * (p * np.log(p / base) + (1 - p) * np.log((1 - p) / (1 - base))) + n_no * (q * np.log(q / base) + (1 - q) * np.log((1 - q) / (1 - base)))
-    order = np.lexsort((values, -gain))[:most]
-    return np.sort(values[order[gain[order] > 0]])
+    gain = np.maximum(gain, 0.0) ** 2
+    return values, gain / (gain + max(1.0, np.log(max(1, len(values)))) ** 2)
 
 
-def fit(terms: list[np.ndarray], labels: np.ndarray, buckets: int, most_terms: int = 2048, factors: int = 8, epochs: int = 20, least_steps: int = 800, batch: int = 256, rate: float = 0.02, decay: float = 2e-5, seed: int = 17) -> Machine:
-    """Adam on the logistic loss. Without both classes the machine is the smoothed base rate alone."""
+def fit(terms: list[np.ndarray], labels: np.ndarray, buckets: int, factors: int = 4, epochs: int = 20, least_steps: int = 600, batch: int = 128, rate: float = 0.02, decay: float = 2e-5, seed: int = 17) -> Machine:
+    """Adam on the logistic loss, over weights that count by :func:`shares_of_terms`. Without both classes the machine is the smoothed base rate alone."""
     n, positive = len(labels), int(labels.sum())
     bias = float(np.log((positive + 1) / (n - positive + 1)))
     if positive in (0, n):
         return Machine(buckets, np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, factors)))
-    chosen = choose_terms(terms, labels, buckets, most_terms)
-    sets = []
-    for t in terms:
-        at = np.searchsorted(chosen, t)
-        at[at == len(chosen)] = 0
-        sets.append(at[chosen[at] == t] if len(chosen) else at[:0])
+    chosen, share = shares_of_terms(terms, labels, buckets)
+    place = np.full(buckets, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    sets = [x[x >= 0] for x in (place[t] for t in terms)]
+    del place
     rng = np.random.default_rng(seed)
-    machine = Machine(buckets, chosen, bias, np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), factors)))
+    machine = Machine(buckets, chosen, bias, np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), factors)) * share[:, None])
     moments = [np.zeros_like(machine.linear), np.zeros_like(machine.linear), np.zeros_like(machine.latent), np.zeros_like(machine.latent), 0.0, 0.0]
+    how = (share, share[:, None], 1.0)  # Adam's steps know no scale: a weight moves by its share of one
     step = 0
     for _ in range(max(epochs, -(-least_steps * batch // n))):
         order = rng.permutation(n)
         for lo in range(0, n, batch):
             rows = order[lo : lo + batch]
-            index = np.concatenate([sets[r] for r in rows])
-            text = np.repeat(np.arange(len(rows)), [len(sets[r]) for r in rows])
-            margin = machine.margin(index, text, len(rows))
+            sizes = np.array([len(sets[r]) for r in rows])
+            index, text = np.concatenate([sets[r] for r in rows]), np.repeat(np.arange(len(rows)), sizes)
+            some, starts = sizes > 0, (np.cumsum(sizes) - sizes)[sizes > 0]  # texts without terms have no stretch to sum
+            latent, sums, margin = machine.latent[index], np.zeros((len(rows), factors)), np.full(len(rows), machine.bias)
+            if len(index):
+                sums[some] = np.add.reduceat(latent, starts)
+                margin[some] += np.add.reduceat(machine.linear[index] - 0.5 * np.einsum("ij,ij->i", latent, latent), starts)
+                margin += 0.5 * np.einsum("ij,ij->i", sums, sums)
             error = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels[rows]) / len(rows)
-            sums = np.stack([np.bincount(text, machine.latent[index, f], len(rows)) for f in range(factors)], 1)
-            g_linear = np.bincount(index, error[text], len(chosen)) + decay * machine.linear
-            g_latent = decay * machine.latent
+            # A term's gradient: the errors of its texts times the sums of their other terms.
+            each, weighted = error[text], error[:, None] * sums
+            g_linear = np.bincount(index, each, len(chosen))
+            g_latent = decay * machine.latent - g_linear[:, None] * machine.latent
             for f in range(factors):
-                g_latent[:, f] += np.bincount(index, error[text] * (sums[text, f] - machine.latent[index, f]), len(chosen))
+                g_latent[:, f] += np.bincount(index, weighted[:, f][text], len(chosen))
+            g_linear += decay * machine.linear
             step += 1
             correct = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, (name, grad) in enumerate((("linear", g_linear), ("latent", g_latent), ("bias", error.sum()))):
                 moments[2 * k] = 0.9 * moments[2 * k] + 0.1 * grad
                 moments[2 * k + 1] = 0.999 * moments[2 * k + 1] + 0.001 * grad**2
-                setattr(machine, name, getattr(machine, name) - rate * correct * moments[2 * k] / (np.sqrt(moments[2 * k + 1]) + 1e-8))
+                setattr(machine, name, getattr(machine, name) - how[k] * (rate * correct) * moments[2 * k] / (np.sqrt(moments[2 * k + 1]) + 1e-8))
     return machine
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, sample: int, buckets: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct hashed terms and labels of at most ``sample`` labelled texts that aren't held out, by the order of a hash of their ids."""
+def training_sample(docs: DataFrame, labels: DataFrame, sample: int, buckets: int, most_bytes: int = 96 << 20) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct hashed terms and labels of labelled texts that aren't held out, by the order of a hash of their ids: at most ``sample`` and ``most_bytes`` of terms, but one text at least."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     usable = usable.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     taken = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -144,28 +158,32 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int, buckets: in
             cuts = np.searchsorted(text, np.arange(some.num_rows + 1))
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([term[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["doc_id", "toxic", "terms"])
 
-    rows = bounded(texts).mapInArrow(hashed, "doc_id long, toxic int, terms binary").collect()
+    found = materialize(bounded(texts).mapInArrow(hashed, "doc_id long, toxic int, terms binary"), "toxic-terms")
+    # At most ``sample`` sizes in a row: texts are taken while those before them are within the bound.
+    before = F.sum(F.octet_length("terms")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    within = found.select("doc_id", before.alias("held"), F.octet_length("terms").alias("own")).where(f"held <= {most_bytes} OR held = own").select("doc_id")
+    rows = found.join(F.broadcast(within), "doc_id").select("doc_id", "toxic", "terms").collect()
+    discard(found)
     rows.sort(key=lambda r: (r[0], r[2]))
     return [np.frombuffer(r[2], np.int32) for r in rows], np.array([1 if r[1] else 0 for r in rows], np.int64)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, buckets: int = 1 << 20, most_terms: int = 2048) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, buckets: int = 1 << 20, sample_bytes: int = 96 << 20) -> DataFrame:
     """``docs`` with held_out (boolean), score (double, 0 to 1) and predicted (int, 1 from 0.5 up).
 
     held_out: crc32 of the id as text is divisible by 5; such rows are never
-    learnt from. The machine is fitted on at most ``sample`` labelled texts (the
-    bound of what reaches the driver: about 4 KB a text), over the ``most_terms``
-    hashed terms that tell the classes apart best: of so few texts more terms
-    learn their noise (README has figures). All other terms of a text weigh
-    nothing. Null and empty texts
-    get the score of no terms; equal texts equal scores. A null id is held out
-    (its text counts as empty, whose crc32 is 0). Without labels, or with one
+    learnt from. The machine is fitted on at most ``sample`` labelled texts and
+    ``sample_bytes`` of their hashed terms (4 bytes each; the bound of what reaches
+    the driver), over all terms of three texts or more. Each counts by what it
+    tells beyond chance (:func:`shares_of_terms`), so that rare ones add no noise.
+    Null and empty texts get the score of no terms; equal texts equal scores. A
+    null id is held out (its text counts as empty, whose crc32 is 0). Without labels, or with one
     class alone, every score is the smoothed base rate. Rows that repeat an id
     are scored each by its text. Columns of these names are replaced; all
     others are carried along but are never inputs of the score.
     """
-    terms, classes = training_sample(docs, labels, sample, buckets)
-    machine = fit(terms, classes, buckets, most_terms)
+    terms, classes = training_sample(docs, labels, sample, buckets, sample_bytes)
+    machine = fit(terms, classes, buckets)
     del terms
     place: list[np.ndarray] = []
 

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from fractus.llm.secrets import Rule, Scanner
-from fractus.llm.toxicity import BREAKS, PREFIXES, Machine, choose_terms, fit, terms_of
+from fractus.llm.toxicity import BREAKS, PREFIXES, Machine, fit, shares_of_terms, terms_of, training_sample
 from fractus.llm.shingles import term_hashes
 
 BUCKETS = 1 << 16
@@ -59,9 +59,52 @@ def test_a_pair_is_learnt():
     assert {1, 2} <= set(machine.terms.tolist()) and right > 0.95
 
 
-def test_chosen_terms():
-    terms = [np.array([1, 5])] * 10 + [np.array([2, 5])] * 10 + [np.array([7])]
-    assert choose_terms(terms, np.array([0] * 10 + [1] * 11), 16, 2).tolist() == [1, 2]
+def test_shares_of_terms():
+    """Every term of three texts counts, the more the more it tells of the class; none is left out."""
+    rng = np.random.default_rng(4)
+    labels = np.repeat([0, 1], 300)
+    terms = [np.unique(np.r_[rng.integers(10, 400, 8), [1] if y else [2], 5, 6 if i < 2 else 5]) for i, y in enumerate(labels)]
+    values, share = shares_of_terms(terms, labels, 512)
+    of = dict(zip(values.tolist(), share.tolist()))
+    assert 6 not in of and set(of) == {t for t in range(512) if sum(t in x for x in terms) >= 3}
+    assert of[1] > 0.99 and of[2] > 0.99 and of[5] < 1e-6 and max(v for t, v in of.items() if t >= 10) < 0.75
+    assert np.median([v for t, v in of.items() if t >= 10]) < 0.05
+
+
+def test_gradient_is_that_of_the_loss():
+    """One step of Adam moves each weight against the sign of the numeric gradient."""
+    rng = np.random.default_rng(6)
+    terms = [np.unique(rng.integers(0, 6, rng.integers(0, 5))) for _ in range(64)]
+    labels = rng.integers(0, 2, 64)
+    start = fit(terms, labels, 8, factors=2, epochs=1, least_steps=1, batch=64, rate=0.0, decay=0.0)
+    moved = fit(terms, labels, 8, factors=2, epochs=1, least_steps=1, batch=64, rate=1e-3, decay=0.0)
+    at = [np.searchsorted(start.terms, t) for t in terms]
+
+    def loss(linear, latent):
+        margin = np.array([start.bias + linear[i].sum() + sum(latent[a] @ latent[b] for a in i for b in i if a < b) for i in at])
+        return np.mean(np.logaddexp(0, margin) - labels * margin)
+
+    for name in ("linear", "latent"):
+        old, new = getattr(start, name), getattr(moved, name)
+        for k in np.ndindex(old.shape):
+            up, down = ({n: getattr(start, n).copy() for n in ("linear", "latent")} for _ in range(2))
+            up[name][k] += 1e-5
+            down[name][k] -= 1e-5
+            slope = (loss(**up) - loss(**down)) / 2e-5
+            if abs(slope) > 1e-5:
+                assert np.sign(new[k] - old[k]) == -np.sign(slope)
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    """Texts of 20,000 words: few fit the bound, a single one always does."""
+    words = [" ".join(f"w{i}x{j}" for j in range(20_000)) for i in range(6)]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    every, _ = training_sample(docs, labels, 100, 1 << 20)
+    size = max(len(t) for t in every) * 4
+    some, _ = training_sample(docs, labels, 100, 1 << 20, 2 * size + size // 2)
+    one, y = training_sample(docs, labels, 100, 1 << 20, 10)
+    assert len(every) > 2 and len(some) == 2 and len(one) == len(y) == 1
 
 
 def test_more_rules_than_bytes_have_bits():
