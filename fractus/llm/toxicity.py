@@ -83,9 +83,9 @@ def shares_of_terms(terms: list[np.ndarray], labels: np.ndarray, buckets: int) -
     chance (the universal threshold), so a term counts by g^2 / (g^2 + ln(p)^2):
     fully far above that, hardly below.
     """
-    every = np.concatenate(terms) if terms else np.zeros(0, np.int64)
-    yes = np.bincount(every, np.repeat(labels, [len(t) for t in terms]), buckets)  # the terms of a text are distinct
-    both = np.bincount(every, minlength=buckets)
+    none = [np.zeros(0, np.int32)]
+    both = np.bincount(np.concatenate(none + terms), minlength=buckets)  # the terms of a text are distinct
+    yes = np.bincount(np.concatenate(none + [t for t, label in zip(terms, labels.tolist()) if label]), minlength=buckets)
     values = np.flatnonzero(both >= 3)
     yes, no = yes[values], both[values] - yes[values]
     n_no, n_yes = max(1, int((labels == 0).sum())), max(1, int((labels == 1).sum()))
