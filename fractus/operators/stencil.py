@@ -25,7 +25,8 @@ def shifted(voxels: DataFrame, offsets: list[tuple[int, int, int]], *keep: str)
 
 def places_in_volume(voxels: DataFrame, volumes: DataFrame) -> DataFrame:
     """Distinct places (sv_id, z, y, x) beside voxels, those outside the volume left out."""
-    near = shifted(voxels, OFFSETS).select(*KEY).join(volumes.select("sv_id", "nz", "ny", "nx"), "sv_id")
+    size = ["nz", "ny", "nx"]
+    near = shifted(voxels.join(volumes.select("sv_id", *size), "sv_id"), OFFSETS, *size)
     return near.where(in_volume()).select(*KEY).distinct()
 
 

@@ -33,6 +33,19 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def measured_joins(spark: SparkSession) -> None:
+    """From now on this session's joins broadcast a side only by its measured size, under adaptive execution, or where a hint says so.
+
+    The planner's estimate counts neither the rows that an explode adds nor what a
+    packed file unpacks to, and adaptive execution keeps a broadcast that was planned
+    by it: voxels of a small table went whole through the driver.
+    """
+    static, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    if spark.conf.get(measured, None) is None:
+        spark.conf.set(measured, spark.conf.get(static))
+    spark.conf.set(static, "-1")
+
+
 _local = threading.local()
 
 

@@ -23,7 +23,7 @@ from ..functions.axes import rounded
 from ..functions.fields import SINK, SOURCE, STRAY
 from ..operators import distance, graph, labels, regions, resolve, ridge, snap
 from . import kernel
-from .fixpoint import cut, keeping, kept
+from .fixpoint import cut, keeping, kept, measured_joins
 from .profiling import NullProfiler, Profiler
 
 __all__ = ["SOURCE", "SINK", "STRAY", "Splitter", "SeedPrep", "SplitFrames", "SeedFrames", "GeodesicSplitter", "RidgeConnectPrep", "WatershedSplitter", "NoopSplitter"]
@@ -159,6 +159,7 @@ class RidgeConnectPrep:
     profiler: Profiler = field(default_factory=NullProfiler, compare=False)
 
     def prepare(self, voxels: DataFrame, seeds: DataFrame, volumes: DataFrame) -> SeedFrames:
+        measured_joins(voxels.sparkSession)
         shapes = _shapes(volumes)
         with keeping():
             with self.profiler.profile("ridge:snap"):
@@ -206,6 +207,7 @@ class GeodesicSplitter:
             raise ValueError(f"unknown backend {self.backend!r}")
 
     def split(self, voxels: DataFrame, seeds: DataFrame, volumes: DataFrame) -> SplitFrames:
+        measured_joins(voxels.sparkSession)
         with keeping():
             return self._split(voxels, seeds, volumes, Stages(self.profiler))
 

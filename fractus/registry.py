@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import axes, fields
 from .operators import distance, graph, regions, resolve, snap, stencil
 from .plans import splitters
+from .plans.fixpoint import measured_joins
 from .sources import volumes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +60,12 @@ edt AS (
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            measured_joins(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             SQL[f.__name__] = sql
         return f

@@ -236,3 +236,13 @@ def test_blocks_against_brute_force(spark, monkeypatch):
         for r in rows:
             p = (r.z, r.y, r.x)
             assert (r.t_a, r.t_b) == (pytest.approx(a[p]) if p in a else None, pytest.approx(b[p]) if p in b else None)
+
+
+def test_voxels_are_never_broadcast_by_estimate(spark, tmp_path):
+    """A table of small balls looks small to the planner; the places around them aren't."""
+    from fractus import registry, split_queries  # noqa: F401
+
+    spark.range(1000).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    for name in ("places_beside", "boundary_two_deep", "drawn_voxels", "snapped_to_every_third"):
+        planned = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" in planned and "BroadcastHashJoin" not in planned
