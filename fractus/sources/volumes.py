@@ -67,14 +67,20 @@ def dumbbell(spark: SparkSession, sv_id: int = 0) -> tuple[DataFrame, DataFrame,
     return voxels, shape, seeds
 
 
+#: Balls whose voxels a task makes.
+BALLS = 500
 #: Shape (z, y, x) and voxel size of the volumes that the nation table gives.
 BLOBS, BLOB_SIZE = (16, 24, 40), (3.0, 2.0, 1.0)
 
 
 def nation_blobs(nation: DataFrame) -> DataFrame:
-    """Balls around a place for each nation, a fragment for each region."""
+    """Balls around a place for each nation, a fragment for each region.
+
+    The table is counted and spread first: small as it is, one task would read it and make all voxels.
+    """
     k = F.col("n_nationkey")
     centre = nation.select(F.col("n_regionkey").cast("long").alias("sv_id"), (4 + k * 11 % 32).alias("cx"), (4 + k * 7 % 16).alias("cy"), (4 + k * 5 % 8).alias("cz"), (3 + k % 3).alias("r"))
+    centre = centre.repartition(-(-max(1, nation.count()) // BALLS), "sv_id")
     reach = F.sequence(-F.col("r"), F.col("r"))
     cells = centre.withColumn("dz", F.explode(reach)).withColumn("dy", F.explode(reach)).withColumn("dx", F.explode(reach))
     cells = cells.where("dz * dz + dy * dy + dx * dx <= r * r").select("sv_id", (F.col("cz") + F.col("dz")).cast("int").alias("z"), (F.col("cy") + F.col("dy")).cast("int").alias("y"), (F.col("cx") + F.col("dx")).cast("int").alias("x"))

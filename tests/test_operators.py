@@ -246,3 +246,10 @@ def test_voxels_are_never_broadcast_by_estimate(spark, tmp_path):
     for name in ("places_beside", "boundary_two_deep", "drawn_voxels", "snapped_to_every_third"):
         planned = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
         assert "Join" in planned and "BroadcastHashJoin" not in planned
+
+
+def test_balls_are_spread_over_tasks(spark):
+    """The voxels of a growing table are made by a growing number of tasks."""
+    named = spark.range(0, 4000, 1, 1).select(volumes.F.col("id").alias("n_nationkey"), volumes.F.floor(volumes.F.col("id") / 5).alias("n_regionkey"))
+    made = [n for n in volumes.nation_blobs(named).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(made) >= 4 and max(made) < sum(made) / 2
