@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.axes import linear
@@ -36,11 +36,18 @@ def neighbours(voxels: DataFrame, others: DataFrame, *keep: str) -> DataFrame:
 
 
 def interior(voxels: DataFrame, iterations: int = 1) -> DataFrame:
-    """Voxels that stay after erosion by the full cube; the volume's border counts as outside."""
+    """Voxels that stay after erosion by the full cube; the volume's border counts as outside.
+
+    The cube is the product of three segments, so one axis is eroded after another:
+    of a voxel's neighbours only those on its line are looked at.
+    """
     out = voxels.select(*KEY)
-    for _ in range(iterations):
-        full = neighbours(out, out).groupBy("sv_id", "z0", "y0", "x0").count().where(f"count = {len(OFFSETS)}")
-        out = full.select("sv_id", *(F.col(f"{a}0").alias(a) for a in "zyx"))
+    for axis in "xyz":
+        line = Window.partitionBy("sv_id", *(a for a in "zyx" if a != axis)).orderBy(axis)
+        here = F.col(axis)
+        for _ in range(iterations):
+            beside = out.withColumns({"before": F.lag(axis).over(line), "behind": F.lead(axis).over(line)})
+            out = beside.where((F.col("before") == here - 1) & (F.col("behind") == here + 1)).select(*KEY)
     return out
 
 

@@ -253,3 +253,15 @@ def test_balls_are_spread_over_tasks(spark):
     named = spark.range(0, 4000, 1, 1).select(volumes.F.col("id").alias("n_nationkey"), volumes.F.floor(volumes.F.col("id") / 5).alias("n_regionkey"))
     made = [n for n in volumes.nation_blobs(named).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
     assert len(made) >= 4 and max(made) < sum(made) / 2
+
+
+def test_erosion_joins_no_neighbours(spark, blob):
+    """Erosion by the cube, once to three times, without a row for each neighbour."""
+    solid = blob | (np.indices(blob.shape).sum(0) % 7 > 0)
+    left = {tuple(map(int, p)) for p in np.argwhere(solid)}
+    frame = table(spark, left)
+    for rounds in (1, 2, 3):
+        left = {p for p in left if all(tuple(a + d for a, d in zip(p, o)) in left for o in stencil.OFFSETS)}
+        eroded = stencil.interior(frame, rounds)
+        assert cells(eroded) == left
+        assert "Generate" not in eroded._jdf.queryExecution().optimizedPlan().toString()
