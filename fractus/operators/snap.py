@@ -59,12 +59,14 @@ def snap_seeds(seeds: DataFrame, voxels: DataFrame, volumes: DataFrame, use_boun
         raise ValueError("downsample_mode must be 'stride' or 'random'")
     candidates = boundary(voxels, erosion_iters) if use_boundary else voxels.select("sv_id", "z", "y", "x")
     if downsample and downsample_mode == "stride":
-        candidates = every_nth(candidates, downsample_stride)
+        candidates = kept(every_nth(candidates, downsample_stride))
     elif downsample:
         candidates, target = kept(candidates), downsample_target or 50_000
         many = candidates.groupBy("sv_id").count().where(F.col("count") > target).select("sv_id")
         if not many.isEmpty():
             candidates = candidates.join(many, "sv_id", "left_anti").unionByName(sample(candidates.join(many, "sv_id", "left_semi"), target, seed))
+    else:
+        candidates = kept(candidates)
     lost = seeds.join(voxels, "sv_id", "left_anti").select("sv_id").limit(1).collect()
     if lost:
         raise ValueError(f"fragment {lost[0][0]} has seeds but no candidate voxel")

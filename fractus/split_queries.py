@@ -29,10 +29,11 @@ def _fragments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 
 def _snapped(v: DataFrame, shape: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fragments with their seeds on the boundary."""
+    """Fragments with their seeds on the boundary, both written once: each is used many times."""
+    v = cut(v)
     placed = seeds.withColumns({a: F.rint(a) for a in "zyx"})
     found = snap.snap_seeds(placed, v, shape, **EXACT)
-    return v, shape, found.select("sv_id", "side", "seed_idx", *(F.col(f"v{a}").alias(a) for a in "zyx"))
+    return v, shape, cut(found.select("sv_id", "side", "seed_idx", *(F.col(f"v{a}").alias(a) for a in "zyx")))
 
 
 SNAPPED = """
@@ -266,6 +267,7 @@ SQL["ridge_seeds"] = f"WITH RECURSIVE {RIDGE.replace(SUPPLIERS, 'FROM nation')},
 def augmented_seeds(spark, sf_dir):
     """Seeds of either side with the voxels of the ridge paths that join them."""
     v, shape, seeds = _fragments(spark, sf_dir)
+    v = cut(v)
     return _longs(RidgeConnectPrep(snap=EXACT).prepare(v, seeds, shape).seeds)
 
 

@@ -223,3 +223,11 @@ def test_background_cells(spark):
     out = regions.with_background(v.withColumn("cost", F.lit(2.0)), shapes).collect()
     assert len(out) == 4 + 9 and {(r.sv_id, r.y == r.x, r.cost) for r in out if r.sv_id} == {(1, True, 2.0), (1, False, 1e12)}
     assert ridge.SIDE > 1 << 31
+
+
+def test_snapped_seeds_are_written_once(spark):
+    """What searches use many times is read from a file, not computed from the table again for each use."""
+    from fractus import split_queries
+
+    v, _, seeds = split_queries._snapped(*split_queries._fragments(spark, "/root/testdata/sf0.001"))
+    assert all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() and "Generate" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (v, seeds))
