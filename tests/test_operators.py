@@ -248,6 +248,23 @@ def test_voxels_are_never_broadcast_by_estimate(spark, tmp_path):
         assert "Join" in planned and "BroadcastHashJoin" not in planned
 
 
+@pytest.mark.parametrize("name", ["grid_labels", "augmented_seeds"])
+def test_searches_plan_no_broadcasts_by_estimate(spark, tmp_path, name):
+    """No step of arrivals and labels or of ridges is planned with a broadcast: what is small is known only once it is measured."""
+    from fractus import registry, split_queries  # noqa: F401
+
+    spark.range(10).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    store = spark._jsparkSession.sharedState().statusStore()
+    done = store.executionsCount()
+    registry.QUERIES[name](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList(done, store.executionsCount() - done)
+    said = [runs.apply(k).physicalPlanDescription() for k in range(runs.size())]
+    planned = [text.split("== Initial Plan ==")[-1].split("\n\n")[0] for text in said]
+    assert any("Join" in text for text in planned)
+    assert not any("BroadcastHashJoin" in text for text in planned)
+
+
 def test_balls_are_spread_over_tasks(spark):
     """The voxels of a growing table are made by a growing number of tasks."""
     named = spark.range(0, 4000, 1, 1).select(volumes.F.col("id").alias("n_nationkey"), volumes.F.floor(volumes.F.col("id") / 5).alias("n_regionkey"))
