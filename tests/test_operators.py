@@ -265,6 +265,13 @@ def test_searches_plan_no_broadcasts_by_estimate(spark, tmp_path, name):
     assert not any("BroadcastHashJoin" in text for text in planned)
 
 
+def test_a_cell_of_the_distance_looks_up_its_reach_once(spark):
+    """An expression inside a lambda is computed each time it is named: the root that says how far to look stands once in each pass after the first."""
+    voxels, shape, _ = volumes.dumbbell(spark)
+    plan = distance.squared_distance(voxels, shape)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SQRT(") == 2
+
+
 def test_balls_are_spread_over_tasks(spark):
     """The voxels of a growing table are made by a growing number of tasks."""
     named = spark.range(0, 4000, 1, 1).select(volumes.F.col("id").alias("n_nationkey"), volumes.F.floor(volumes.F.col("id") / 5).alias("n_regionkey"))
