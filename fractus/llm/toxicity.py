@@ -4,7 +4,7 @@ Terms are the distinct words of a text and their first bytes (three lengths, so
 that inflected forms meet), hashed. The machine adds to linear weights the
 products of latent vectors of all pairs of terms, so that two terms that are
 harmless alone can weigh together. It is fitted on a bounded sample of labelled
-texts on the driver; all texts are scored where they lie.
+texts in a task, and the driver gets its weights alone; all texts are scored where they lie.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,8 +142,11 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, buckets: int, factors: int
     return machine
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, sample: int, buckets: int, most_bytes: int = 96 << 20) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct hashed terms and labels of labelled texts that aren't held out, by the order of a hash of their ids: at most ``sample`` and ``most_bytes`` of terms, but one text at least."""
+def sampled_terms(docs: DataFrame, labels: DataFrame, sample: int, buckets: int, most_bytes: int = 96 << 20) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, toxic, terms) of labelled texts that aren't held out, distinct hashed terms as int32, and the written table that it is read from.
+
+    Texts are taken by the order of a hash of their ids: at most ``sample`` and ``most_bytes`` of terms, but one text at least.
+    """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     usable = usable.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     taken = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -162,19 +166,56 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int, buckets: in
     # At most ``sample`` sizes in a row: texts are taken while those before them are within the bound.
     before = F.sum(F.octet_length("terms")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     within = found.select("doc_id", before.alias("held"), F.octet_length("terms").alias("own")).where(f"held <= {most_bytes} OR held = own").select("doc_id")
-    rows = found.join(F.broadcast(within), "doc_id").select("doc_id", "toxic", "terms").collect()
+    return found.join(F.broadcast(within), "doc_id").select("doc_id", "toxic", "terms"), found
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, sample: int, buckets: int, most_bytes: int = 96 << 20) -> tuple[list[np.ndarray], np.ndarray]:
+    """:func:`sampled_terms` and their labels on the driver, by id, to look at."""
+    some, found = sampled_terms(docs, labels, sample, buckets, most_bytes)
+    rows = sorted(some.collect())
     discard(found)
-    rows.sort(key=lambda r: (r[0], r[2]))
     return [np.frombuffer(r[2], np.int32) for r in rows], np.array([1 if r[1] else 0 for r in rows], np.int64)
 
 
+def learnt(docs: DataFrame, labels: DataFrame, sample: int, buckets: int, most_bytes: int) -> Machine:
+    """The machine fitted on :func:`sampled_terms` in one task, as the sample is bounded: the driver, which also holds all plans, gets no terms of it."""
+    some, found = sampled_terms(docs, labels, sample, buckets, most_bytes)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretches, sizes, classes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in (b for b in batches if b.num_rows):
+            held = pc.fill_null(batch.column(2), b"").cast(pa.large_binary())
+            ends = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+            if ends[-1] > ends[0]:
+                stretches.append(np.frombuffer(held.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(np.int32))  # the batch goes
+            sizes.append(np.diff(ends) // 4)
+            classes.append(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64) != 0)
+        terms, sizes = np.concatenate(stretches), np.concatenate(sizes)
+        del stretches
+        machine = fit(np.split(terms, np.cumsum(sizes)[:-1]) if len(sizes) else [], np.concatenate(classes).astype(np.int64), buckets)
+        arrays = [pa.array([a.tobytes()], pa.binary()) for a in (machine.terms, machine.linear, machine.latent)]
+        bias = pa.array([machine.bias], pa.float64())
+        del terms, machine
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
+        yield pa.RecordBatch.from_arrays([bias, *arrays], ["bias", "terms", "linear", "latent"])
+
+    rows = bounded(some).coalesce(1).sortWithinPartitions("doc_id").mapInArrow(fitted, "bias double, terms binary, linear binary, latent binary").collect()
+    discard(found)
+    if not rows:  # a table without partitions
+        return fit([], np.zeros(0, np.int64), buckets)
+    (one,) = rows
+    terms, linear, latent = np.frombuffer(one.terms, np.int64), np.frombuffer(one.linear), np.frombuffer(one.latent)
+    return Machine(buckets, terms, one.bias, linear, latent.reshape(len(terms), len(latent) // max(1, len(terms))))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, buckets: int = 1 << 20, sample_bytes: int = 96 << 20) -> DataFrame:
     """``docs`` with held_out (boolean), score (double, 0 to 1) and predicted (int, 1 from 0.5 up).
 
     held_out: crc32 of the id as text is divisible by 5; such rows are never
     learnt from. The machine is fitted on at most ``sample`` labelled texts and
-    ``sample_bytes`` of their hashed terms (4 bytes each; the bound of what reaches
-    the driver), over all terms of three texts or more. Each counts by what it
+    ``sample_bytes`` of their hashed terms (4 bytes each; the bound of what the one
+    task that fits it reads; the driver gets the weights, at most 48 bytes for each of
+    ``buckets``), over all terms of three texts or more. Each counts by what it
     tells beyond chance (:func:`shares_of_terms`), so that rare ones add no noise.
     Null and empty texts get the score of no terms; equal texts equal scores. A
     null id is held out (its text counts as empty, whose crc32 is 0). Without labels, or with one
@@ -182,9 +223,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, buckets:
     are scored each by its text. Columns of these names are replaced; all
     others are carried along but are never inputs of the score.
     """
-    terms, classes = training_sample(docs, labels, sample, buckets, sample_bytes)
-    machine = fit(terms, classes, buckets)
-    del terms
+    machine = learnt(docs, labels, sample, buckets, sample_bytes)
     place: list[np.ndarray] = []
 
     @F.arrow_udf("double")

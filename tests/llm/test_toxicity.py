@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from fractus.llm import toxicity as toxicity_module
 from fractus.llm.secrets import Rule, Scanner
 from fractus.llm.toxicity import BREAKS, PREFIXES, Machine, fit, shares_of_terms, terms_of, training_sample
 from fractus.llm.shingles import term_hashes
@@ -107,6 +108,22 @@ def test_sample_is_bounded_in_bytes(spark):
     assert len(every) > 2 and len(some) == 2 and len(one) == len(y) == 1
 
 
+def test_fitted_in_a_task(spark, monkeypatch):
+    """The driver gets weights, not the sample; they are those that the sample gives."""
+    texts = [f"{'awful' if i % 3 == 0 else 'kind'} people {i % 7} of word{i % 5}" for i in range(300)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(302)], "doc_id long, toxic int")
+    machine = fit(*training_sample(docs, labels, 12_000, 1 << 20), 1 << 20)
+    want = machine.scores(pa.array(texts, pa.large_string()), machine.places())
+
+    def here(*_):
+        raise AssertionError("fitted on the driver")
+
+    monkeypatch.setattr(toxicity_module, "shares_of_terms", here)  # workers have a module of their own
+    got = toxicity_module.toxicity(docs, labels).select("doc_id", "score").collect()
+    assert {r.doc_id: r.score for r in got} == dict(enumerate(want.tolist()))
+
+
 def test_more_rules_than_bytes_have_bits():
     rules = tuple(Rule(f"k{i}", f"word{i}!") for i in range(20))
     found = Scanner(rules).scan([" ".join(f"word{i}!" for i in range(20))])[0]
