@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fields import BACKGROUND
 from ..plans.fixpoint import kept
 from . import distance, graph, regions, search
 from .snap import nearest
@@ -23,18 +24,30 @@ def ridge_paths(coarse: DataFrame, seeds: DataFrame, volumes: DataFrame, power:
 
     ``coarse``: foreground; ``seeds`` (sv_id, side, seed_idx, z, y, x): cells of
     it. Paths stay in the foreground where it joins both ends; else they may
-    cross background at its cost, in a grid that is built for such fragments alone.
+    cross background at its cost. Volumes that a task can hold are searched whole;
+    for the others a grid with background is built, of the fragments that need it alone.
     """
     cost = kept(distance.cost_fields(kept(distance.squared_distance(coarse, volumes)), power=power).select(*KEY, F.col("ridge").alias("cost")))
     edges = kept(_numbered(graph.spanning_tree(seeds, volumes)))
     ends = [kept(edges.join(seeds.select("sv_id", "side", F.col("seed_idx").alias(c), "z", "y", "x"), ["sv_id", "side", c]).select("sv_id", "search", "z", "y", "x")) for c in ("a", "b")]
+    large = kept(volumes.where(~search.fits()))
+    if large.isEmpty():
+        found = search.paths_inside(cost, volumes, *ends, beyond=BACKGROUND)
+    else:
+        found = _in_blocks(cost.join(large, "sv_id", "left_semi"), large, *(e.join(large, "sv_id", "left_semi") for e in ends))
+        found = found.unionByName(search.paths_inside(cost.join(large, "sv_id", "left_anti"), volumes.where(search.fits()), *(e.join(large, "sv_id", "left_anti") for e in ends), beyond=BACKGROUND))
+    return found.select("sv_id", F.floor(F.col("search") / SIDE).cast("tinyint").alias("side"), "search", "z", "y", "x")
+
+
+def _in_blocks(cost: DataFrame, volumes: DataFrame, *ends: DataFrame) -> DataFrame:
+    """Least paths over the foreground, and over the whole volume for searches without a way there."""
     found = kept(search.least_paths(search.cells_of(cost, volumes), *ends))
-    lost = kept(edges.join(found, ["sv_id", "search"], "left_anti").select("sv_id", "search"))
+    lost = kept(ends[0].join(found, ["sv_id", "search"], "left_anti").select("sv_id", "search"))
     if not lost.isEmpty():
         mine = volumes.join(lost, "sv_id", "left_semi")
         dense = search.cells_of(regions.with_background(cost.join(lost, "sv_id", "left_semi"), mine), mine)
         found = found.unionByName(search.least_paths(dense, *(e.join(lost, ["sv_id", "search"], "left_semi") for e in ends)))
-    return found.select("sv_id", F.floor(F.col("search") / SIDE).cast("tinyint").alias("side"), "search", "z", "y", "x")
+    return found
 
 
 def augmented_seeds(seeds: DataFrame, voxels: DataFrame, volumes: DataFrame, power: float = 2.0, pad: tuple[int, int, int] = (24, 48, 48), steps: tuple[int, int, int] = (2, 2, 1)) -> tuple[DataFrame, DataFrame]:

@@ -3,19 +3,23 @@
 A search meets only the blocks that it reaches. Between rounds nothing is kept but
 the times at the borders of blocks; a block is settled anew from all that its
 borders were told, and tells the blocks beside it what became less. Times and ways
-are written once, when no border changes any more.
+are written once, when no border changes any more. Volumes of no more cells than a
+block are searched whole, many in one task, and nothing but paths leaves it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import cut, drop, kept
 from . import blocks as by_block
-from .blocks import BLOCK, Costs, blocks_beside, with_blocks
+from .blocks import BLOCK, Boxes, Costs, blocks_beside, with_blocks
 
 BACKENDS = ("dj3d", "mcp")
 PLACE = ["z", "y", "x"]
@@ -25,6 +29,8 @@ GIVEN = [*OPEN, *PLACE, "cost", "sz", "sy", "sx", "t", "given", "wanted"]
 GIVEN_TYPE = "sv_id long, search long, bz int, by int, bx int, z int, y int, x int, cost double, sz double, sy double, sx double, t double, given boolean, wanted boolean"
 #: Parts of what borders were told that are read side by side; then they are merged.
 PARTS = 6
+#: Cells of all boxes that a task searches at once, unless a single box has more.
+AT_ONCE = 1 << 21
 
 
 def cells_of(cost: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -217,3 +223,85 @@ def least_paths(cells: DataFrame, starts: DataFrame, ends: DataFrame, backend: s
     """
     told = borders(cells, starts, backend, ends)
     return traced(kept(ways(cells, told, backend)), ends)
+
+
+def fits() -> Column:
+    """Volumes (nz, ny, nx) of no more cells than a block, for :func:`paths_inside`."""
+    return F.col("nz").cast("long") * F.col("ny") * F.col("nx") <= by_block.EDGE**3
+
+
+PATH = "sv_id long, search long, z int, y int, x int, t double"
+#: What a row of :func:`paths_inside` tells: a volume's shape and voxel size, a cell's cost, where a search starts or ends.
+SHAPE, CELL, START, END = range(4)
+
+
+def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by sv_id in portions that hold all rows of their fragments."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sv = batch.column("sv_id").to_numpy()
+        first = int(np.searchsorted(sv, sv[-1]))  # of the fragment that may go on
+        if held and (first or held[-1].column("sv_id")[0].as_py() != sv[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, first)]).to_pandas()
+            held = []
+        elif first:
+            yield batch.slice(0, first).to_pandas()
+        held.append(batch.slice(first))
+    if held:
+        yield pa.Table.from_batches(held).to_pandas()
+
+
+def _portions(rows: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+    """Searches (sv_id, search, nz, ny, nx, sz, sy, sx and both ends' places) of whole fragments, as many as a task holds at once, and the cells of their fragments."""
+    of = lambda kind, names: rows.loc[rows["kind"] == kind, ["sv_id", *names]].rename(columns=names)
+    shapes = of(SHAPE, {"z": "nz", "y": "ny", "x": "nx", "cost": "sz", "sy": "sy", "sx": "sx"})
+    ends = [of(kind, {"search": "search"} | {a: f"{a}{k}" for a in PLACE}).drop_duplicates() for k, kind in ((0, START), (1, END))]
+    searches = ends[0].merge(ends[1], on=["sv_id", "search"]).merge(shapes, on="sv_id").sort_values(["sv_id", "search"], ignore_index=True)
+    for k in (0, 1):
+        for a in PLACE:
+            searches = searches[(searches[f"{a}{k}"] >= 0) & (searches[f"{a}{k}"] < searches[f"n{a}"])]
+    size = ((searches["nz"] + 2) * (searches["ny"] + 2) * (searches["nx"] + 2)).to_numpy(np.int64)
+    cells = rows[rows["kind"] == CELL]
+    low = 0
+    while low < len(searches):
+        high = low + max(1, int(np.searchsorted(np.cumsum(size[low:]), AT_ONCE, "right")))
+        part = searches.iloc[low:high].reset_index(drop=True)
+        yield part, cells[cells["sv_id"].isin(part["sv_id"].unique())]
+        low = high
+
+
+def paths_inside(cost: DataFrame, volumes: DataFrame, starts: DataFrame, ends: DataFrame, backend: str = "mcp", beyond: float | None = None) -> DataFrame:
+    """What :func:`least_paths` gives over ``cost`` (sv_id, z, y, x, cost) in ``volumes`` that a task can hold (:func:`fits`), all searches of a fragment in one task.
+
+    Cells, starts and ends lie in their volume. With ``beyond`` a search without
+    a way over the cells is done again with all other cells of the volume at that cost.
+    """
+    if backend not in BACKENDS:
+        raise ValueError(f"unknown backend {backend!r}")
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole(batches):
+            for searches, cells in _portions(rows):
+                boxes = Boxes(searches, cells, backend)
+                boxes.settle(np.arange(len(searches)))
+                if beyond is not None and boxes.lost().any():
+                    boxes.fill(boxes.lost(), beyond)
+                    boxes.settle(np.flatnonzero(boxes.lost()), 0.5 * beyond)
+                k, place, t = boxes.traced()
+                made = {"sv_id": searches["sv_id"].to_numpy(np.int64)[k], "search": searches["search"].to_numpy(np.int64)[k]}
+                made |= {a: place[:, axis].astype(np.int32) for axis, a in enumerate(PLACE)} | {"t": t}
+                yield pa.RecordBatch.from_pydict(made)
+
+    none = F.lit(None)
+    place = [F.col(a).cast("int").alias(a) for a in PLACE]
+
+    def told(df: DataFrame, kind: int, search: Column, at: list[Column], *values: Column) -> DataFrame:
+        return df.select("sv_id", F.lit(kind).cast("tinyint").alias("kind"), search.cast("long").alias("search"), *at, *(v.cast("double").alias(n) for v, n in zip((*values, none, none, none), ("cost", "sy", "sx"))))
+
+    rows = told(volumes, SHAPE, F.lit(0), [F.col(f"n{a}").cast("int").alias(a) for a in PLACE], *(F.col(f"s{a}") for a in PLACE))
+    rows = rows.unionByName(told(cost, CELL, F.lit(0), place, F.col("cost")))
+    for kind, points in ((START, starts), (END, ends)):
+        rows = rows.unionByName(told(points, kind, F.col("search"), place))
+    return rows.repartition("sv_id").sortWithinPartitions("sv_id").mapInArrow(work, PATH)

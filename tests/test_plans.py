@@ -2,6 +2,8 @@
 
 import dense
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +83,66 @@ def test_parts_of_what_borders_were_told_are_merged(spark, small_blocks, monkeyp
         search.borders(cells, at(1), "other")
 
 
+def test_paths_inside_volumes(spark):
+    """Whole volumes of several shapes in one task: the same cells as on dense grids, over the cells or else over background."""
+    rng = np.random.default_rng(11)
+    masks = {7: rng.random((6, 9, 13)) < 0.3, 8: np.ones((5, 6, 17), bool), 9: np.eye(9, dtype=bool)[None, ::8], 2**40: rng.random((6, 9, 13)) < 0.5}
+    costs = {sv: np.where(m, rng.choice([1.0, 1.0, 2.5, 30.0], m.shape), np.inf) for sv, m in masks.items()}
+    cost = spark.createDataFrame([(sv, *map(int, p), float(costs[sv][tuple(p)])) for sv, m in masks.items() for p in np.argwhere(m)], "sv_id long, z int, y int, x int, cost double")
+    shapes = volumes.volume(spark, [(sv, *m.shape, *SIZE) for sv, m in masks.items()])
+    pairs = [(sv, (1 << 32) + k, *rng.permutation(np.argwhere(m))[:2].tolist()) for sv, m in masks.items() for k in range(4)]
+    pairs += [(8, 9, [0, 0, 0], [0, 0, 0]), (8, 10, [0, 0, 0], [4, 5, 16])]
+    table = lambda which: spark.createDataFrame([(sv, k, *pair[which]) for sv, k, *pair in pairs], "sv_id long, search long, z int, y int, x int")
+    lost = 0
+    for beyond in (None, 1e12):
+        got = {}
+        for r in search.paths_inside(cost, shapes, table(0), table(1), beyond=beyond).collect():
+            got.setdefault((r.sv_id, r.search), []).append((r.t, (r.z, r.y, r.x)))
+        for sv, k, start, end in pairs:
+            want = dense.path(costs[sv], tuple(start), tuple(end), SIZE)
+            if want is None and beyond is not None:
+                want, lost = dense.path(np.where(masks[sv], costs[sv], beyond), tuple(start), tuple(end), SIZE), lost + 1
+            assert [p for _, p in sorted(got.get((sv, k), []), reverse=True)] == (want or [])
+    assert lost > 2
+    times = lambda df: {(r.sv_id, r.search, r.z, r.y, r.x): r.t for r in df.collect()}
+    assert times(search.paths_inside(cost, shapes, table(0), table(1), "dj3d")) == times(search.least_paths(search.cells_of(cost, shapes), table(0), table(1), "dj3d"))
+    with pytest.raises(ValueError):
+        search.paths_inside(cost, shapes, table(0), table(1), "other")
+
+
+def test_portions_hold_whole_fragments(monkeypatch):
+    """Fragments that cross batches are put together; searches are dealt by the cells of their boxes."""
+    rows = pd.DataFrame({"sv_id": np.repeat([1, 2, 5, 6], [1, 7, 2, 4])})
+    for n in (1, 2, 3, 4, 14):
+        batches = pa.Table.from_pandas(rows).to_batches(n)
+        parts = list(search._whole(batches))
+        assert pd.concat(parts).sv_id.tolist() == rows.sv_id.tolist()
+        assert sum(part.sv_id.nunique() for part in parts) == 4
+    monkeypatch.setattr(search, "AT_ONCE", 100)
+    told = [(sv, kind, k, 0, 0, 0, 1.0, 1.0, 1.0) for sv in (1, 2) for kind in (search.START, search.END) for k in range(3)]
+    told += [(sv, kind, 0, n, n, n, 1.0, 1.0, 1.0) for sv, n in ((1, 1), (2, 9)) for kind in (search.SHAPE, search.CELL)]
+    parts = list(search._portions(pd.DataFrame(told, columns=["sv_id", "kind", "search", *"zyx", "cost", "sy", "sx"])))
+    assert [(p.sv_id.tolist(), p.search.tolist(), c.sv_id.tolist()) for p, c in parts] == [([1, 1, 1], [0, 1, 2], [1]), ([2], [0], [2]), ([2], [1], [2]), ([2], [2], [2])]
+
+
+def test_ridge_paths_of_small_volumes_build_no_grid(spark, monkeypatch):
+    """Background is laid out within the tasks where a volume fits one, and paths are those found by blocks."""
+    rng = np.random.default_rng(12)
+    apart = np.zeros((4, 7, 11), bool)
+    apart[1:3, 1:6, :3] = apart[1:3, 1:6, 7:] = True
+    masks = {0: balls(rng, (5, 6, 7), n=1, specks=2), 1: apart}
+    v, s, shapes = tables(spark, masks, {0: some_seeds(rng, masks[0], 3), 1: ([(1, 1, 0), (2, 5, 9)], [(1, 2, 1), (1, 3, 8), (2, 2, 10)])})
+    s = s.withColumns({a: F.col(a).cast("int") for a in "zyx"})
+    grid = regions.with_background
+    monkeypatch.setattr(regions, "with_background", lambda *_: pytest.fail("a grid with background was built"))
+    inside = sorted(ridge.ridge_paths(v, s, shapes).collect())
+    built = []
+    monkeypatch.setattr(regions, "with_background", lambda *given: built.append(1) or grid(*given))
+    monkeypatch.setattr(blocks, "EDGE", 6)  # 5 by 6 by 7 cells are no more than a block's, 4 by 7 by 11 are more
+    assert inside == sorted(ridge.ridge_paths(v, s, shapes).collect())
+    assert built and {r.sv_id for r in inside} == set(masks)
+
+
 def test_ridge(spark, small_blocks):
     """Seeds joined within fragments, over background, and left as they are where a side has none."""
     rng = np.random.default_rng(6)
