@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,14 @@ def upsample(coarse: DataFrame, steps: tuple[int, int, int], fine: DataFrame) ->
     return anchors.join(named, ["sv_id", "zc", "yc", "xc"], "left").drop("zc", "yc", "xc")
 
 
+def cells_under(coarse: DataFrame, steps: tuple[int, int, int], fine: DataFrame) -> DataFrame:
+    """Cells of ``fine`` that coarse cells cover, with their further columns: as :func:`upsample`, but only what is covered is made and met."""
+    table = F.array(*[F.struct(*(F.lit(v).alias(f"d{a}") for a, v in zip("zyx", o))) for o in product(*map(range, steps))])
+    rest = [c for c in coarse.columns if c not in KEY]
+    places = coarse.withColumn("o", F.explode(table)).select("sv_id", *((F.col(a) * s + F.col(f"o.d{a}")).cast("int").alias(a) for a, s in zip("zyx", steps)), *rest)
+    return places.join(fine.select(*KEY), KEY, "left_semi")
+
+
 def numbered(points: DataFrame, slab: Column, order: list[Column]) -> DataFrame:
     """``points`` with i, the place of each in its fragment from 0: by slab, then by ``order`` within it.
 

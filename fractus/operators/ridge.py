@@ -81,10 +81,6 @@ def augmented_seeds(seeds: DataFrame, voxels: DataFrame, volumes: DataFrame, pow
     scaled = mine.join(boxes.select("sv_id", *(f"{a}0" for a in "zyx")), "sv_id").select("sv_id", "side", "seed_idx", *(((F.col(a) - o).cast("double") / k).alias(a) for a, o, k in zip("zyx", low, steps)))
     placed = kept(nearest(scaled, coarse, wide).select("sv_id", "side", "seed_idx", *(F.col(f"v{a}").alias(a) for a in "zyx")))
     paths = kept(ridge_paths(coarse, placed, wide, power).select(*KEY, "side").distinct())
-    covered = None
-    for side in (1, 2):
-        on = regions.upsample(paths.where(F.col("side") == side), steps, roi).where("side IS NOT NULL").select(*KEY)
-        one = dilate(on, 1, roi).withColumn("side", F.lit(side).cast("tinyint"))
-        covered = one if covered is None else covered.unionByName(one)
+    covered = dilate(regions.cells_under(paths, steps, roi), 1, roi, "side")
     back = covered.join(boxes, "sv_id").select("sv_id", "side", *((F.col(a) + o).cast("int").alias(a) for a, o in zip("zyx", low)))
     return plain.unionByName(back).distinct(), status

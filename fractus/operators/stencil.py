@@ -61,12 +61,12 @@ def boundary(voxels: DataFrame, iterations: int = 1) -> DataFrame:
     return voxels if iterations < 1 else voxels.join(interior(voxels, iterations), KEY, "left_anti")
 
 
-def dilate(voxels: DataFrame, radius: int, within: DataFrame) -> DataFrame:
-    """Voxels within ``radius`` of one of ``voxels`` (a ball), clipped to ``within``."""
+def dilate(voxels: DataFrame, radius: int, within: DataFrame, *keep: str) -> DataFrame:
+    """Voxels within ``radius`` of one of ``voxels`` (a ball), clipped to ``within``; apart for each value of the columns ``keep``."""
     if radius < 1:
-        return voxels.select(*KEY).join(within.select(*KEY), KEY, "left_semi")
+        return voxels.select(*KEY, *keep).join(within.select(*KEY), KEY, "left_semi")
     ball = [o for o in product(range(-radius, radius + 1), repeat=3) if sum(v * v for v in o) <= radius * radius]
-    return shifted(voxels, ball).select(*KEY).distinct().join(within.select(*KEY), KEY, "left_semi")
+    return shifted(voxels, ball, *keep).select(*KEY, *keep).distinct().join(within.select(*KEY), KEY, "left_semi")
 
 
 def components(voxels: DataFrame, volumes: DataFrame) -> DataFrame:

@@ -248,6 +248,19 @@ def test_voxels_are_never_broadcast_by_estimate(spark, tmp_path):
         assert "Join" in planned and "BroadcastHashJoin" not in planned
 
 
+def test_cells_under_coarse_ones_are_made_and_widened_by_side(spark):
+    """As upsample gives them, without a look at all fine cells for each side; dilated, the sides stay apart."""
+    steps, rng = (2, 3, 1), random.Random(8)
+    fine = table(spark, [p for p in itertools.product(range(5), range(7), range(6)) if rng.random() < 0.7])
+    on = [(0, z, y, x, side) for z, y, x in itertools.product(range(3), range(3), range(6)) for side in (1, 2) if rng.random() < 0.2]
+    coarse = spark.createDataFrame(on, "sv_id long, z int, y int, x int, side int")
+    under = regions.cells_under(coarse, steps, fine)
+    want = [(side, p) for side in (1, 2) for p in cells(regions.upsample(coarse.where(volumes.F.col("side") == side), steps, fine).where("side IS NOT NULL"))]
+    assert sorted((r.side, (r.z, r.y, r.x)) for r in under.collect()) == sorted(want)
+    wide = [(side, p) for side in (1, 2) for p in cells(stencil.dilate(under.where(volumes.F.col("side") == side), 1, fine))]
+    assert sorted((r.side, (r.z, r.y, r.x)) for r in stencil.dilate(under, 1, fine, "side").collect()) == sorted(wide)
+
+
 @pytest.mark.parametrize("name", ["grid_labels", "augmented_seeds"])
 def test_searches_plan_no_broadcasts_by_estimate(spark, tmp_path, name):
     """No step of arrivals and labels or of ridges is planned with a broadcast: what is small is known only once it is measured."""
